@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sessionlake import cluster
-from sessionlake.llm import queries_bpe, queries_chat
+from sessionlake.llm import queries_bpe, queries_chat, queries_secrets, queries_simhash
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,8 +19,10 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": _shipped(queries_secrets.op1_secret_scan),
     "op2_byte_bpe": _shipped(queries_bpe.op2_byte_bpe),
     "op8_chat_formatting": queries_chat.op8_chat_formatting,
+    "op9_simhash": _shipped(queries_simhash.op9_simhash),
 }
 
 ORACLES: dict[str, str] = {
