@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sessionlake import cluster
-from sessionlake.llm import queries_bpe, queries_chat, queries_secrets, queries_simhash
+from sessionlake.llm import queries_bpe, queries_chat, queries_packing, queries_secrets, queries_simhash, queries_tiff
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,6 +21,8 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": _shipped(queries_secrets.op1_secret_scan),
     "op2_byte_bpe": _shipped(queries_bpe.op2_byte_bpe),
+    "op3_tiff_pages": _shipped(queries_tiff.op3_tiff_pages),
+    "op6_nnls_packing": _shipped(queries_packing.op6_nnls_packing),
     "op8_chat_formatting": queries_chat.op8_chat_formatting,
     "op9_simhash": _shipped(queries_simhash.op9_simhash),
 }
