@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sessionlake import cluster
-from sessionlake.llm import queries_bpe, queries_chat, queries_packing, queries_secrets, queries_simhash, queries_tiff
+from sessionlake.llm import queries_bpe, queries_chat, queries_packing, queries_secrets, queries_simhash, queries_tiff, queries_toxicity
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": _shipped(queries_bpe.op2_byte_bpe),
     "op3_tiff_pages": _shipped(queries_tiff.op3_tiff_pages),
     "op6_nnls_packing": _shipped(queries_packing.op6_nnls_packing),
+    "op7_toxicity": _shipped(queries_toxicity.op7_toxicity),
     "op8_chat_formatting": queries_chat.op8_chat_formatting,
     "op9_simhash": _shipped(queries_simhash.op9_simhash),
 }
