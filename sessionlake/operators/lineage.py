@@ -1,0 +1,106 @@
+"""Session lineage: parents, roots, forks, affected sets."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from sessionlake import cluster
+
+
+def parents(sessions: DataFrame, hints: DataFrame) -> DataFrame:
+    """(session_id, parent_session_id): hints' parent_external_id resolved on the same machine and source, never to itself.
+
+    Where the exact external id is missing, an omp id that is only a suffix
+    after an underscore counts if one session alone ends in it.
+    """
+    own = sessions.select("session_id", "machine_id", "source_kind", "external_id").join(hints.select("session_id", "parent_external_id"), "session_id")
+    other = sessions.select(F.col("session_id").alias("p"), F.col("machine_id").alias("pm"), F.col("source_kind").alias("pk"), F.col("external_id").alias("pe"))
+    exact = own.join(other, (F.col("machine_id") == F.col("pm")) & (F.col("source_kind") == F.col("pk")) & (F.col("parent_external_id") == F.col("pe")) & (F.col("session_id") != F.col("p")))
+    first = exact.groupBy("session_id").agg(F.min("p").alias("exact"))
+    tail = other.withColumn("tail", F.regexp_extract("pe", r"_([^_]+)$", 1)).filter("tail <> '' and pk = 'omp'")
+    loose = own.filter("source_kind = 'omp'").join(tail, (F.col("machine_id") == F.col("pm")) & (F.col("parent_external_id") == F.col("tail")) & (F.col("session_id") != F.col("p"))).groupBy("session_id").agg(F.count_distinct("p").alias("n"), F.min("p").alias("loose")).filter("n = 1")
+    return own.select("session_id").join(first, "session_id", "left").join(loose, "session_id", "left").select("session_id", F.coalesce("exact", "loose").alias("parent_session_id"))
+
+
+def roots(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """(session_id, root_session_id) by pointer doubling; a row without a parent is its own root. A cycle raises an error.
+
+    edges: session_id, parent_session_id (null for none, or a session that has no row). Each round doubles the
+    distance that a pointer has gone, so depth d takes log2(d) rounds; rounds are written to the shared folder.
+    """
+    held = cluster.materialize(edges.select("session_id", F.coalesce("parent_session_id", "session_id").alias("up"), F.col("parent_session_id").isNull().alias("done")), "roots")
+    for _ in range(most_rounds):
+        if not held.filter("not done").limit(1).count():
+            return held.select("session_id", F.col("up").alias("root_session_id"))
+        over = held.select(F.col("session_id").alias("up"), F.col("up").alias("next"), F.col("done").alias("next_done"))
+        held = cluster.materialize(held.join(over, "up", "left").select("session_id", F.coalesce("next", "up").alias("up"), (F.col("done") | F.coalesce("next_done", F.lit(True))).alias("done")), "roots")
+    raise ValueError("sessions are each other's parents")
+
+
+def forks(events: DataFrame, sessions: DataFrame, shared: int = 8) -> DataFrame:
+    """(session_id, parent_session_id, common): the session of the same machine that a session's first events repeat.
+
+    The parent comes earlier, has another external id, and their common prefix
+    has at least `shared` events and is shorter than both. Two parents with one
+    length of prefix are none. Sessions meet by the hashes of their first
+    events; each compares whole prefixes only within that bucket.
+    """
+    ordered = events.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "hash"))), lambda e: e["hash"]).alias("hashes")).filter(F.size("hashes") >= shared)
+    own = ordered.join(sessions.select("session_id", "machine_id", "external_id", "started_at"), "session_id").withColumn("start", F.xxhash64(F.slice("hashes", 1, shared)))
+    other = own.select(*[F.col(c).alias(f"p_{c}") for c in ("session_id", "external_id", "started_at", "hashes")], "machine_id", "start")
+    earlier = (F.col("p_started_at") < F.col("started_at")) | ((F.col("p_started_at") == F.col("started_at")) & (F.col("p_session_id") < F.col("session_id")))
+    met = own.join(other, ["machine_id", "start"]).filter(earlier & (F.col("p_external_id") != F.col("external_id")))
+    differs = F.array_position(F.zip_with("hashes", "p_hashes", lambda a, b: F.coalesce(a == b, F.lit(False))), False)
+    common = F.when(differs == 0, F.least(F.size("hashes"), F.size("p_hashes"))).otherwise(differs - 1)
+    found = met.withColumn("common", common).filter((F.col("common") >= shared) & (F.col("common") < F.size("hashes")) & (F.col("common") < F.size("p_hashes")))
+    order = Window.partitionBy("session_id").orderBy(F.desc("common"))
+    best = found.withColumn("r", F.rank().over(order)).filter("r = 1").withColumn("n", F.count("*").over(Window.partitionBy("session_id"))).filter("n = 1")
+    return best.select("session_id", F.col("p_session_id").alias("parent_session_id"), F.col("common").cast("long").alias("common"))
+
+
+def affected(touched: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(session_id): touched sessions and all that edges (a, b), either way, lead to; the frontier grows until nothing is new."""
+    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
+    found = cluster.materialize(touched.select("session_id").distinct(), "affected")
+    frontier = found
+    for _ in range(most_rounds):
+        fresh = cluster.materialize(frontier.join(both, F.col("session_id") == F.col("a")).select(F.col("b").alias("session_id")).distinct().join(found, "session_id", "left_anti"), "affected")
+        if not fresh.limit(1).count():
+            return found
+        found, frontier = cluster.materialize(found.union(fresh), "affected"), fresh
+    raise ValueError(f"edges reach on beyond {most_rounds} steps")
+
+
+def inherited(items: DataFrame, relations: DataFrame) -> DataFrame:
+    """(item_id, inherited): whether a subagent's message stands, by kind and hash of text, in its parent too."""
+    own = items.join(relations.filter("relationship = 'subagent'").select("session_id", "parent_session_id"), "session_id")
+    of_parent = items.select(F.col("session_id").alias("parent_session_id"), "kind", "text_hash").distinct().withColumn("inherited", F.lit(True))
+    return own.join(of_parent, ["parent_session_id", "kind", "text_hash"], "left").select("item_id", F.coalesce("inherited", F.lit(False)).alias("inherited"))
+
+
+def sidechains(events: DataFrame) -> DataFrame:
+    """(session_id, event_id, child_id): sidechain events with the id of the synthetic session of their topmost sidechain ancestor.
+
+    events: session_id, event_id, uuid, parent_uuid, sidechain. A chain that
+    leads to itself raises an error.
+    """
+    side = events.filter("sidechain").select("session_id", "event_id", "uuid", "parent_uuid")
+    key = lambda c: F.concat_ws("/", "session_id", c)
+    ups = side.select(F.col("uuid").alias("parent_uuid"), "session_id").distinct().withColumn("is_side", F.lit(True))
+    edges = side.join(ups, ["session_id", "parent_uuid"], "left").select(key("uuid").alias("session_id"), F.when(F.col("is_side"), key("parent_uuid")).alias("parent_session_id")).dropDuplicates(["session_id"])
+    top = roots(edges).withColumnRenamed("session_id", "_own")
+    return side.join(top, key("uuid") == F.col("_own")).select("session_id", "event_id", F.concat(F.lit("sc_"), F.sha2("root_session_id", 256)).alias("child_id"))
+
+
+def claude_hint(path: Column) -> Column:
+    """The parent's external id that a subagent's path names, or null."""
+    found = F.regexp_extract(path, r"([0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})/subagents/agent-[^/]+$", 1)
+    return F.when(found != "", found)
+
+
+def notified(mentions: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(session_id, parent_session_id, rule): children that parents' notifications name by external id on the same machine; of two parents the first, and the rule says so."""
+    child = sessions.select("session_id", "machine_id", "external_id")
+    met = mentions.select(F.col("session_id").alias("parent"), "machine_id", F.col("agent_path").alias("external_id"), "ordinal").join(child, ["machine_id", "external_id"]).filter(F.col("parent") != F.col("session_id"))
+    return met.groupBy("session_id").agg(F.min_by("parent", F.struct("parent", "ordinal")).alias("parent_session_id"), F.count_distinct("parent").alias("n")).select("session_id", "parent_session_id", F.when(F.col("n") > 1, "notification.collision").otherwise("notification").alias("rule"))
