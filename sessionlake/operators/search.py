@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from sessionlake.functions import porter, text
 
@@ -31,7 +32,7 @@ def parse(query: str) -> list[dict]:
     return [{"text": t, "words": re.findall(r"[a-z0-9]+", t.lower()), "prefix": len(t) >= PREFIX_LETTERS and re.fullmatch(r"[A-Za-z0-9]+", t) is not None} for t in re.findall(r"[A-Za-z0-9_-]+", query) if re.search(r"[A-Za-z0-9]", t)]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def stems(words: pd.Series) -> pd.Series:
     """Each word's stem; words are stemmed once in a batch."""
     known: dict[str, str] = {}

@@ -110,15 +110,15 @@ def hits_enriched_inner(spark, sf_dir):
     return hits.join(model.facts(spark, sf_dir), "session_id").select("item_id", "source_kind", "event_count")
 
 
-@query("orphan_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("orphan_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
 def orphan_anti_join(spark, sf_dir):
-    return cluster.table(spark, sf_dir, "customer").join(cluster.table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    return cluster.table(spark, sf_dir, "customer").join(cluster.table(spark, sf_dir, "orders").filter("o_totalprice > 250000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
-@query("orphan_sources_multi_anti", "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49) AND s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9990)")
+@query("orphan_sources_multi_anti", "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_extendedprice > 104800) AND s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)")
 def orphan_sources_multi_anti(spark, sf_dir):
-    lines = cluster.table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select("l_suppkey").distinct()
-    rich = cluster.table(spark, sf_dir, "customer").filter("c_acctbal > 9990").select("c_nationkey").distinct()
+    lines = cluster.table(spark, sf_dir, "lineitem").filter("l_extendedprice > 104800").select("l_suppkey").distinct()
+    rich = cluster.table(spark, sf_dir, "customer").filter("c_acctbal > 9900").select("c_nationkey").distinct()
     own = cluster.table(spark, sf_dir, "supplier")
     return own.join(lines, own.s_suppkey == lines.l_suppkey, "left_anti").join(rich, F.col("s_nationkey") == rich.c_nationkey, "left_anti").select("s_suppkey")
 

@@ -1,0 +1,273 @@
+import json
+import os
+import subprocess
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from sessionlake.functions import dates, porter, text
+from sessionlake.operators import blame, derive, filters, lineage, maintenance, report, search, sequences, tools, topics
+from sessionlake.sources.transcripts import looks_like_path
+
+
+def one(spark, expression, *values):
+    df = spark.createDataFrame([tuple(values)], [f"c{k}" for k in range(len(values))]) if values else spark.range(1)
+    return df.select(expression).first()[0]
+
+
+@pytest.mark.parametrize("word, stem", [("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("conflated", "conflat"), ("hopping", "hop"), ("filing", "file"), ("happy", "happi"), ("relational", "relat"), ("vietnamization", "vietnam"), ("electriciti", "electr"), ("adjustable", "adjust"), ("probate", "probat"), ("controll", "control"), ("sky", "sky"), ("is", "is")])
+def test_porter(word, stem):
+    assert porter.stem(word) == stem
+
+
+def test_frequency_words_skip_fences_paths_and_digits(spark):
+    assert one(spark, text.words(F.col("c0")), "Don't /tmp/x (https://a.b/c) ab1c, Two\n```\ncode\n```\nafter a-b\n```\nlost") == ["don't", "two", "after", "a", "b"]
+
+
+@pytest.mark.parametrize("given, label", [("/a/b/", "b"), ("C:\\x\\y", "y"), ("", "unknown"), ("///", "unknown")])
+def test_path_labels(spark, given, label):
+    assert one(spark, text.path_label(F.col("c0")), given) == label
+
+
+def test_text_helpers(spark):
+    assert one(spark, text.https_remote(F.col("c0")), "git@github.com:o/r.git") == "https://github.com/o/r"
+    assert one(spark, text.https_remote(F.col("c0")), "ssh://git@h.org/o/r.git") == "https://h.org/o/r"
+    assert one(spark, text.frontmatter_name(F.col("c0")), "---\nname: \"x y\"\nother: 1\n---\nbody") == "x y"
+    assert one(spark, text.unnumbered(F.col("c0")), "  1→a\n  2→b") == "a\nb"
+    assert one(spark, text.unnumbered(F.col("c0")), "  1→a\nb") == "  1→a\nb"
+    assert one(spark, text.html_text(F.col("c0")), "<p>a\n b</p><br") == "a b"
+    assert one(spark, text.chunks(F.col("c0"), 3), "abcdefgh") == ["abc", "def", "gh"] and one(spark, text.chunks(F.col("c0"), 3), "") == []
+    assert one(spark, text.after_wrapper(F.col("c0"), F.lit("tag.image")), "<image name=x> look") == "look"
+    assert one(spark, text.preview(F.col("c0"), 3), " a  bcd") == "a b..."
+    assert one(spark, looks_like_path(F.col("c0")), "name") is None
+
+
+def test_monday_weeks(spark):
+    days = spark.sql("SELECT explode(sequence(date'2015-01-01', date'2030-12-31')) d").select("d", dates.monday_week(F.col("d")).alias("w")).collect()
+    assert all(r.w == r.d.strftime("%Y-%W") for r in days)
+
+
+@pytest.mark.parametrize("content, kind, repeated, relation, cls, rule", [("  <IMAGE name=a>x", "user", False, "none", "automation", "tag.image"), ("<skill a>", "user", False, "none", "interactive", "tag.skill"), ("Caveat: the messages below were", "user", False, "none", "x", "prefix.claude_caveat"), ("hi", "user", False, "subagent", "automation", "session.automation"), ("hi", "assistant", False, "subagent", "x", "relationship.subagent"), ("hi", "assistant", True, "none", "x", "message.assistant"), ("t" * 201, "user", True, "none", "x", "dup.template"), ("t" * 200, "user", True, "none", "x", "default.human")])
+def test_provenance_order(spark, content, kind, repeated, relation, cls, rule):
+    df = spark.createDataFrame([(content, kind, repeated, relation, cls)], "a string, b string, c boolean, d string, e string")
+    assert df.select(derive.provenance(*map(F.col, "abcde"))).first()[0]["rule"] == rule
+
+
+def test_json_counts_take_whole_numbers_only(spark):
+    df = spark.createDataFrame([('{"k": 7}',), ('{"k": 1.5}',), ('{"k": "7"}',), ('{"k": -3}',), ("bad",), (None,), ("{}",)], "j string")
+    assert [r[0] for r in df.select(derive.json_count(F.col("j"), "$.k")).collect()] == [7, 0, 0, 0, 0, 0, 0]
+
+
+def test_session_classes(spark):
+    schema = "session_id string, source_kind string, ordinal long, thread_source string, subagent boolean, originator string, reviewer boolean, headless boolean, sidechain boolean, kind string"
+    rows = [("a", "codex", 1, "subagent", None, None, None, None, None, "user"), ("b", "codex", 1, None, None, "codex_exec", None, None, None, "user"), ("c", "codex", 1, None, None, None, None, None, None, "user"), ("d", "claude_code", 1, None, None, None, None, True, None, "user"), ("e", "claude_code", 1, None, None, None, None, None, True, "user"), ("f", "claude_code", 1, None, None, None, None, None, True, "user"), ("f", "claude_code", 2, None, None, None, None, None, False, "user"), ("g", "omp", 1, None, True, None, None, None, None, "user"), ("h", "hermes", 1, None, None, None, None, None, None, "user")]
+    got = dict(map(tuple, derive.session_class(spark.createDataFrame(rows, schema)).collect()))
+    assert got == {"a": "subagent", "b": "automation", "c": "interactive", "d": "automation", "e": "subagent", "f": "interactive", "g": "subagent", "h": "unknown"}
+
+
+def test_roots_of_deep_chains_and_cycles(spark):
+    deep = spark.range(400).select(F.concat(F.lit("s"), "id").alias("session_id"), F.when(F.col("id") > 0, F.concat(F.lit("s"), F.col("id") - 1)).alias("parent_session_id"))
+    assert lineage.roots(deep).select("root_session_id").distinct().collect()[0][0] == "s0"
+    with pytest.raises(ValueError):
+        lineage.roots(spark.createDataFrame([("a", "b"), ("b", "a")], "session_id string, parent_session_id string"), 6)
+
+
+def test_parents_by_suffix_only_when_alone(spark):
+    rows = spark.createDataFrame([("p", "m", "omp", "dir_1"), ("q", "m", "omp", "dir_2"), ("r", "m", "omp", "other_2"), ("a", "m", "omp", "x"), ("b", "m", "omp", "y"), ("c", "m2", "omp", "z")], "session_id string, machine_id string, source_kind string, external_id string")
+    hints = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "1")], "session_id string, parent_external_id string")
+    assert dict(map(tuple, lineage.parents(rows, hints).collect())) == {"a": "p", "b": None, "c": None}
+
+
+def test_sidechains_share_their_top(spark):
+    events = spark.createDataFrame([("s", "e1", "u1", None, False), ("s", "e2", "u2", "u1", True), ("s", "e3", "u3", "u2", True), ("s", "e4", "u4", "u1", True)], "session_id string, event_id string, uuid string, parent_uuid string, sidechain boolean")
+    got = {r.event_id: r.child_id for r in lineage.sidechains(events).collect()}
+    assert set(got) == {"e2", "e3", "e4"} and got["e2"] == got["e3"] != got["e4"]
+
+
+def test_notifications_collide(spark):
+    sessions = spark.createDataFrame([("p", "m", "P"), ("q", "m", "Q"), ("c", "m", "C"), ("d", "m", "D")], "session_id string, machine_id string, external_id string")
+    mentions = spark.createDataFrame([("p", "m", "C", 1), ("q", "m", "C", 1), ("p", "m", "D", 2)], "session_id string, machine_id string, agent_path string, ordinal long")
+    assert {tuple(r) for r in lineage.notified(mentions, sessions).collect()} == {("c", "p", "notification.collision"), ("d", "p", "notification")}
+
+
+CALLS = [
+    ({"type": "function_call", "name": "shell", "call_id": "1", "arguments": "{}"}, ("call", "1", None)),
+    ({"payload": {"type": "function_call_output", "call_id": "1", "output": "x", "metadata": {"exit_code": 1}}}, ("result", "1", "failure")),
+    ({"message": {"content": [{"type": "tool_use", "id": "2", "name": "Read", "input": {"file_path": "a"}}]}}, ("call", "2", None)),
+    ({"message": {"content": [{"type": "tool_result", "tool_use_id": "2", "content": [{"type": "text", "text": "y"}]}]}}, ("result", "2", "success")),
+    ({"message": {"content": [{"type": "tool_result", "tool_use_id": "2", "is_error": True, "content": "y"}]}}, ("result", "2", "failure")),
+    ({"tool_calls": [{"id": "3", "function": {"name": "f", "arguments": "{}"}}]}, ("call", "3", None)),
+]
+
+
+@pytest.mark.parametrize("event, want", CALLS)
+def test_tool_shapes(event, want):
+    found = tools.signals(json.dumps(event))[0]
+    assert (found["signal"], found["call_id"], found["status"]) == want
+
+
+def test_tool_signals_pass_over_summaries_and_repeats():
+    part = {"type": "tool_use", "id": "1", "name": "a", "input": {}}
+    assert len(tools.signals(json.dumps({"content": [part, part, {"type": "compaction_summary", "content": [part]}]}))) == 1
+    assert tools.signals("no json") == []
+
+
+@pytest.mark.parametrize("command, path", [("cat a.md", "a.md"), ("cat 'a b.md'", "a b.md"), ("cat a b", None), ("cat a | head", None), ("cat $X", None), ("less a", None), ("cat -n a", None)])
+def test_cat_paths(command, path):
+    assert tools.cat_path(command) == path
+
+
+def test_skill_loads(spark):
+    rows = [("s", "e1", "r1", "1", "Read", json.dumps({"file_path": "/w/.x/skills/tidy/SKILL.md"}), "---\nname: Tidy\n---\nb", False, "success"), ("s", "e2", "r2", "2", "shell", json.dumps({"command": "cat skills/tidy/SKILL.md"}), "b", True, "success"), ("s", "e3", "r3", "3", "Read", json.dumps({"file_path": "skill://tidy", "limit": 5}), "b", False, "success"), ("s", "e4", "r4", "4", "Read", json.dumps({"file_path": "/w/skills/tidy/SKILL.md"}), "b", False, "failure"), ("s", "e5", "r5", "5", "Read", json.dumps({"file_path": "/w/README.md"}), "b", False, "success")]
+    paired = spark.createDataFrame(rows, "session_id string, event_id string, result_event_id string, call_id string, name string, arguments string, text string, truncated boolean, status string")
+    got = {r.event_id: (r.skill_name, r.locator, r.coverage, r.content_hash is not None, r.load_kind) for r in tools.skill_loads(paired).collect()}
+    assert got == {"e1": ("Tidy", "local:/w/.x/skills/tidy/SKILL.md", "complete", True, "reader"), "e2": ("tidy", "local:skills/tidy/SKILL.md", "partial", False, "cat"), "e3": ("tidy", "skill://tidy", "partial", False, "reader")}
+
+
+def call(command, text, **args):
+    return {"arguments": json.dumps({"command": command, **args}), "status": "success", "text": text, "event_id": "e", "result_event_id": "r", "call_id": "c"}
+
+
+def test_commit_messages():
+    header = "[main abc1234] One\n 1 file changed"
+    assert tools.commits_of([call("git add . && git commit -m 'One' -m two", header)])[0]["message"] == "One\n\ntwo"
+    assert tools.commits_of([call("cat <<'EOF' > /m\nfrom a file\nEOF\n", ""), call("git commit -F /m", header)])[0]["message"] == "from a file"
+    assert tools.commits_of([call("printf hello > m; ls", ""), call("git commit -F m", header)])[0]["message"] is None
+    assert tools.commits_of([call("printf hello > m && ls", ""), call("git commit -F m", header)])[0]["message"] == "hello"
+    assert tools.commits_of([call("printf hello > m && ls", ""), call("make", ""), call("git commit -F m", header)])[0]["message"] is None
+    assert tools.commits_of([call("git commit -m x", "nothing to commit")]) == []
+    assert tools.commits_of([call("cd /a && cd b && git commit -m x", header)])[0]["cwd"] == "/a/b"
+
+
+def test_blame_end_to_end(spark, tmp_path):
+    def git(*args):
+        subprocess.run(["git", "-C", str(tmp_path), *args], check=True, capture_output=True, env=os.environ | {"GIT_AUTHOR_NAME": "a", "GIT_AUTHOR_EMAIL": "a@b", "GIT_COMMITTER_NAME": "a", "GIT_COMMITTER_EMAIL": "a@b"})
+
+    git("init", "-q")
+    (tmp_path / "f.txt").write_text("one\ntwo\n")
+    git("add", "."), git("commit", "-qm", "Write the first lines")
+    (tmp_path / "f.txt").write_text("one\ntwo\nthree\n")
+    git("commit", "-qam", "Add a third line")
+    (tmp_path / "f.txt").write_text("one\ntwo\nthree\nfour\n")
+    lines = blame.read_git(spark, str(tmp_path), "f.txt")
+    shas = {r.line: r.sha for r in lines.collect()}
+    evidence = spark.createDataFrame([("s1", "e1", shas[1][:9], "x", "/w"), ("s2", "e2", "0000aaaa", "add a third line", "/w"), ("s3", "e3", "1111aaaa", "add a third line", "/no")], "session_id string, event_id string, sha string, normalized_message string, cwd string")
+    commits = lines.filter("sha not rlike '^0+$'").select("sha", F.col("summary").alias("message")).distinct()
+    verified = spark.createDataFrame([("/no", "rejected")], "cwd string, state string")
+    marked = blame.classify(lines, blame.candidates(commits, evidence, verified))
+    assert [(r.state, r.session_id) for r in marked.orderBy("line").collect()] == [("matched", "s1"), ("matched", "s1"), ("matched", "s2"), ("uncommitted", None)]
+    assert [(r.session_id, r.strength, r.lines, [tuple(x) for x in r.ranges]) for r in blame.by_session(marked).collect()] == [("s1", "sha_prefix", 2, [(1, 2)]), ("s2", "message", 1, [(3, 3)])]
+    assert blame.coverage(marked).first().asDict() == {"lines": 4, "matched": 3, "ambiguous": 0, "unresolved": 0, "uncommitted": 1}
+    with pytest.raises(ValueError):
+        blame.read_git(spark, str(tmp_path), "none.txt")
+
+
+def test_fuzzy_messages(spark):
+    alike = lambda a, b: one(spark, blame.alike(blame.words(F.col("c0")), blame.words(F.col("c1"))), a, b)
+    assert alike("fix the parser bug", "parser bug fixed") and not alike("fix it now", "fix it not") and alike("parser", "parser") and not alike("parser of", "lexer of")
+
+
+def test_hybrid_keeps_lexical_first_and_says_why_not(spark):
+    items = spark.createDataFrame([(f"i{k}", "user", f"thread title summary number {k} " + "word " * 20, None) for k in range(5)] + [("z", "user", "nothing else " * 10, None)], "item_id string, kind string, text string, occurred_at timestamp")
+    index = search.indexed(items)
+    vectors = index.select("item_id", search.hash_embedding(F.col("text"), 16).alias("embedding"))
+    found, reason = search.hybrid(index, vectors, "thread title", [1.0] + [0.0] * 15)
+    assert reason is None and found.first().lexical_rank == 1
+    assert search.hybrid(index, None, "thread", None)[1] == "no embedder"
+    assert search.hybrid(index, vectors, "thread", [1.0])[1] == "no vectors of these dimensions"
+
+
+def test_stemmed_terms_and_prefixes(spark):
+    items = spark.createDataFrame([("a", "The ponies were running"), ("b", "run-time only"), ("c", "runtime")], "item_id string, text string")
+    index = search.indexed(items)
+    ids = lambda q: sorted(r.item_id for r in search.lexical(index, q).collect())
+    assert ids("running") == ["a", "b", "c"] and ids("pony") == ["a"] and ids("run-time") == ["b"] and ids("run") == ["a", "b"] and ids("!") == []
+
+
+def test_knn_filters_after_the_k(spark):
+    rows = spark.createDataFrame([(k, [float(k), 0.0], k % 2) for k in range(10)], "vec_id long, embedding array<float>, label int")
+    assert [r.vec_id for r in search.nearest(rows, [0.0, 0.0], 4, keep=F.col("label") == 1).collect()] == [1, 3]
+    assert [r.vec_id for r in search.nearest(rows, [0.0, 0.0], 4, keep=F.col("label") == 1, filter_first=True).collect()] == [1, 3, 5, 7]
+
+
+def test_report_changes_and_summary(spark):
+    now = "2024-02-01 00:00:00"
+    rows = spark.sql(f"SELECT 'p' workspace, 'human' authored_by, timestamp '{now}' - make_interval(0,0,0,1,id,0,0) occurred_at FROM range(30)").union(spark.sql(f"SELECT 'p', 'human', timestamp '{now}' - make_interval(0,0,0,8,id,0,0) FROM range(20)"))
+    first = report.project_changes(rows, now, (7,)).collect()
+    assert [(r.current, r.previous, r.percent, r.score) for r in first] == [(30, 20, 50, 50)]
+    points = spark.createDataFrame([("2024-01", "m", 10, 1500, 3600), ("2024-02", "m", 2, 1500, 7200), ("2023-12", "m", 99, 10, 1), ("2024-02", "n", 0, 100, 10)], "month string, model string, matches long, messages long, duration_secs long")
+    assert [(r.model, r.matches, r.messages, round(r.per_hour, 6)) for r in report.frustration_summary(points).collect()] == [("m", 12, 3000, 4.0)]
+
+
+def test_paging_goes_through_nulls(spark):
+    rows = spark.createDataFrame([(None, "b"), (None, "a"), ("2024-01-01", "c"), ("2024-01-02", "d")], "t string, id string").withColumn("t", F.to_timestamp("t"))
+    seen, at = [], None
+    for _ in range(4):
+        page = sequences.page(rows, ["t", "id"], 1, at).collect()
+        seen.append(page[0].id)
+        at = sequences.cursor(page[0].asDict(), ["t", "id"])
+    assert seen == ["a", "b", "c", "d"] and len(page) == 1
+
+
+def test_filters(spark):
+    with pytest.raises(ValueError):
+        filters.corpora(" , ")
+    meta = json.dumps({"cwd": "/w/a/b", "workspace_path": "/w/a"})
+    assert one(spark, filters.metadata_paths(F.col("c0")), meta) == ["/w/a", "/w/a/b"]
+    assert one(spark, filters.in_scope(F.array(F.col("c0")), "/w/a"), "/w/ab") is False
+    assert one(spark, filters.sha_prefixes(F.col("c0")), "ABCDEF") == ["abcd", "abcde", "abcdef"] and one(spark, filters.sha_prefixes(F.col("c0")), "ab") == []
+    assert filters.prunable(spark.range(3).select(F.col("id").cast("string").alias("session_id"))).count() == 0
+
+
+def test_import_conflicts(spark):
+    stored = spark.createDataFrame([("a", "1")], "id string, hash string")
+    rows = spark.createDataFrame([("a", "2"), ("b", "1"), ("b", "1")], "id string, hash string")
+    assert maintenance.import_records(stored, rows)[1].first().asDict() == {"inserted": 1, "duplicates": 1, "conflicts": 1}
+    with pytest.raises(PySparkException):
+        maintenance.checked(stored, rows).collect()
+
+
+def test_raw_objects(spark):
+    entries = spark.createDataFrame([("m", 1, "b"), ("m", 0, "a")], "manifest_hash string, ordinal long, object_hash string")
+    objects = spark.createDataFrame([("a", bytearray(b"one")), ("b", bytearray(b"\x00two"))], "hash string, content binary")
+    assert bytes(maintenance.reassembled(entries, objects).first().content) == b"one\x00two"
+    with pytest.raises(PySparkException):
+        maintenance.reassembled(entries, objects.filter("hash = 'a'")).collect()
+    artifacts = spark.createDataFrame([("h1", "/p", bytearray(b"one\n"), "2024-01-01"), ("h2", "/p", bytearray(b"one\ntwo\n"), "2024-01-02"), ("h3", "/p", bytearray(b"x"), "2024-01-01")], "hash string, path string, content binary, first_seen_at string")
+    plan = maintenance.compaction(artifacts)
+    assert [tuple(r) for r in plan.collect()] == [("h1", "/p", "h2")]
+    events = spark.createDataFrame([("e", "h1", 0, 3), ("f", "h3", 0, 1)], "event_id string, raw_artifact_hash string, byte_offset long, byte_len long")
+    assert sorted(r.raw_artifact_hash for r in maintenance.repointed(events, plan).collect()) == ["h2", "h3"]
+    assert bytes(maintenance.event_bytes(events, artifacts).filter("event_id = 'e'").first().content) == b"one"
+    own = artifacts.select(F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("hash"), "content")
+    accepted, rejected = maintenance.verified_blobs(maintenance.blob_rows(own).withColumn("size", F.when(F.col("size") == 1, 2).otherwise(F.col("size"))), own)
+    assert accepted.count() == 2 and rejected.count() == 1
+
+
+def test_annotations(spark):
+    rows = spark.createDataFrame([("i", "a", "v", 3), ("i", "a", "v", 4), ("j", "a", "v", 5)], "item_id string, axis string, annotator_version string, score int")
+    assert maintenance.annotated(rows.filter("item_id = 'j'"), rows).count() == 1
+    with pytest.raises(PySparkException):
+        maintenance.annotated(rows, rows.withColumn("score", F.lit(9))).collect()
+
+
+def test_merged_json(spark):
+    assert json.loads(one(spark, maintenance.merged_json(F.col("c0"), F.col("c1")), '{"a": "1", "b": "2"}', '{"b": null, "c": "3"}')) == {"a": "1", "c": "3"}
+
+
+def test_topics_need_quality(spark):
+    near = spark.createDataFrame([(k, [float(k % 2) * 10 + (k % 7) * 0.01, float(k % 3) * 10]) for k in range(120)], "item_id long, embedding array<double>")
+    found = topics.cluster(near, 4, 8, 2)
+    assert found.k == 6 and found.silhouette > 0.9
+    flat = spark.range(300).select(F.col("id").alias("item_id"), F.array(*[F.rand(k) for k in range(40)]).alias("embedding"))
+    assert topics.cluster(flat, 2, 3, 1).k == 1
+    with pytest.raises(ValueError):
+        topics.labels([{"topic_id": 1, "texts": [], "terms": []}], lambda *_: " ")
+
+
+def test_plans_push_filters_and_prune_columns(spark, sf_dir):
+    from sessionlake import cluster
+
+    plan = cluster.table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select("l_suppkey")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,49.0)]" in plan and "ReadSchema: struct<l_suppkey:bigint,l_quantity:double>" in plan
