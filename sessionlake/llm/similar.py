@@ -218,6 +218,6 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay when each group keeps the row of least doc_id, one if that repeats; rows with a null id stay. All columns are kept."""
     gone = groups(docs, words, similarity, doc_id, text).filter("doc_id <> kept_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    kept = docs.join(gone, docs[doc_id].cast("long") == gone["_gone"], "left_anti")
     named = kept.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
     return named.unionByName(kept.filter(F.col(doc_id).isNull()))
