@@ -27,7 +27,7 @@ from sessionlake.llm import columns, components, simhash
 #: Words of a shingle of the sketch, its words of 64 bits, and differing bits of the first of them that a candidate may have.
 SKETCH_WORDS, SKETCH_LONGS, RADIUS = 2, 4, 16
 #: Share of differing bits of near copies at the threshold, and how surely such a pair shares a bucket.
-DIFFER, RECALL = 0.12, 0.96
+DIFFER, RECALL = 0.12, 0.995
 #: Least bits of a key; with more texts keys grow so that unrelated texts stay few in a bucket.
 KEY_BITS = 20
 #: Candidates of a text that are verified first; the others only if none of those is alike.
