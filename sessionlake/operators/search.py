@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from sessionlake.functions import porter, text
 
@@ -57,15 +58,15 @@ def _hits(term: dict, stemmed: bool) -> Column:
     return F.size(F.filter(starts, lambda k: F.slice("toks", k, len(words)) == F.array(*map(F.lit, words))))
 
 
-def lexical(index: DataFrame, query: str, any_term: bool = False, limit: int | None = None, stemmed: bool = True) -> DataFrame:
-    """Items that match all terms (or any), with score and rank by BM25; ties to the lesser item_id.
+def matches(index: DataFrame, query: str, any_term: bool = False, stemmed: bool = True) -> DataFrame:
+    """All items that match all terms (or any), with their BM25 score.
 
     Term frequencies are counted where the items are; only one row of corpus
     figures (items, average length, items per term) is sent to every task.
     """
     terms = parse(query)
     if not terms:
-        return index.withColumn("score", F.lit(0.0)).withColumn("rank", F.lit(0)).limit(0)
+        return index.withColumn("score", F.lit(0.0)).limit(0)
     counted = index
     for k, term in enumerate(terms):
         counted = counted.withColumn(f"_tf{k}", _hits(term, stemmed))
@@ -78,9 +79,13 @@ def lexical(index: DataFrame, query: str, any_term: bool = False, limit: int | N
     for k in range(len(terms)):
         idf = F.greatest(F.lit(1e-6), F.log((F.col("_n") - F.col(f"_df{k}") + 0.5) / (F.col(f"_df{k}") + 0.5)))
         score += idf * F.col(f"_tf{k}") * (K1 + 1) / (F.col(f"_tf{k}") + K1 * (1 - B + B * F.col("len") / F.col("_avg")))
-    scored = counted.filter(wanted).crossJoin(F.broadcast(figures)).withColumn("score", score).drop("_n", "_avg", *[f"_{x}{k}" for k in range(len(terms)) for x in ("tf", "df")])
+    return counted.filter(wanted).crossJoin(F.broadcast(figures)).withColumn("score", score).drop("_n", "_avg", *[f"_{x}{k}" for k in range(len(terms)) for x in ("tf", "df")])
+
+
+def lexical(index: DataFrame, query: str, any_term: bool = False, limit: int = SEMANTIC_MOST, stemmed: bool = True) -> DataFrame:
+    """The best matches with score and rank from 1; ties to the lesser item_id. Only these are ranked, so the ranking is of a bounded table."""
     order = [F.desc("score"), F.col("item_id")]
-    top = scored.orderBy(*order).limit(limit) if limit else scored
+    top = matches(index, query, any_term, stemmed).orderBy(*order).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
@@ -202,10 +207,20 @@ def hybrid(index: DataFrame, vectors: DataFrame | None, query: str, vector: list
 
 def hash_embedding(content: Column, dims: int = 256) -> Column:
     """Signed feature hashing of a text's words, of length one; it means nothing and is there for tests."""
-    features = F.transform(text.search_words(content), lambda w: F.xxhash64(w))
-    summed = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(F.filter(features, lambda h: F.pmod(h, F.lit(dims)) == d), F.lit(0.0), lambda s, h: s + F.when(F.shiftrightunsigned(h, 63) == 1, -1.0).otherwise(1.0)))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.element_at(F.transform(F.array(summed), lambda v: F.transform(v, lambda x: F.when(norm(v) > 0, x / norm(v)).otherwise(0.0))), 1)
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def summed(features: pd.Series) -> pd.Series:
+        def one(hashes: np.ndarray) -> list[float] | None:
+            if hashes is None:
+                return None
+            h = np.asarray(hashes, np.int64)
+            v = np.bincount(h % dims, np.where(h < 0, -1.0, 1.0), dims)
+            norm = np.linalg.norm(v)
+            return (v / norm if norm else v).tolist()
+
+        return features.map(one)
+
+    return summed(F.transform(text.search_words(content), lambda w: F.xxhash64(w)))
 
 
 def missing_embeddings(items: DataFrame, embeddings: DataFrame, model_id: str) -> DataFrame:

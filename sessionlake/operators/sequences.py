@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionlake import cluster
+
 
 def carry_model(rows: DataFrame, by: str, order: list[str], value: str, to: str = "carried_model") -> DataFrame:
     """Adds the last non-blank value up to and including each row."""
@@ -58,11 +60,30 @@ def top_per_group(rows: DataFrame, by: list[str], order: list[Column], most: int
     return rows.withColumn(to, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(to) <= most)
 
 
+def numbered(keys: DataFrame, order: list[str], to: str = "_n") -> tuple[DataFrame, int]:
+    """(keys with their places from 0 in a global order, how many there are), without one task for all.
+
+    The keys are range-partitioned and written; a place is the one in its
+    partition plus the sizes of the partitions before, one number for each.
+    """
+    sorted_ = cluster.materialize(keys.select(*order).orderBy(*order).withColumn("_p", F.spark_partition_id()), "numbered")
+    sizes = {r["_p"]: r["count"] for r in sorted_.groupBy("_p").count().collect()}
+    before, total = [], 0
+    for part in sorted(sizes):
+        before.append((part, total))
+        total += sizes[part]
+    starts = keys.sparkSession.createDataFrame(before, "_p int, _b long")
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return sorted_.withColumn("_o", own).join(F.broadcast(starts), "_p").select(*order, (F.col("_b") + F.col("_o") - 1).alias(to)), total
+
+
 def stride_sample(rows: DataFrame, order: list[str], count: int) -> DataFrame:
-    """count rows at even strides of an order: those of place i * n / count for each i. Places come from a window over all rows' order keys."""
-    keys = rows.select(*order).withColumn("_n", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("_all", F.count("*").over(Window.partitionBy()))
-    i = F.ceil(F.col("_n") * count / F.col("_all"))
-    chosen = keys.filter((F.col("_all") <= count) | ((F.floor(i * F.col("_all") / count) == F.col("_n")) & (i < count)))
+    """count rows at even strides of an order: those of place i * n // count for each i; all rows if there are no more."""
+    keys, total = numbered(rows, order)
+    if total <= count:
+        return rows
+    i = F.ceil(F.col("_n") * count / F.lit(total))
+    chosen = keys.filter((F.floor(i * F.lit(total) / count) == F.col("_n")) & (i < count))
     return rows.join(chosen.select(*order), order, "left_semi")
 
 

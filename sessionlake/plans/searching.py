@@ -39,12 +39,12 @@ def _hits(df):
 
 @query("search_terms_and", f"WITH {_bm25([('the', False), ('thing', True)], False)} SELECT item_id, session_id, score FROM b")
 def search_terms_and(spark, sf_dir):
-    return _hits(search.lexical(_index(spark, sf_dir), "the thing", stemmed=False))
+    return _hits(search.matches(_index(spark, sf_dir), "the thing", stemmed=False))
 
 
 @query("search_terms_or", f"WITH {_bm25([('was', False), ('thing', True), ('with', True)], True)} SELECT item_id, session_id, score FROM b")
 def search_terms_or(spark, sf_dir):
-    return _hits(search.lexical(_index(spark, sf_dir), "was thing with", any_term=True, stemmed=False))
+    return _hits(search.matches(_index(spark, sf_dir), "was thing with", any_term=True, stemmed=False))
 
 
 @query("search_prefix", f"WITH {_X} SELECT item_id, {_tf('ther', True)} AS hits FROM x WHERE hits > 0")
@@ -54,13 +54,13 @@ def search_prefix(spark, sf_dir):
 
 @query("search_phrase", f"WITH {_X} SELECT item_id FROM x WHERE len(list_filter(range(1, len(toks)), lambda k : toks[k] = 'of' AND toks[k + 1] = 'the')) > 0")
 def search_phrase(spark, sf_dir):
-    return search.lexical(_index(spark, sf_dir), "of-the", stemmed=False).select("item_id")
+    return search.matches(_index(spark, sf_dir), "of-the", stemmed=False).select("item_id")
 
 
 @query("bm25_topk", f"WITH {_bm25([('the', False), ('and', False)], True)}, r AS (SELECT item_id, score, row_number() OVER (ORDER BY score DESC, item_id) AS rank FROM b) SELECT * FROM r WHERE rank <= 20")
 def bm25_topk(spark, sf_dir):
     index = _index(spark, sf_dir)
-    found = search.lexical(index, "the and", any_term=True, stemmed=False).withColumn("score", F.round("score", 9))
+    found = search.matches(index, "the and", any_term=True, stemmed=False).withColumn("score", F.round("score", 9))
     from pyspark.sql import Window
 
     order = [F.desc("score"), F.col("item_id")]
@@ -79,7 +79,7 @@ def snippet_240(spark, sf_dir):
 
 @query("lexical_snippet")
 def lexical_snippet(spark, sf_dir):
-    return search.lexical(_index(spark, sf_dir), "thing", stemmed=False).select("item_id", search.snippet(F.col("text"), "thing").alias("content"))
+    return search.matches(_index(spark, sf_dir), "thing", stemmed=False).select("item_id", search.snippet(F.col("text"), "thing").alias("content"))
 
 
 _QUERY = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
