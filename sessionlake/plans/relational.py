@@ -31,9 +31,9 @@ def threads_oldest(spark, sf_dir):
     return _threads(spark, sf_dir).orderBy(F.asc_nulls_first("latest"), "session_id").limit(40)
 
 
-@query("thread_activity", "SELECT user_id, ts::DATE AS day, count(*) AS event_count, min(ts) AS first_event_at, max(ts) AS last_event_at FROM events GROUP BY 1, 2")
+@query("thread_activity", "SELECT user_id, ts::DATE::VARCHAR AS day, count(*) AS event_count, min(ts) AS first_event_at, max(ts) AS last_event_at FROM events GROUP BY 1, 2")
 def thread_activity(spark, sf_dir):
-    return cluster.table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("event_count"), F.min("ts").alias("first_event_at"), F.max("ts").alias("last_event_at"))
+    return cluster.table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("event_count"), F.min("ts").alias("first_event_at"), F.max("ts").alias("last_event_at"))
 
 
 @query("last_activity_greatest", "SELECT session_id, greatest(last_event_at, CASE WHEN conv_id % 2 = 0 THEN first_event_at + INTERVAL 1 DAY END, first_event_at) AS last_activity FROM facts")
@@ -142,7 +142,7 @@ def status_counts_union(spark, sf_dir):
     return parts.groupBy("source_kind").agg(*[F.sum(c).alias(c) for c in ("sessions", "items", "events")])
 
 
-@query("status_counts_approximate", "SELECT source_kind, count(*) AS sessions, ((SELECT count(*) FROM items) * count(*) * 2 + sum(count(*)) OVER ()) // (2 * sum(count(*)) OVER ()) AS approx_items FROM facts GROUP BY 1")
+@query("status_counts_approximate", "SELECT source_kind, count(*) AS sessions, (((SELECT count(*) FROM items) * count(*) * 2 + sum(count(*)) OVER ()) // (2 * sum(count(*)) OVER ()))::BIGINT AS approx_items FROM facts GROUP BY 1")
 def status_counts_approximate(spark, sf_dir):
     from sessionlake.operators import maintenance
 

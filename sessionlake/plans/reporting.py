@@ -20,6 +20,10 @@ def _toks(spark: SparkSession, sf_dir: str, human: bool = True) -> DataFrame:
     return rows.select("item_id", "session_id", "workspace", "kind", "authored_by", "occurred_at", text.words(F.col("text")).alias("toks"))
 
 
+def _day_as_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("day", F.col("day").cast("string"))
+
+
 @query("report_totals", """
 SELECT count(*) AS sessions, count(*) FILTER (session_class <> 'subagent') AS threads, sum(event_count)::BIGINT AS events, min(first_event_at) AS first_activity, max(last_event_at) AS last_activity,
   sum(human)::BIGINT AS human_messages, sum(agent)::BIGINT AS agent_messages, sum(assistant)::BIGINT AS assistant_messages, sum(harness)::BIGINT AS harness_messages
@@ -31,7 +35,7 @@ def report_totals(spark, sf_dir):
 
 
 _CALENDAR = """
-SELECT d.day, coalesce(s.n, 0) AS sessions, coalesce(h.n, 0) AS human_messages
+SELECT d.day::VARCHAR AS day, coalesce(s.n, 0) AS sessions, coalesce(h.n, 0) AS human_messages
 FROM (SELECT (DATE '2024-01-20' - i::INT) AS day FROM range(365) r(i)) d
 LEFT JOIN (SELECT first_event_at::DATE AS day, count(*) AS n FROM facts GROUP BY 1) s USING (day)
 LEFT JOIN (SELECT occurred_at::DATE AS day, count(*) AS n FROM provenance WHERE authored_by = 'human' GROUP BY 1) h USING (day)
@@ -40,7 +44,7 @@ LEFT JOIN (SELECT occurred_at::DATE AS day, count(*) AS n FROM provenance WHERE
 
 @query("activity_calendar", _CALENDAR)
 def activity_calendar(spark, sf_dir):
-    return report.calendar(model.facts(spark, sf_dir), model.provenance(spark, sf_dir), AS_OF)
+    return _day_as_text(report.calendar(model.facts(spark, sf_dir), model.provenance(spark, sf_dir), AS_OF))
 
 
 @query("calendar_levels", f"""
@@ -48,7 +52,7 @@ WITH d AS ({_CALENDAR}), s AS (SELECT day, ceil(4 * cume_dist() OVER (ORDER BY s
 SELECT d.*, coalesce(level, 0) AS level FROM d LEFT JOIN s USING (day)
 """)
 def calendar_levels(spark, sf_dir):
-    return report.calendar_levels(report.calendar(model.facts(spark, sf_dir), model.provenance(spark, sf_dir), AS_OF))
+    return _day_as_text(report.calendar_levels(report.calendar(model.facts(spark, sf_dir), model.provenance(spark, sf_dir), AS_OF)))
 
 
 _PERIODS = """
@@ -83,11 +87,11 @@ def project_changes_top2(spark, sf_dir):
 
 
 @query("tokens_by_day", """
-SELECT last_event_at::DATE AS day, greatest(coalesce(sum(input_tokens), 0), 0)::BIGINT AS input_tokens, greatest(coalesce(sum(cached_input_tokens), 0), 0)::BIGINT AS cached_input_tokens, greatest(coalesce(sum(output_tokens), 0), 0)::BIGINT AS output_tokens
+SELECT last_event_at::DATE::VARCHAR AS day, greatest(coalesce(sum(input_tokens), 0), 0)::BIGINT AS input_tokens, greatest(coalesce(sum(cached_input_tokens), 0), 0)::BIGINT AS cached_input_tokens, greatest(coalesce(sum(output_tokens), 0), 0)::BIGINT AS output_tokens
 FROM facts WHERE last_event_at IS NOT NULL GROUP BY 1
 """)
 def tokens_by_day(spark, sf_dir):
-    return report.tokens_by_day(model.facts(spark, sf_dir))
+    return _day_as_text(report.tokens_by_day(model.facts(spark, sf_dir)))
 
 
 @query("tokens_by_model", """
