@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,3 +154,88 @@ def title(native: Column, inline: Column, lines: Column, most: int = 100) -> Col
 
 def human_text(content: Column, rule: Column) -> Column:
     return text.after_wrapper(content, rule)
+
+
+SEGMENTS = "event_id string, kind string, text string, policy string, skipped string"
+_TOOLISH = ("tool", "function_call", "thinking", "reasoning", "compact", "bash", "stdout")
+
+
+def _said(node: object) -> list[str]:
+    """The texts of content, objects of tools and thinking left out."""
+    if isinstance(node, str):
+        return [node]
+    if isinstance(node, list):
+        return [t for x in node for t in _said(x)]
+    if isinstance(node, dict):
+        name = f"{node.get('type') or ''} {node.get('name') or ''}".lower()
+        if any(word in name for word in _TOOLISH):
+            return []
+        return [t for key in ("text", "content", "message", "payload", "parts") if key in node for t in _said(node[key])]
+    return []
+
+
+def segment(line: str) -> tuple[str | None, str | None, str, str | None]:
+    """(kind, text, policy, why it is skipped) of one event's JSON."""
+    try:
+        root = json.loads(line)
+    except ValueError:
+        return None, None, "never", "no JSON"
+    if not isinstance(root, dict):
+        return None, None, "never", "no object"
+    inner = next((root[k] for k in ("message", "payload") if isinstance(root.get(k), dict)), {})
+    role = root.get("role") or inner.get("role") or root.get("type")
+    if isinstance(root.get("messages"), list):
+        texts = [t for m in root["messages"] if isinstance(m, dict) and m.get("role") in ("user", "assistant") for t in _said(m.get("content"))]
+        kind = "conversation"
+    elif role in ("user", "assistant"):
+        texts, kind = _said({k: v for k, v in root.items() if k in ("content", "text", "message", "payload", "parts")}), role
+    else:
+        return None, None, "never", f"role {role}"
+    text_ = "\n".join(t for t in texts if t.strip())
+    return (kind, text_, "required", None) if text_ else (None, None, "never", "no text")
+
+
+def segments(events: DataFrame) -> DataFrame:
+    """SEGMENTS of events (event_id, line): what of each is searched for, or why nothing is."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(i, *segment(line or "")) for i, line in zip(frame["event_id"], frame["line"])]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SEGMENTS.split(", ")])
+
+    return events.select("event_id", "line").mapInPandas(work, SEGMENTS)
+
+
+def walk(events: DataFrame, key: str) -> DataFrame:
+    """(event_id, value): the strings under a key at any depth of events (event_id, line)."""
+
+    def values(node: object) -> Iterator[str]:
+        if isinstance(node, dict):
+            if isinstance(node.get(key), str):
+                yield node[key]
+            for x in node.values():
+                yield from values(x)
+        elif isinstance(node, list):
+            for x in node:
+                yield from values(x)
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for event_id, line in zip(frame["event_id"], frame["line"]):
+                try:
+                    rows += [(event_id, v) for v in values(json.loads(line or ""))]
+                except ValueError:
+                    pass  # a line that is no JSON names nothing
+            yield pd.DataFrame(rows, columns=["event_id", "value"])
+
+    return events.select("event_id", "line").mapInPandas(work, "event_id string, value string")
+
+
+def usage_backfill(items: DataFrame, usage: DataFrame) -> DataFrame:
+    """Items whose metadata takes over usage (JSON) by message and part; usage that is there stays."""
+    from sessionlake.operators import maintenance
+
+    new = usage.select("message_id", "part_id", F.col("usage").alias("_u"))
+    joined = items.join(new, ["message_id", "part_id"], "left")
+    return joined.withColumn("metadata_json", F.when(F.col("_u").isNull(), F.col("metadata_json")).otherwise(maintenance.merged_json(F.col("_u"), F.col("metadata_json")))).select(*items.columns)

@@ -34,7 +34,8 @@ def roots(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if not held.filter("not done").limit(1).count():
             return held.select("session_id", F.col("up").alias("root_session_id"))
         over = held.select(F.col("session_id").alias("up"), F.col("up").alias("next"), F.col("done").alias("next_done"))
-        held = cluster.materialize(held.join(over, "up", "left").select("session_id", F.coalesce("next", "up").alias("up"), (F.col("done") | F.coalesce("next_done", F.lit(True))).alias("done")), "roots")
+        before, held = held, cluster.materialize(held.join(over, "up", "left").select("session_id", F.coalesce("next", "up").alias("up"), (F.col("done") | F.coalesce("next_done", F.lit(True))).alias("done")), "roots")
+        cluster.discard(before)
     raise ValueError("sessions are each other's parents")
 
 
@@ -68,7 +69,8 @@ def affected(touched: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
         fresh = cluster.materialize(frontier.join(both, F.col("session_id") == F.col("a")).select(F.col("b").alias("session_id")).distinct().join(found, "session_id", "left_anti"), "affected")
         if not fresh.limit(1).count():
             return found
-        found, frontier = cluster.materialize(found.union(fresh), "affected"), fresh
+        before, found, frontier = found, cluster.materialize(found.union(fresh), "affected"), fresh
+        cluster.discard(before)
     raise ValueError(f"edges reach on beyond {most_rounds} steps")
 
 

@@ -186,3 +186,38 @@ def latest_annotations(rows: DataFrame) -> DataFrame:
     """Annotations of the version that was written last."""
     version = rows.groupBy("annotator_version").agg(F.max("annotated_at").alias("at")).orderBy(F.desc("at"), F.desc("annotator_version")).limit(1)
     return rows.join(F.broadcast(version.select("annotator_version")), "annotator_version", "left_semi")
+
+
+def exportable(sessions: DataFrame, source_kinds: list[str] | None = None, scope: str | None = None, session_ids: list[str] | None = None, since: str | None = None) -> DataFrame:
+    """Sessions of an export: since looks at the latest of update, event and start; conditions that are not given choose all."""
+    from sessionlake.functions import dates
+    from sessionlake.operators import filters
+
+    wanted = F.lit(True)
+    if source_kinds is not None:
+        wanted &= F.col("source_kind").isin(source_kinds)
+    if scope is not None:
+        wanted &= filters.in_scope(F.array("workspace"), scope)
+    if session_ids is not None:
+        wanted &= F.col("session_id").isin(session_ids)
+    if since is not None:
+        wanted &= F.greatest("updated_at", "last_event_at", "started_at") >= dates.since(since)
+    return sessions.filter(wanted)
+
+
+def freshness(files: DataFrame, checkpoints: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(path, raw_current, needs_workspace_refresh): whether a file was read as it is, and has a session without a workspace."""
+    bare = sessions.filter("workspace is null").select("path").distinct().withColumn("_w", F.lit(True))
+    read = checkpoints.select("path", F.col("cursor").alias("_c"))
+    return files.join(read, "path", "left").join(bare, "path", "left").select("path", F.coalesce(F.col("_c") == F.col("cursor"), F.lit(False)).alias("raw_current"), F.coalesce("_w", F.lit(False)).alias("needs_workspace_refresh"))
+
+
+def in_roots(rows: DataFrame, roots: DataFrame, path: str = "cwd") -> DataFrame:
+    """Rows whose path is a root or lies under one. roots is a handful of repository folders."""
+    r = F.broadcast(roots.select(F.rtrim(F.col("root"), F.lit("/")).alias("_root")))
+    return rows.join(r, (F.col(path) == F.col("_root")) | F.col(path).startswith(F.concat("_root", F.lit("/"))), "left_semi")
+
+
+def archive_cleanup(events: DataFrame, raw_tables: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Events without references to raw artifacts, and the raw tables empty."""
+    return events.withColumn("raw_artifact_hash", F.lit(None).cast("string")), {name: rows.limit(0) for name, rows in raw_tables.items()}

@@ -238,3 +238,13 @@ def sentiment_version(annotations: DataFrame, corpus: int, axes: int) -> DataFra
 
 def sentiment_periods(annotations: DataFrame, by: dict[str, Column]) -> DataFrame:
     return annotations.groupBy(*[c.alias(n) for n, c in by.items()], "axis").agg(F.avg("score").alias("score"), F.count("*").alias("messages"))
+
+
+def snapshot(parts: dict[str, DataFrame], generated_at: str) -> DataFrame:
+    """(report_json, generated_at): one row that holds all parts of a report as arrays of objects. Parts are reports, so they are small."""
+    out = None
+    for name, rows in parts.items():
+        one = rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("rows")).select(F.lit(name).alias("name"), "rows")
+        out = one if out is None else out.union(one)
+    listed = out.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "rows"))), lambda p: F.concat(F.lit('"'), p["name"], F.lit('":'), p["rows"])), ",").alias("_all"))
+    return listed.select(F.concat(F.lit("{"), "_all", F.lit("}")).alias("report_json"), F.lit(generated_at).cast("timestamp").alias("generated_at"))

@@ -95,3 +95,12 @@ def by_month(assignments: DataFrame, items: DataFrame) -> DataFrame:
 def share(assignments: DataFrame) -> DataFrame:
     by = assignments.groupBy("topic_id").agg(F.count("*").alias("messages"))
     return by.withColumn("share", F.col("messages") / F.sum("messages").over(Window.partitionBy()))
+
+
+def told(run_silhouette: float, topics: DataFrame, labels: DataFrame) -> bool:
+    """Whether a run's topics are shown: good enough, and each with a label."""
+    return run_silhouette >= LEAST_SILHOUETTE and not topics.join(labels, "topic_id", "left_anti").limit(1).count()
+
+
+def by_project(assignments: DataFrame, items: DataFrame) -> DataFrame:
+    return assignments.join(items.select("item_id", "workspace"), "item_id").groupBy("workspace", "topic_id").agg(F.count("*").alias("messages"))

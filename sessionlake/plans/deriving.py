@@ -177,3 +177,39 @@ def status_count_deltas(spark, sf_dir):
     facts = model.facts(spark, sf_dir)
     gone = facts.filter("conv_id % 10 = 0").groupBy("source_kind").agg((-F.count("*")).alias("sessions"))
     return maintenance.count_deltas(facts.groupBy("source_kind").agg(F.count("*").alias("sessions")), gone)
+
+
+@query("first_class_signal", "SELECT session_id, coalesce(CASE WHEN has THEN lead ELSE any_ END, 'interactive') AS signal FROM (SELECT session_id, arg_min(s, ordinal) FILTER (s IS NOT NULL AND kind = 'system') AS lead, bool_or(kind = 'system') AS has, arg_min(s, ordinal) FILTER (s IS NOT NULL) AS any_ FROM (SELECT *, CASE WHEN ordinal % 3 = 1 THEN 'k' || (conv_id % 4) || kind END AS s FROM items) GROUP BY 1)")
+def first_class_signal(spark, sf_dir):
+    from sessionlake.operators import sequences
+
+    rows = model.items(spark, sf_dir).withColumn("signal", F.when(F.col("ordinal") % 3 == 1, F.concat(F.lit("k"), F.col("conv_id") % 4, "kind")))
+    return sequences.first_signal(rows, "session_id", "ordinal", "kind", "signal", "system", "interactive")
+
+
+@query("search_segments", "SELECT item_id AS event_id, CASE WHEN kind IN ('user', 'assistant') THEN kind END AS kind, CASE WHEN kind IN ('user', 'assistant') THEN text END AS text FROM items WHERE trim(text) <> ''")
+def search_segments(spark, sf_dir):
+    rows = model.items(spark, sf_dir).filter("trim(text) <> ''")
+    part = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("text"))
+    line = F.to_json(F.struct(F.struct(F.col("kind").alias("role"), F.array(part("tool_use", F.lit("no")), part("text", F.col("text"))).alias("content")).alias("message")))
+    return derive.segments(rows.select(F.col("item_id").alias("event_id"), line.alias("line"))).select("event_id", "kind", "text")
+
+
+@query("agent_path_walk", "SELECT item_id AS event_id, 'a' || conv_id AS value FROM items WHERE ordinal % 2 = 0")
+def agent_path_walk(spark, sf_dir):
+    line = F.when(F.col("ordinal") % 2 == 0, F.concat(F.lit('{"x": [{"y": {"agent_path": "a'), "conv_id", F.lit('"}}]}'))).otherwise("no JSON")
+    return derive.walk(model.items(spark, sf_dir).select(F.col("item_id").alias("event_id"), line.alias("line")), "agent_path")
+
+
+@query("topic_shares", "SELECT label AS topic_id, count(*) AS messages, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM embeddings GROUP BY 1")
+def topic_shares(spark, sf_dir):
+    from sessionlake.operators import topics
+
+    return topics.share(cluster.table(spark, sf_dir, "embeddings").select(F.col("label").alias("topic_id"))).withColumn("share", F.round("share", 9))
+
+
+@query("event_windows_tumbling", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS events FROM events GROUP BY 1, 2")
+def event_windows_tumbling(spark, sf_dir):
+    from sessionlake.streaming import incremental
+
+    return incremental.activity_windows(cluster.table(spark, sf_dir, "events")).select("start", "event_type", "events")

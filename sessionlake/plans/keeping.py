@@ -134,3 +134,58 @@ def reconcile_unchanged(spark, sf_dir):
     old = items.filter("ordinal < 3").select("item_id", F.when(F.col("conv_id") % 2 == 0, F.col("text_hash")).otherwise("old").alias("hash"))
     diff = incremental.reconcile(old, items.select("item_id", F.col("text_hash").alias("hash")), "item_id", "hash")
     return diff.agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "unchanged", "changed")])
+
+
+@query("export_since", "SELECT session_id FROM facts WHERE source_kind = 'codex' AND last_event_at >= TIMESTAMP '2024-01-03'")
+def export_since(spark, sf_dir):
+    rows = model.facts(spark, sf_dir).withColumn("updated_at", F.lit(None).cast("timestamp")).withColumn("started_at", F.col("first_event_at"))
+    return maintenance.exportable(rows, source_kinds=["codex"], since="2024-01-03").select("session_id")
+
+
+@query("freshness_probe", "SELECT 'f' || doc_id AS path, doc_id % 3 <> 0 AND doc_id % 5 <> 0 AS raw_current, doc_id % 7 = 0 AS needs_workspace_refresh FROM documents")
+def freshness_probe(spark, sf_dir):
+    docs = cluster.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("f"), "doc_id").alias("path"), F.md5("text").alias("cursor"))
+    read = docs.filter("doc_id % 5 <> 0").withColumn("cursor", F.when(F.col("doc_id") % 3 == 0, "old").otherwise(F.col("cursor")))
+    bare = docs.select("path", F.when(F.col("doc_id") % 7 != 0, "w").alias("workspace"))
+    return maintenance.freshness(docs, read, bare)
+
+
+@query("repository_prefix_join", "SELECT session_id FROM facts WHERE workspace = '/ws/p2'")
+def repository_prefix_join(spark, sf_dir):
+    return maintenance.in_roots(model.facts(spark, sf_dir), spark.createDataFrame([("/ws/p2/",), ("/elsewhere",)], "root string"), "workspace").select("session_id")
+
+
+@query("report_snapshot")
+def report_snapshot(spark, sf_dir):
+    from sessionlake.operators import report
+
+    facts = model.facts(spark, sf_dir)
+    return report.snapshot({"models": report.tokens_by_model(facts), "mix": report.mix_by_month(facts, "source_kind")}, "2024-02-01")
+
+
+@query("history_health", "SELECT count(*) = 0 AS ready, count(*) AS missing FROM items WHERE kind IN ('user', 'assistant') AND trim(text) <> '' AND tier <> 'conversation'")
+def history_health(spark, sf_dir):
+    from sessionlake.operators import lookups
+
+    rows = model.items(spark, sf_dir).withColumn("event_id", F.col("item_id"))
+    return lookups.history_health(rows.withColumn("role", F.col("kind")).withColumn("content", F.col("text")), rows)
+
+
+@query("source_status", "SELECT source_kind, sum(s)::BIGINT AS sessions, sum(i)::BIGINT AS items FROM (SELECT source_kind, 1 AS s, 0 AS i FROM facts UNION ALL SELECT source_kind, 0, 1 FROM items) GROUP BY 1")
+def source_status(spark, sf_dir):
+    from sessionlake.operators import lookups
+
+    return lookups.status({"sessions": model.facts(spark, sf_dir), "items": model.items(spark, sf_dir)})
+
+
+@query("native_suffix_lookup", "SELECT session_id FROM facts WHERE source_kind = 'omp' AND conv_id = 7")
+def native_suffix_lookup(spark, sf_dir):
+    from sessionlake.operators import lookups
+
+    return lookups.by_native_suffix(model.facts(spark, sf_dir).withColumn("external_id", F.concat(F.lit("dir_"), "conv_id")), "7").select("session_id")
+
+
+@query("latest_annotations", "SELECT count(*) AS rows FROM labels WHERE doc_id % 11 <> 0")
+def latest_annotations(spark, sf_dir):
+    rows = cluster.table(spark, sf_dir, "labels").select("doc_id", F.explode(F.array(F.struct(F.lit("v1").alias("annotator_version"), F.lit("2024-01-01").alias("annotated_at")), F.struct(F.lit("v2").alias("annotator_version"), F.lit("2024-02-01").alias("annotated_at")))).alias("v")).select("doc_id", "v.*")
+    return maintenance.latest_annotations(rows.filter("not (annotator_version = 'v2' and doc_id % 11 = 0)")).agg(F.count("*").alias("rows"))

@@ -271,3 +271,46 @@ def test_plans_push_filters_and_prune_columns(spark, sf_dir):
 
     plan = cluster.table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select("l_suppkey")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,49.0)]" in plan and "ReadSchema: struct<l_suppkey:bigint,l_quantity:double>" in plan
+
+
+def test_annotation_answers_are_checked(spark):
+    from sessionlake.operators import annotate
+
+    items = spark.createDataFrame([(f"i{k}", "text " * k) for k in range(5)], "item_id string, text string")
+    ask = lambda pairs: json.dumps({i: {"clarity": 3, "trust": 5} for i, _ in pairs})
+    rows = annotate.annotate(items, ask, "m", "v", ["clarity", "trust"], 2)
+    assert rows.count() == 10
+    left = annotate.missing(items, rows.filter("not (item_id = 'i3' and axis = 'trust')"), "v", ["clarity", "trust"])
+    assert [r.item_id for r in left.collect()] == ["i3"]
+    assert annotate.counters(items, rows, "v", ["clarity", "trust"]).first().asDict() == {"corpus": 5, "complete": 5, "rows_written": 10}
+    for bad in ('{"i": {"a": 6}}', '{"i": {}}', '{"j": {"a": 1}}', '{"i": {"a": true}}', "[]"):
+        with pytest.raises(ValueError):
+            annotate.parsed(bad, ["i"], ["a"])
+
+
+def test_service_answers(spark):
+    from sessionlake.service import Service
+
+    items = spark.sql("SELECT concat('i', id) item_id, 's' session_id, id ordinal, 'user' kind, concat('thread title ', id) text, 'conversation' tier, timestamp'2024-01-01' occurred_at FROM range(12)")
+    sessions = spark.sql("SELECT 's' session_id, timestamp'2024-01-01' last_event_at")
+    service = Service(sessions, items, search.indexed(items))
+    assert json.loads(service.health())["data"]["items"] == 12 and len(json.loads(service.heads())["data"]) == 1
+    found = json.loads(service.search("title", limit=3))
+    assert found["ok"] and len(found["data"]["results"]) == 3 and found["data"]["semantic_unavailable"] == "no embedder"
+    assert [r["ordinal"] for r in json.loads(service.show("i4", 1, 2))["data"]] == [3, 4, 5, 6]
+    assert json.loads(service.show("none"))["error"]["kind"] == "LookupError" and not json.loads(service.search("x", limit=0))["ok"]
+    assert "▶ user" in json.loads(service.transcript("s", "i4"))["data"] and not json.loads(service.transcript("none"))["ok"]
+
+
+def test_event_segments():
+    assert derive.segment('{"role": "user", "content": "a"}')[:2] == ("user", "a")
+    assert derive.segment('{"message": {"role": "assistant", "content": [{"type": "thinking", "text": "no"}, {"type": "text", "text": "b"}]}}')[:2] == ("assistant", "b")
+    assert derive.segment('{"messages": [{"role": "user", "content": "a"}, {"role": "tool", "content": "no"}, {"role": "assistant", "content": "b"}]}')[:2] == ("conversation", "a\nb")
+    assert derive.segment('{"role": "system", "content": "a"}')[3] == "role system" and derive.segment("x")[3] == "no JSON" and derive.segment('{"role": "user"}')[3] == "no text"
+
+
+def test_places_in_a_global_order(spark):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(7)
+    keys, total = sequences.numbered(rows, ["k"])
+    assert total == 1000 and all(r.k == r._n for r in keys.collect())
+    assert sorted(r.k for r in sequences.stride_sample(rows, ["k"], 3).collect()) == [0, 333, 666]
