@@ -5,7 +5,7 @@ words run together, are split by the most likely sequence of words (Viterbi over
 unigrams). Pages that a rule decides teach a multinomial naive Bayes model which
 tokens of hosts and paths go with which verdict; it decides the others.
 
-What is broadcast has a fixed size: MOST_WORDS words and 2 * BUCKETS counts.
+What is broadcast has a fixed size: at most MOST_WORDS words, and 2 * BUCKETS counts.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionlake import cluster
+
 #: The size of the word model: its most frequent words, none longer than MOST_LETTERS.
 MOST_WORDS, MOST_LETTERS = 50_000, 24
 #: Tokens are counted in so many hashed buckets.
@@ -132,6 +134,22 @@ def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select(F.col(html).alias("html")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int = MOST_WORDS) -> dict[str, int]:
+    """The words down to the frequency level at which no more than `most` are kept.
+
+    Only the number of words of each level comes to the driver, and then the
+    words that are kept: levels are the counts themselves up to 1,024 and a
+    sixty-fourth of a doubling above, a few thousand at any size.
+    """
+    held = cluster.materialize(counts, "words").withColumn("level", F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(64 * F.log2(F.col("n") / 1024))).cast("long"))
+    kept, least = 0, None
+    for r in sorted(held.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        if kept + r["count"] > most:
+            break
+        kept, least = kept + r["count"], r["level"]
+    return {} if least is None else {r["word"]: r["n"] for r in held.filter(F.col("level") >= least).select("word", "n").collect()}
+
+
 def tokens(host: str, path: str, segmenter: Segmenter) -> list[str]:
     """Words of a host's labels and of a path, told apart; a number counts as a number."""
     own = [f"h:{w}" for label in _TOKENS.findall(host) for w in segmenter.split(label)]
@@ -151,8 +169,7 @@ class Model:
 
 def train(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "html") -> Model:
     """Word counts over all pages, and token counts over all pages that a rule decides."""
-    top = word_counts(pages, html).orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
-    words = {r["word"]: r["n"] for r in top}
+    words = frequent(word_counts(pages, html))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, segmenter = Rules(rules), Segmenter(words)
