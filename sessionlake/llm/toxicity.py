@@ -330,8 +330,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         terms = list(toxic)  # a term of no toxic text cannot be chosen, one of another task's counts there
         yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "a": pa.array([toxic[t] for t in terms], pa.int64())})
 
+    # a term that no other text has needs so many toxic ones to be more than chance
+    usual = n.get(1, 0) / max(1, n.get(1, 0) + n.get(0, 0))
+    least = max(LEAST_TEXTS, math.ceil(LEAST_EVIDENCE / -math.log(usual))) if 0 < usual < 1 else LEAST_TEXTS
     # of each toxic sample row the terms; then how often those that may be chosen stand in the others
-    likely = own.filter("toxic = 1").mapInArrow(count, "term string, a long").groupBy("term").agg(F.sum("a").alias("a")).filter(F.col("a") >= LEAST_TEXTS).collect()  # bounded by the words of SAMPLE_PER_LABEL texts
+    likely = own.filter("toxic = 1").mapInArrow(count, "term string, a long").groupBy("term").agg(F.sum("a").alias("a")).filter(F.col("a") >= least).collect()  # bounded by the words of SAMPLE_PER_LABEL texts
     wanted = {r["term"]: r["a"] for r in likely}
 
     def elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
