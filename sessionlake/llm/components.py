@@ -24,7 +24,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").filter("v > u").selectExpr("v as u", "m as v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        held = cluster.materialize(small, "edges")
+        past, held = held, cluster.materialize(small, "edges")
+        cluster.discard(past)
         now = tuple(held.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
             return held.selectExpr("u as node", "v as label")
