@@ -54,8 +54,19 @@ def _hits(term: dict, stemmed: bool) -> Column:
         if term["prefix"]:
             return F.size(F.filter("toks", lambda t: t.startswith(words[0])))
         return F.size(F.filter("toks", lambda t: t == words[0]))
-    starts = F.when(F.col("len") >= len(words), F.sequence(F.lit(1), F.greatest(F.col("len") - len(words) + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, lambda k: F.slice("toks", k, len(words)) == F.array(*map(F.lit, words))))
+
+    def found(toks: Column) -> Column:
+        def stands(k: Column) -> Column:
+            here = F.get(toks, k) == words[0]
+            for n, w in enumerate(words[1:], 1):
+                here &= F.get(toks, k + n) == w
+            return here
+
+        last = F.size(toks) - len(words)
+        return F.when(last >= 0, F.size(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), stands))).otherwise(0)
+
+    # bound by a lambda, so that no plan works out toks anew for each position
+    return F.element_at(F.transform(F.array("toks"), found), 1)
 
 
 def matches(index: DataFrame, query: str, any_term: bool = False, stemmed: bool = True) -> DataFrame:

@@ -43,7 +43,7 @@ VIEWS = {
     "toks": """
   SELECT item_id, session_id, workspace, kind, authored_by, occurred_at,
     list_filter(list_transform(regexp_extract_all(array_to_string(list_filter(string_split_regex(array_to_string(list_filter(string_split_regex(text, '(?m)^[^\\S\\n]*```[^\\n]*$'), lambda s, i : i % 2 = 1), chr(10)), '\\s+'),
-      lambda c : NOT regexp_matches(regexp_replace(c, '^[()\\[\\]<>,;]+', ''), '^(/|~/)|://')), ' '), '[\\p{L}\\p{N}'']+'), lambda t : lower(t)), lambda t : NOT regexp_matches(t, '[0-9]')) AS toks
+      lambda c : NOT regexp_matches(regexp_replace(c, '^[()\\[\\]<>,;]+', ''), '^(/|~/)|://')), ' '), '[\\p{L}\\p{N}'']+'), lambda t : translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), lambda t : NOT regexp_matches(t, '[0-9]')) AS toks
   FROM provenance""".replace("\\\\", "\\"),
 }
 

@@ -239,7 +239,7 @@ def html_clean(spark, sf_dir):
     return cluster.table(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
 
 
-@query("text_chunks", "SELECT doc_id, k::INT AS part, substring(text, k * 1000 + 1, 1000) AS chunk FROM documents, range(100) r(k) WHERE k * 1000 < length(text)")
+@query("text_chunks", "SELECT doc_id, k::INT AS part, substring(text, k * 1000 + 1, 1000) AS chunk FROM (SELECT doc_id, text, unnest(range((length(text) + 999) // 1000)) AS k FROM documents)")
 def text_chunks(spark, sf_dir):
     return cluster.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.chunks(F.col("text"), 1000)).alias("part", "chunk"))
 
