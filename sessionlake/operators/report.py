@@ -191,9 +191,14 @@ def ngrams(toks: DataFrame, n: int, least: int = 3, most: int = 20, per_message:
     at least one word that is not.
     """
     stop = F.array(*map(F.lit, text.STOPWORDS))
-    size = F.greatest(F.size("toks") - n + 1, F.lit(0))
-    grams = F.when(size > 0, F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda k: F.slice("toks", k, n)))
-    wanted = F.filter(grams, lambda g: (F.octet_length(g[0]) > 1) & ~F.array_contains(stop, g[0])) if n == 1 else F.filter(grams, lambda g: F.exists(g, lambda w: ~F.array_contains(stop, w)))
+
+    def grams(own: Column) -> Column:
+        size = F.size(own) - n + 1
+        return F.when(size > 0, F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda k: F.slice(own, k, n)))
+
+    # bound by a lambda, so that no plan works out toks anew for each position
+    every = F.element_at(F.transform(F.array("toks"), grams), 1)
+    wanted = F.filter(every, lambda g: (F.octet_length(g[0]) > 1) & ~F.array_contains(stop, g[0])) if n == 1 else F.filter(every, lambda g: F.exists(g, lambda w: ~F.array_contains(stop, w)))
     counted = toks.select("item_id", F.explode(F.transform(wanted, lambda g: F.array_join(g, " "))).alias("term")).groupBy("item_id", "term").agg(F.least(F.count("*"), F.lit(per_message)).alias("n"))
     return counted.groupBy("term").agg(F.sum("n").alias("count")).filter(F.col("count") >= least).orderBy(F.desc("count"), "term").limit(most)
 
