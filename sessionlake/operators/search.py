@@ -234,6 +234,16 @@ def hash_embedding(content: Column, dims: int = 256) -> Column:
     return summed(F.transform(text.search_words(content), lambda w: F.xxhash64(w)))
 
 
+def hash_vector(content: str, dims: int = 256) -> list[float]:
+    """hash_embedding() of one text, on the driver."""
+    import xxhash
+
+    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in re.findall(r"[^\W_]+", content.lower())], np.uint64).view(np.int64)
+    v = np.bincount(hashes % dims, np.where(hashes < 0, -1.0, 1.0), dims)
+    norm = np.linalg.norm(v)
+    return (v / norm if norm else v).tolist()
+
+
 def missing_embeddings(items: DataFrame, embeddings: DataFrame, model_id: str) -> DataFrame:
     """Items that may be embedded and have no vector of the model for their present text."""
     have = embeddings.filter(F.col("model_id") == model_id).select(F.col("unit_id").alias("item_id"), "text_hash")

