@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sessionlake.operators import maintenance
 
 # What a message is scored for, from 1 to 5, and the excerpt that is sent.
-AXES = ["positivity", "frustration", "trust", "clarity", "urgency", "politeness", "curiosity", "confidence", "satisfaction", "confusion", "engagement"]
+AXES = ["happiness", "excitement", "frustration", "satisfaction", "curiosity", "confidence", "urgency", "decisiveness", "warmth", "momentum", "playfulness"]
 EXCERPT = 2000
 ROWS = "item_id string, axis string, score int, model string, annotator_version string"
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Where sessions keep their workspace.
-WORKSPACE_PATHS = ["$.workspace_path", "$.workspace_root", "$.cwd", "$.project_path", "$.git_root", "$.payload.cwd"]
+WORKSPACE_PATHS = ["$.workspace_path", "$.workspace_root", "$.cwd", "$.workspace.path", "$.workspace.root", "$.workspace.cwd"]
 # Corpora by their names.
 CORPORA = {"conversation": "conversation", "conversations": "conversation", "messages": "conversation", "tool": "tool", "tools": "tool", "raw": "raw", "events": "raw"}
 
@@ -57,10 +57,17 @@ def embeddable(text: Column, policy: Column) -> Column:
     return (F.char_length(F.trim(text)) >= 80) & (policy != "never")
 
 
+# What texts of instructions begin with or hold.
+INSTRUCTIONS_BEGIN = ["# agents.md instructions", "<instructions>", "<permissions instructions>"]
+
+
 def instructions(role: Column, text: Column) -> Column:
     """Text that instructs the agent and that nobody said."""
-    start = F.trim(text)
-    return role.isin("system", "developer") | start.rlike(r"(?i)^(#\s*agents\.md|<environment_context>|<user_instructions>|<permissions)") | F.contains(text, F.lit("<instructions>"))
+    start = F.lower(F.ltrim(text))
+    wanted = F.lower(role).isin("system", "developer") | F.contains(start, F.lit("<instructions>"))
+    for prefix in INSTRUCTIONS_BEGIN:
+        wanted |= start.startswith(prefix)
+    return wanted
 
 
 def contains_any_case(part: str, *columns: Column) -> Column:

@@ -167,21 +167,28 @@ def merged_months(matches: DataFrame, counts: DataFrame) -> DataFrame:
     return matches.join(counts, ["month", "model"], "full").select("month", "model", F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("messages", F.lit(0)).alias("messages"))
 
 
-def frustration_summary(points: DataFrame, full: bool = False) -> DataFrame:
-    """By model, over the newest months that give SUMMARY_MESSAGES messages or are SUMMARY_MONTHS: rate per hour and its change from the first half.
-
-    points holds one row per month and model, so the running sum is over months.
+def frustration_summary(points: DataFrame, filtered: bool = False, full: bool = False) -> DataFrame:
+    """(model, matches, messages, duration_secs, per_hour, delta) over the newest months that give SUMMARY_MESSAGES messages or are SUMMARY_MONTHS.
+
+    per_hour is null without a duration; delta is against the rate of all
+    models together, zero if less than 0.005. Calmest first, models without a
+    rate last. A filtered or full summary has all months; only a full one tells
+    of models with few messages and of more than MODELS_TOLD. points holds one
+    row per month and model, so the running sum is over months.
     """
-    months = points.groupBy("month").agg(F.sum("messages").alias("n"))
-    newest = Window.orderBy(F.desc("month"))
-    before = F.coalesce(F.sum("n").over(newest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chosen = months.withColumn("before", before).withColumn("place", F.row_number().over(newest))
-    if not full:
-        chosen = chosen.filter((F.col("before") < SUMMARY_MESSAGES) & (F.col("place") <= SUMMARY_MONTHS))
-    summed = points.join(F.broadcast(chosen.select("month")), "month").groupBy("model").agg(F.sum("matches").alias("matches"), F.sum("messages").alias("messages"), F.sum("duration_secs").alias("duration_secs"))
-    told = summed if full else summed.filter(F.col("messages") >= MODEL_MESSAGES)
-    rate = F.when(F.col("duration_secs") > 0, F.col("matches") * 3600.0 / F.col("duration_secs")).otherwise(0.0)
-    return told.withColumn("per_hour", F.when(rate < 0.005, 0.0).otherwise(rate)).orderBy(F.desc("per_hour"), "model").limit(MODELS_TOLD)
+    chosen = points
+    if not (filtered or full):
+        newest = Window.orderBy(F.desc("month"))
+        before = F.coalesce(F.sum("n").over(newest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        months = points.groupBy("month").agg(F.sum("messages").alias("n")).withColumn("before", before).withColumn("place", F.row_number().over(newest))
+        chosen = points.join(F.broadcast(months.filter((F.col("before") < SUMMARY_MESSAGES) & (F.col("place") <= SUMMARY_MONTHS)).select("month")), "month")
+    rate = lambda matches, secs: F.when(secs > 0, matches * 3600.0 / secs)
+    every = Window.partitionBy()
+    by = chosen.groupBy("model").agg(F.sum("matches").alias("matches"), F.sum("messages").alias("messages"), F.sum("duration_secs").alias("duration_secs"))
+    rated = by.withColumn("per_hour", rate(F.col("matches"), F.col("duration_secs"))).withColumn("_delta", F.col("per_hour") - rate(F.sum("matches").over(every), F.sum("duration_secs").over(every)))
+    told = (rated if full else rated.filter(F.col("messages") >= MODEL_MESSAGES)).withColumn("delta", F.when(F.abs("_delta") < 0.005, 0.0).otherwise(F.col("_delta"))).drop("_delta")
+    sorted_ = told.orderBy(F.asc_nulls_last("per_hour"), F.desc("matches"), "model")
+    return sorted_ if full else sorted_.limit(MODELS_TOLD)
 
 
 def ngrams(toks: DataFrame, n: int, least: int = 3, most: int = 20, per_message: int = 3) -> DataFrame:

@@ -18,14 +18,23 @@ K1, B = 1.2, 0.75
 RRF, USER_WEIGHT, OTHER_WEIGHT, SEMANTIC_WEIGHT = 60, 1.0, 0.88, 0.98
 RANK_BUCKET, SEMANTIC_MOST, FETCH_TIMES, FETCH_LEAST = 3, 4096, 50, 200
 PREFIX_LETTERS, SNIPPET_WORDS, SEMANTIC_PREVIEW = 4, 24, 240
-# Families of words that stand for one idea.
-CONCEPTS = {
-    "title": ["title", "titles", "titling", "name", "naming", "label", "labels"],
-    "summary": ["summary", "summaries", "summarize", "summarise", "recap", "digest"],
-    "thread": ["thread", "threads", "conversation", "conversations", "session", "sessions"],
-    "cache": ["cache", "caches", "caching", "cached"],
-    "error": ["error", "errors", "failure", "failures", "failed", "exception", "crash"],
-}
+# Words of a query that stand for one idea, and the beginnings that texts of that idea hold.
+CONCEPTS = [
+    (["billing", "bill", "charge", "charged", "fee", "fees", "money", "payment", "payments", "stripe"], ["billing", "charge", "fee", "money", "payment", "stripe"]),
+    (["crash", "crashed", "died"], ["crash", "died"]),
+    (["database", "databases", "db"], ["database", "db"]),
+    (["bug", "bugs", "fail", "failed", "failing", "failure", "failures", "fix", "fixes", "fixed", "issue", "issues", "error", "errors"], ["bug", "error", "fail", "fix", "issue"]),
+    (["label", "labels", "name", "names", "summary", "summaries", "title", "titles"], ["label", "name", "summar", "title"]),
+    (["process", "processed", "processing"], ["process"]),
+    (["remote", "remotes"], ["remote"]),
+    (["replicate", "replicated", "replication", "sync", "synced", "syncing"], ["replic", "sync"]),
+    (["tap", "tapped", "tapping"], ["tap"]),
+    (["thread", "threads", "conversation", "conversations"], ["conversation", "thread"]),
+]
+# Phrases for what went wrong, their idea, and the beginnings that make an idea one of labels.
+WENT_WRONG = ["did not go through", "didn't go through", "does not go through", "did not process", "didn't process", "does not process", "failed to process"]
+WRONG = ["bug", "error", "fail", "fix", "issue", "process"]
+OF_LABELS = ["label", "name", "summar", "title"]
 
 
 def parse(query: str) -> list[dict]:
@@ -133,25 +142,30 @@ def semantic_text(content: Column) -> Column:
     return (F.char_length(F.trim(content)) >= 80) & (F.size(F.filter(F.split(content, r"\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))) >= 8)
 
 
-def concepts(query: str) -> dict[str, list[str]]:
-    """The families of words that a query touches."""
-    words = set(re.findall(r"[a-z]+", query.lower()))
-    return {name: family for name, family in CONCEPTS.items() if words & set(family)}
+def concepts(query: str) -> list[list[str]]:
+    """The ideas of a query, each as the beginnings that texts of it hold, in the order of the query."""
+    lower, found = query.lower(), []
+    of_word = {word: variants for words_, variants in CONCEPTS for word in words_}
+    ideas = [of_word[w] for w in re.findall(r"[a-z0-9]+", lower) if w in of_word] + [WRONG] * any(p in lower for p in WENT_WRONG)
+    for idea in ideas:
+        if idea not in found:
+            found.append(idea)
+    return found
 
 
 def expanded(query: str) -> str:
-    """The query with the families it touches, as text to embed."""
-    return " ".join([query, *(w for family in concepts(query).values() for w in family)])
+    """The query and its ideas' words, each once, as text to embed."""
+    return " ".join([query, *dict.fromkeys(w for idea in concepts(query) for w in idea)])
 
 
 def passes_concepts(content: Column, query: str) -> Column:
-    """With fewer than two ideas all pass; with a title one of them is enough; two need both, more need two."""
+    """With fewer than two ideas all pass; with one of labels one is enough; else two are needed."""
     found = concepts(query)
     if len(found) < 2:
         return F.lit(True)
     lower = F.lower(content)
-    met = sum((F.exists(F.array(*map(F.lit, family)), lambda w: F.contains(lower, w)).cast("int") for family in found.values()), F.lit(0))
-    return met >= (1 if "title" in found else 2)
+    met = sum((F.exists(F.array(*map(F.lit, idea)), lambda w: F.contains(lower, w)).cast("int") for idea in found), F.lit(0))
+    return met >= (1 if any(w in OF_LABELS for idea in found for w in idea) else 2)
 
 
 def fuse(lexical_hits: DataFrame, semantic_hits: DataFrame) -> DataFrame:

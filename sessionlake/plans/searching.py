@@ -187,12 +187,12 @@ def semantic_candidates(spark, sf_dir):
     return model.items(spark, sf_dir).filter(search.semantic_text(F.col("text"))).select("item_id")
 
 
-_SAID = "CASE ordinal % 3 WHEN 0 THEN ' Cached threads' WHEN 1 THEN ' a session' ELSE ' a cache' END"
+_SAID = "CASE ordinal % 3 WHEN 0 THEN ' Syncing threads' WHEN 1 THEN ' a thread' ELSE ' replication' END"
 
 
-@query("concept_gate", f"SELECT item_id FROM (SELECT item_id, lower(text || {_SAID}) AS l FROM items) WHERE regexp_matches(l, 'thread|conversation|session') AND regexp_matches(l, 'cach')")
+@query("concept_gate", f"SELECT item_id FROM (SELECT item_id, lower(text || {_SAID}) AS l FROM items) WHERE regexp_matches(l, 'thread|conversation') AND regexp_matches(l, 'sync|replic')")
 def concept_gate(spark, sf_dir):
-    return model.items(spark, sf_dir).withColumn("text", F.concat("text", F.expr(_SAID))).filter(search.passes_concepts(F.col("text"), "cache of threads")).select("item_id")
+    return model.items(spark, sf_dir).withColumn("text", F.concat("text", F.expr(_SAID))).filter(search.passes_concepts(F.col("text"), "sync of threads")).select("item_id")
 
 
 @query("hybrid_search")

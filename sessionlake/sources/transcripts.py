@@ -21,9 +21,9 @@ ROOTS = {
     "claude_code": [".claude/projects"],
     "pi_agent": [".pi/agent/sessions"],
     "omp": [".omp/agent/sessions"],
-    "openclaw": [".openclaw/agents"],
+    "openclaw": [".openclaw"],
     "hermes": [".hermes/sessions"],
-    "opencode": [".local/share/opencode"],
+    "opencode": [".local/share/opencode/opencode.db"],
 }
 SKIPPED_FOLDERS = {".git", "node_modules", "target"}
 # Where events keep their fields, the first that is there counts.
@@ -32,9 +32,9 @@ TYPE = ["$.type", "$.payload.type"]
 TIME = ["$.timestamp", "$.created_at", "$.message.created_at"]
 SESSION = ["$.sessionId", "$.session_id", "$.payload.id"]
 CONTENT = ["$.content", "$.text", "$.message.content", "$.payload.content", "$.payload.text"]
-WORKSPACE = ["$.cwd", "$.workspace_path", "$.workspace_root", "$.project_path", "$.git_root", "$.payload.cwd", "$.payload.workspace_path", "$.metadata.cwd", "$.message.cwd", "$.context.cwd", "$.directory", "$.path.cwd", "$.path.root", "$.worktree", "$.projectPath"]
-BRANCH = ["$.gitBranch", "$.git_branch", "$.branch", "$.payload.git.branch"]
-REPOSITORY = ["$.repository", "$.git_repo", "$.repo", "$.payload.git.repository_url"]
+WORKSPACE = ["$.cwd", "$.current_working_directory", "$.workspace", "$.workspace_path", "$.project_path", "$.repo_path", "$.payload.cwd", "$.payload.current_working_directory", "$.payload.workspace", "$.payload.workspace_path", "$.payload.project_path", "$.payload.repo_path", "$.payload.git.root", "$.turn_context.payload.cwd", "$.git.root"]
+BRANCH = ["$.gitBranch", "$.git_branch", "$.branch", "$.payload.gitBranch", "$.payload.git_branch", "$.payload.branch", "$.payload.git.branch", "$.git.branch"]
+REPOSITORY = ["$.git_repo", "$.git_remote", "$.repository_url", "$.repo_url", "$.payload.git_repo", "$.payload.git_remote", "$.payload.repository_url", "$.payload.repo_url", "$.payload.git.remote", "$.payload.git.repository_url", "$.git.remote", "$.git.repository_url"]
 
 READERS: dict[str, object] = {}
 
@@ -63,7 +63,7 @@ def chosen(names: str) -> list[str]:
 
 def local_roots(home: str, kind: str) -> list[str]:
     folders = ROOTS[kind]
-    return [p for p in (os.path.join(home, f) for f in folders) if os.path.isdir(p)]
+    return [p for p in (os.path.join(home, f) for f in folders) if os.path.exists(p)]
 
 
 def files(spark: SparkSession, roots: list[str], pattern: str = "*.jsonl", most: int | None = None) -> DataFrame:

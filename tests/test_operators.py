@@ -197,7 +197,8 @@ def test_report_changes_and_summary(spark):
     first = report.project_changes(rows, now, (7,)).collect()
     assert [(r.current, r.previous, r.percent, r.score) for r in first] == [(30, 20, 50, 50)]
     points = spark.createDataFrame([("2024-01", "m", 10, 1500, 3600), ("2024-02", "m", 2, 1500, 7200), ("2023-12", "m", 99, 10, 1), ("2024-02", "n", 0, 100, 10)], "month string, model string, matches long, messages long, duration_secs long")
-    assert [(r.model, r.matches, r.messages, round(r.per_hour, 6)) for r in report.frustration_summary(points).collect()] == [("m", 12, 3000, 4.0)]
+    assert [(r.model, r.matches, r.messages, round(r.per_hour, 6), round(r.delta, 6)) for r in report.frustration_summary(points).collect()] == [("m", 12, 3000, 4.0, 0.0)]
+    assert [r.model for r in report.frustration_summary(points, full=True).collect()] == ["n", "m"]
 
 
 def test_paging_goes_through_nulls(spark):
@@ -320,3 +321,9 @@ def test_hash_vectors_agree(spark):
     words = "The thing, and Ébène 42 the"
     assert one(spark, search.hash_embedding(F.col("c0"), 32), words) == pytest.approx(search.hash_vector(words, 32))
     assert one(spark, search.hash_embedding(F.col("c0"), 8), "") == search.hash_vector("", 8) == [0.0] * 8
+
+
+def test_query_ideas():
+    assert search.concepts("thread titles of threads") == [["conversation", "thread"], ["label", "name", "summar", "title"]]
+    assert search.concepts("payment did not go through") == [["billing", "charge", "fee", "money", "payment", "stripe"], search.WRONG]
+    assert search.expanded("plain words") == "plain words" and search.expanded("db crash").startswith("db crash database db crash died")
