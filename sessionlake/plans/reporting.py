@@ -25,8 +25,8 @@ def _day_as_text(df: DataFrame) -> DataFrame:
 
 
 @query("report_totals", """
-SELECT count(*) AS sessions, count(*) FILTER (session_class <> 'subagent') AS threads, sum(event_count)::BIGINT AS events, min(first_event_at) AS first_activity, max(last_event_at) AS last_activity,
-  sum(human)::BIGINT AS human_messages, sum(agent)::BIGINT AS agent_messages, sum(assistant)::BIGINT AS assistant_messages, sum(harness)::BIGINT AS harness_messages
+SELECT count(*) AS sessions, count(*) FILTER (session_class <> 'subagent') AS threads, coalesce(sum(event_count), 0)::BIGINT AS events, min(first_event_at) AS first_activity, max(last_event_at) AS last_activity,
+  coalesce(sum(human), 0)::BIGINT AS human_messages, coalesce(sum(agent), 0)::BIGINT AS agent_messages, coalesce(sum(assistant), 0)::BIGINT AS assistant_messages, coalesce(sum(harness), 0)::BIGINT AS harness_messages
 FROM facts LEFT JOIN (SELECT session_id, count(*) FILTER (authored_by = 'human') AS human, count(*) FILTER (authored_by = 'agent') AS agent, count(*) FILTER (authored_by = 'assistant') AS assistant, count(*) FILTER (authored_by = 'harness') AS harness FROM provenance GROUP BY 1) p USING (session_id)
 WHERE last_event_at >= TIMESTAMP '2024-01-02' AND first_event_at < TIMESTAMP '2024-06-01'
 """)
