@@ -1,58 +1,40 @@
-"""Groups of texts whose word-shingle sets are alike, found by wide SimHash sketches and verified exactly.
-
-Copies fall together by a digest of the text. Each different text has a sketch of
-256 bits over its pairs of words, which near copies share all but few bits of.
-Random choices of the sketch's bits are bucket keys; as many keys as the choice
-needs to meet a near copy with RECALL. In a bucket one text after the other,
-in an order that differs from key to key, is compared with all others by the
-bit-sliced comparison of the first 64 bits and takes those within RADIUS. The
-pairs so met are verified by the exact similarity of their shingle sets, a text's
-nearest ones first, and linked into groups.
+"""Groups of texts whose word-shingle sets are alike, found by an exact prefix filter and verified exactly.
+
+Texts with one shingle set fall together by a digest of it and are one node.
+All shingles have one order, those that many texts hold last. Two sets of at
+least the wanted similarity share a shingle among the first of either, as many
+as the similarity leaves open, so each node goes into the buckets of those: no
+link can be missed. A pair in a bucket is a candidate if what is left of both
+sets from that shingle on can still reach the similarity, which holds at the
+first shingle that two alike sets share. Candidates are verified by their whole
+sets: first each node with a few others of its buckets, then all whose two nodes
+the links found so far leave in different components.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake import cluster
 from sessionlake.llm import columns, components, simhash
 
-#: Words of a shingle of the sketch, its words of 64 bits, and differing bits of the first of them that a candidate may have.
-SKETCH_WORDS, SKETCH_LONGS, RADIUS = 2, 4, 16
-#: Share of differing bits of near copies at the threshold, and how surely such a pair shares a bucket.
-DIFFER, RECALL = 0.12, 0.995
-#: Least bits of a key; with more texts keys grow so that unrelated texts stay few in a bucket.
-KEY_BITS = 20
-#: Candidates of a text that are verified first; the others only if none of those is alike.
-FIRST = 4
-
-
-def _mixed(hashes: np.ndarray) -> list[np.ndarray]:
-    """Hashes, and SKETCH_LONGS - 1 further ones made of each."""
-    out = [hashes]
-    for _ in range(SKETCH_LONGS - 1):
-        x = out[-1] + np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(x ^ (x >> np.uint64(31)))
-    return out
-
-
-def sketch(text: str) -> np.ndarray:
-    counts, total = np.zeros((SKETCH_LONGS, simhash.BITS), np.int64), 0
-    for hashes in simhash.shingle_hashes(text, SKETCH_WORDS):
-        for at in range(0, len(hashes), simhash.CHUNK_SHINGLES):
-            own = hashes[at : at + simhash.CHUNK_SHINGLES]
-            counts += np.concatenate([simhash._bit_counts(h, [0]) for h in _mixed(own)])
-            total += len(own)
-    return np.packbits(counts * 2 > total, axis=1, bitorder="little").view("<u8").ravel()
+#: Which shingles are common is told by a sample: about so many texts, one of MOST_SHARE at least. It and the number of common ones
+#: bear on the order of shingles alone, and any order gives the same groups.
+SAMPLE, MOST_SHARE, COMMON, COMMON_LEAST = 20_000, 16, 200_000, 3
+#: Places further on in a bucket up to which nodes are compared at first.
+REACH = 4
+#: Buckets of at most so many nodes are compared together, lag by lag.
+SMALL = 64
+#: Digests that a task remembers as dealt; beyond them it forgets, and a text may be dealt again.
+REMEMBERED = 500_000
+#: Pairs that are held before they are sent on.
+HELD_PAIRS = 2_000_000
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
@@ -61,66 +43,57 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     return np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
 
 
-def choices(texts: int, seed: int = 5) -> np.ndarray:
-    """(keys, bits of a key): which bits of the sketch make up each key, for so many different texts."""
-    bits = max(KEY_BITS, math.ceil(math.log2(max(2, texts) / 4)))
-    keys = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - DIFFER) ** bits))
-    rng = np.random.default_rng([seed, bits])
-    return np.array([rng.permutation(SKETCH_LONGS * simhash.BITS)[:bits] for _ in range(keys)])
-
-
-def _led(fps: np.ndarray, radius: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(leader, followers, distances) of one bucket: each text in turn takes the untaken ones within the radius."""
-    n, out = len(fps), []
-    width = -(-n // 8)
-    planes = np.packbits(np.unpackbits(np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T, axis=1, bitorder="little")
-    counters = radius.bit_length()
-    preset = (1 << counters) - 1 - radius
-    free = np.unpackbits(np.full(width, 255, np.uint8), bitorder="little")[:n].astype(bool)
-    taken = np.zeros(width, np.uint8)
-    for k in range(n - 1):
-        if not free[k]:
-            continue
-        free[k] = False
-        taken[k // 8] |= 1 << (k % 8)
-        over = taken.copy()
-        count = [np.full(width, 255 if preset >> c & 1 else 0, np.uint8) for c in range(counters)]
-        for plane in range(simhash.BITS):
-            carry = planes[plane] ^ (255 if int(fps[k]) >> plane & 1 else 0)
-            for c in range(counters):
-                count[c], carry = count[c] ^ carry, count[c] & carry
-            over |= carry
-            if plane % 8 == 7 and (over == 255).all():
-                break
-        near = np.flatnonzero(np.unpackbits(~over, bitorder="little")[:n])
-        if len(near):
-            out.append((k, near, np.bitwise_count(fps[near] ^ fps[k]).astype(np.int64)))
-            free[near] = False
-            taken |= np.packbits(np.isin(np.arange(width * 8), near), bitorder="little")
-    return out
-
-
-def _pairs(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(leader, follower, distance) of all buckets; small ones together, lag by lag, larger ones one by one."""
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    sizes = np.diff(np.append(starts, len(keys)))
-    left, right = [], []
-    small = np.flatnonzero((sizes > 1) & (sizes <= 16))
-    if len(small):
-        rows = np.concatenate([np.arange(starts[c], starts[c] + sizes[c]) for c in small.tolist()])
-        own, key = fps[rows], keys[rows]
-        bits = np.unpackbits(np.ascontiguousarray(own, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
-        planes = [np.packbits(bits[:, s:], axis=1, bitorder="little") for s in range(8)]
-        for lag in range(1, int(sizes[small].max())):
-            near = simhash.near_lanes(own, key[:-lag] == key[lag:], lag, planes, radius)
-            left.append(rows[near]), right.append(rows[near + lag])
-    for c in np.flatnonzero(sizes > 16).tolist():
-        for k, near, _ in _led(fps[starts[c] : starts[c] + sizes[c]], radius):
-            left.append(np.full(len(near), starts[c] + k)), right.append(starts[c] + near)
-    if not left:
-        return (np.zeros(0, np.int64),) * 3
-    a, b = np.concatenate(left), np.concatenate(right)
-    return nodes[a], nodes[b], np.bitwise_count(fps[a] ^ fps[b]).astype(np.int64)
+def _node(text: str, own: np.ndarray) -> int:
+    """The name of a shingle set, or of a text without words."""
+    data = b"s" + own.tobytes() if len(own) else b"t" + text.encode("utf-8", "replace")
+    return int.from_bytes(hashlib.sha256(data).digest()[:8], "little", signed=True)
+
+
+def prefix(own: np.ndarray, common: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, one of which every set that is alike has among its own first ones.
+
+    common: shingles that come last, ascending; place: their places among themselves.
+    """
+    size = len(own)
+    if not size:
+        return own
+    most = size - int(np.ceil(similarity * size - 1e-9)) + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        own = own[np.argsort(np.where(common[at] == own, place[at] + 1, 0), kind="stable")]
+    return own[:most]
+
+
+def _reaches(size: np.ndarray, rest: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes that share nothing before this shingle can be alike with what is left of them."""
+    return np.minimum(rest[a], rest[b]) >= similarity / (1 + similarity) * (size[a] + size[b]) - 1e-9
+
+
+def _pairs(key: np.ndarray, label: np.ndarray, size: np.ndarray, rest: np.ndarray, similarity: float, reach: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (a, b) of one bucket and different labels that may be alike: up to `reach` places apart, or all."""
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    sizes = np.diff(np.append(starts, len(key)))
+    rows = np.arange(len(key)) if reach else np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
+    own = key[rows]
+    for lag in range(1, 1 + (reach or int(sizes[sizes <= SMALL].max(initial=1)) - 1)):
+        a, b = rows[:-lag], rows[lag:]
+        met = np.flatnonzero((own[:-lag] == own[lag:]) & (label[a] != label[b]))
+        a, b = a[met], b[met]
+        fits = _reaches(size, rest, a, b, similarity)
+        yield a[fits], b[fits]
+    if reach:
+        return
+    for c in np.flatnonzero(sizes > SMALL).tolist():
+        rows = np.arange(starts[c], starts[c] + sizes[c])
+        names, of = np.unique(label[rows], return_inverse=True)
+        # the largest component last: its own rows are met by all others and need no turn
+        many = np.bincount(of)
+        rows = rows[np.argsort(of == np.argmax(many), kind="stable")]
+        for k in range(len(rows) - int(many.max())):
+            b = rows[k + 1 :]
+            b = b[label[b] != label[rows[k]]]
+            b = b[_reaches(size, rest, np.full(len(b), rows[k]), b, similarity)]
+            yield np.full(len(b), rows[k]), b
 
 
 def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,66 +105,110 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str
     words are alike only as copies; null is empty. Rows with a null id are left
     out. Other columns are not read.
     """
-    schema = "doc_id long, name binary, sketch binary"
+    own = docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text").filter("doc_id is not null")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in columns.slices(batch, "text"):
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(start, len(texts)), "name": pa.array([hashlib.sha256(t.encode("utf-8", "replace")).digest()[:16] for t in texts], pa.binary()), "sketch": pa.array([sketch(t).tobytes() for t in texts], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(start, len(texts)), "node": pa.array([_node(t, shingle_set(t, words)) for t in texts], pa.int64())})
 
-    own = docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text").filter("doc_id is not null")
-    drawn = cluster.materialize(own.mapInArrow(draw, schema), "sketches")
-    nodes = cluster.materialize(drawn.groupBy("name").agg(F.min("doc_id").alias("node"), F.min("sketch").alias("sketch")), "sketched")
-    chosen = choices(nodes.count())
+    drawn = cluster.materialize(own.mapInArrow(draw, "doc_id long, node long"), "nodes")
+    share = min(MOST_SHARE, max(1, drawn.count() // SAMPLE))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            node = batch.column(0).to_numpy()
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, SKETCH_LONGS)
-            bits = np.unpackbits(raw.view(np.uint8).reshape(len(node), -1), axis=1, bitorder="little")
-            for k, places in enumerate(chosen):
-                key = np.zeros(len(node), np.uint64)
-                for p in places.tolist():
-                    key = key << np.uint64(1) | bits[:, p]
-                bucket = (key ^ np.uint64(k << 48)) * np.uint64(0x9E3779B97F4A7C15)
-                turn = (node.view(np.uint64) + np.uint64(k)) * np.uint64(0xD6E8FEB86659FD93)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket.view(np.int64)), "turn": pa.array((turn ^ turn >> np.uint64(32)).view(np.int64)), "node": pa.array(node), "fp": pa.array(np.ascontiguousarray(raw[:, 0]).view(np.int64))})
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+            for _, texts in columns.slices(batch, "text"):
+                yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.concatenate([shingle_set(t, words) for t in texts]).view(np.int64))})
 
-        def done(rows: pa.Table) -> pa.RecordBatch:
-            key, node, fp = (rows.column(c).to_numpy() for c in ("bucket", "node", "fp"))
-            a, b, d = _pairs(key, node, fp.view(np.uint64), RADIUS)
-            return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "d": pa.array(d)})
+    counted = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).mapInArrow(sample, "shingle long").groupBy("shingle").count().filter(F.col("count") >= COMMON_LEAST)
+    held = counted.orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
+    common = held.column("shingle").to_numpy().view(np.uint64)
+    place = np.arange(len(common), 0, -1)
+    common, place = np.sort(common), place[np.argsort(common)]
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        for batch in batches:
+            for _, texts in columns.slices(batch, "text"):
+                node, size, first = [], [], []
+                for t in texts:
+                    shingles = shingle_set(t, words)
+                    if not len(shingles) or (name := _node(t, shingles)) in sent:
+                        continue
+                    if len(sent) >= REMEMBERED:
+                        sent.clear()
+                    sent.add(name)
+                    node.append(name), size.append(len(shingles)), first.append(prefix(shingles, common, place, similarity))
+                if not node:
+                    continue
+                many = np.array([len(f) for f in first])
+                sizes = np.repeat(np.array(size, np.int32), many)
+                places = np.concatenate([np.arange(m, dtype=np.int32) for m in many.tolist()])
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.concatenate(first).view(np.int64)), "node": pa.array(np.repeat(np.array(node, np.int64), many)), "size": pa.array(sizes), "rest": pa.array(sizes - places)})
+
+    def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """The sorted rows again, cut between buckets."""
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(batch)
-            whole = pa.Table.from_batches(held)
             key = batch.column(0).to_numpy()
             first = int(np.argmax(key == key[-1]))
-            if first or (len(held) > 1 and held[-2].column(0)[-1].as_py() != int(key[0])):
-                cut = whole.num_rows - batch.num_rows + first
-                yield done(whole.slice(0, cut))
-                held = whole.slice(cut).combine_chunks().to_batches()
+            if held and (first or held[-1].column(0)[-1].as_py() != int(key[0])):
+                yield pa.Table.from_batches([*held, batch.slice(0, first)])
+                held = []
+            elif first:
+                yield pa.Table.from_batches([batch.slice(0, first)])
+            held.append(batch.slice(first))
         if held:
-            yield done(pa.Table.from_batches(held))
-
-    dealt = nodes.select("node", "sketch").mapInArrow(deal, "bucket long, turn long, node long, fp long")
-    met = cluster.materialize(dealt.repartition("bucket").sortWithinPartitions("bucket", "turn").select("bucket", "node", "fp").mapInArrow(compare, "a long, b long, d long").distinct(), "candidates")
-
-    wanted = met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct()
+            yield pa.Table.from_batches(held)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of buckets of two nodes or more, each node once."""
+        for rows in whole_buckets(batches):
+            key, node = rows.column("bucket").to_numpy(), rows.column("node").to_numpy()
+            fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+            key = key[fresh]
+            alone = np.append(True, key[1:] != key[:-1]) & np.append(key[1:] != key[:-1], True)
+            yield from rows.take(pa.array(np.flatnonzero(fresh)[~alone])).to_batches()
+
+    dealt = own.mapInArrow(deal, "bucket long, node long, size int, rest int").repartition("bucket").sortWithinPartitions("bucket", "node")
+    buckets = cluster.materialize(dealt.mapInArrow(shared, "bucket long, node long, size int, rest int"), "buckets")
+
+    def met(labels: DataFrame | None, reach: int | None) -> DataFrame:
+        """(a, b): pairs of nodes that may be alike and have different labels."""
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in whole_buckets(batches):
+                key, node, label, size, rest = (rows.column(c).to_numpy() for c in ("bucket", "node", "label", "size", "rest"))
+                left, right, many = [], [], 0
+
+                def pairs() -> pa.RecordBatch:
+                    a, b = node[np.concatenate(left)], node[np.concatenate(right)]
+                    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                    left.clear(), right.clear()
+                    return pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+
+                for a, b in _pairs(key, label, size.astype(np.int64), rest.astype(np.int64), similarity, reach):
+                    if not len(a):
+                        continue
+                    left.append(a), right.append(b)
+                    many += len(a)
+                    if many >= HELD_PAIRS:
+                        yield pairs()
+                        many = 0
+                if left:
+                    yield pairs()
+
+        own_label = buckets.withColumn("label", F.col("node")) if labels is None else buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        placed = own_label.select("bucket", "node", "label", "size", "rest").repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("bucket", "node"))
+        return placed.mapInArrow(compare, "a long, b long").distinct()
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in columns.slices(batch, "text"):
-                yield pa.RecordBatch.from_pydict({"node": batch.column(0).slice(start, len(texts)), "own": pa.array([shingle_set(t, words).tobytes() for t in texts], pa.binary())})
-
-    sets = cluster.materialize(own.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(shingles, "node long, own binary"), "shingle-sets")
+            for _, texts in columns.slices(batch, "text"):
+                own_sets = [shingle_set(t, words) for t in texts]
+                yield pa.RecordBatch.from_pydict({"node": pa.array([_node(t, s) for t, s in zip(texts, own_sets)], pa.int64()), "own": pa.array([s.tobytes() for s in own_sets], pa.binary())})
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,16 +220,20 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def alike(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        bearers = drawn.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+        sets = cluster.materialize(own.join(bearers, "doc_id", "left_semi").mapInArrow(shingles, "node long, own binary").dropDuplicates(["node"]), "shingle-sets")
         left, right = sets.select(F.col("node").alias("a"), F.col("own").alias("x")), sets.select(F.col("node").alias("b"), F.col("own").alias("y"))
-        return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-
-    order = Window.partitionBy("b").orderBy("d", "a")
-    ranked = met.withColumn("place", F.row_number().over(order))
-    near = cluster.materialize(alike(ranked.filter(F.col("place") <= FIRST)), "links")
-    more = alike(ranked.filter(F.col("place") > FIRST).join(near.select("b").distinct(), "b", "left_anti"))
-    labels = components.components(near.union(more))
-    named = nodes.join(labels, "node", "left").select("name", F.coalesce("label", "node").alias("kept_id"))
-    return drawn.select("doc_id", "name").join(named, "name").select("doc_id", "kept_id")
+        return cluster.materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
+
+    first = cluster.materialize(met(None, REACH), "candidates")
+    links = alike(first)
+    labels = components.components(links)
+    crossing = cluster.materialize(met(labels, None).join(first, ["a", "b"], "left_anti"), "candidates")
+    if crossing.limit(1).count():
+        labels = components.components(links.union(alike(crossing)))
+    named = drawn.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
+    return named.join(named.groupBy("label").agg(F.min("doc_id").alias("kept_id")), "label").select("doc_id", "kept_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
