@@ -28,9 +28,12 @@ BASE = ["assign", "access", "hex"]
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
+# A key from its first line to the END line of the same label, or without one to the end of the base64 block; line ends may be escaped.
+_KEY_LINES = r"(?:(?:\s|\\[rn])*(?:Proc-Type|DEK-Info):[^\n\\]*)*(?:(?:\s|\\[rn])*[A-Za-z0-9+/]{16,}={0,2})+(?:(?:\r?\n|(?:\\r)?\\n)[A-Za-z0-9+/]{1,15}={0,2}(?=\s*\n|\\|[\"']|\s*\Z))?"
+PRIVATE_KEY = rf"-----BEGIN ([A-Z ]{{0,40}})PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1PRIVATE KEY-----|{_KEY_LINES})?"
 #: Kinds that are found besides: a string that any match holds, and the pattern.
 MORE = {
-    "private_key": ("PRIVATE KEY-----", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    "private_key": ("PRIVATE KEY-----", PRIVATE_KEY),
     "github": ("gh", r"\bgh[pousr]_[A-Za-z0-9]{36,}"),
     "jwt": ("eyJ", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 }
