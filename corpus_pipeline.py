@@ -29,8 +29,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Every document, with its secrets replaced by a mark and n_chars counted anew where there were any."""
     cluster.ship(spark)
     own = docs.select(COLUMNS)
-    found = secrets.scan(own, ["doc_id"]).paths.filter(F.size("spans") > 0).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    joined = own.join(found, F.col("doc_id") == F.col("_id"), "left")
+    found = secrets.scan(own, ["doc_id"]).ledger.filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    joined = own.withColumn("_own", secrets.blob_name(F.col("text"))).join(found, F.col("_own") == F.col("_blob"), "left")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(secrets.redacted(F.col("text"), F.col("_spans")))
     return joined.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length(text)).cast("long").alias("n_chars"))
 
