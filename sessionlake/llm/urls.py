@@ -5,7 +5,8 @@ words run together, are split by the most likely sequence of words (Viterbi over
 unigrams). Pages that a rule decides teach a multinomial naive Bayes model which
 tokens of hosts and paths go with which verdict; it decides the others.
 
-What is broadcast has a fixed size: at most MOST_WORDS words, and 2 * BUCKETS counts.
+All words are counted. What is broadcast are the counts of those that stand in some
+host or path, which no split of another can use, the total, and 2 * BUCKETS counts.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from sessionlake import cluster
 
-#: The size of the word model: its most frequent words, none longer than MOST_LETTERS.
-MOST_WORDS, MOST_LETTERS = 50_000, 24
+#: Letters of the longest word.
+MOST_LETTERS = 24
 #: Tokens are counted in so many hashed buckets.
 BUCKETS = 1 << 16
 #: Words that a task counts before it sends its counts on.
@@ -81,8 +82,8 @@ class Rules:
 class Segmenter:
     """Splits a name into the words that are likeliest together; letters that no word covers cost as rare words."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = total or sum(counts.values()) or 1
         self.cost = {w: math.log(total / n) for w, n in counts.items()}
         self.unknown = math.log(total) + 8.0
         self.longest = max(map(len, counts), default=1)
@@ -134,26 +135,41 @@ def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select(F.col(html).alias("html")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent(counts: DataFrame, most: int = MOST_WORDS) -> dict[str, int]:
-    """The words down to the frequency level at which no more than `most` are kept.
+def names(host: str, path: str) -> tuple[list[str], list[str]]:
+    """What a host and a path have to split, numbers of the path included."""
+    return _TOKENS.findall(host), _TOKENS.findall(path.lower())
 
-    Only the number of words of each level comes to the driver, and then the
-    words that are kept: levels are the counts themselves up to 1,024 and a
-    sixty-fourth of a doubling above, a few thousand at any size.
-    """
-    held = cluster.materialize(counts, "words").withColumn("level", F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(64 * F.log2(F.col("n") / 1024))).cast("long"))
-    kept, least = 0, None
-    for r in sorted(held.groupBy("level").count().collect(), key=lambda r: -r["level"]):
-        if kept + r["count"] > most:
-            break
-        kept, least = kept + r["count"], r["level"]
-    return {} if least is None else {r["word"]: r["n"] for r in held.filter(F.col("level") >= least).select("word", "n").collect()}
+
+def substrings(pages: DataFrame, url: str = "url") -> DataFrame:
+    """(word): the different substrings of hosts' labels and paths' tokens that may be words."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[str] = set()
+        for batch in batches:
+            for value in batch.column(0):
+                for name in {n for part in names(*parts(value.as_py())) for n in part}:
+                    for run in _LETTERS.findall(name):
+                        held.update(run[k:end] for k in range(len(run) - 1) for end in range(k + 2, min(len(run), k + MOST_LETTERS) + 1))
+                if len(held) > HELD_WORDS:
+                    yield pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.string())})
+                    held.clear()
+        yield pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.string())})
+
+    return pages.select(F.col(url).alias("url")).mapInArrow(cut, "word string").distinct()
+
+
+def needed(pages: DataFrame, url: str = "url", html: str = "html") -> tuple[dict[str, int], int]:
+    """The counts of the words that splits of the pages' hosts and paths can use, and the sum of the counts of all words."""
+    held = cluster.materialize(word_counts(pages, html), "words")
+    total = held.agg(F.sum("n")).first()[0] or 0
+    return {r["word"]: r["n"] for r in held.join(substrings(pages, url), "word").select("word", "n").collect()}, total
 
 
 def tokens(host: str, path: str, segmenter: Segmenter) -> list[str]:
     """Words of a host's labels and of a path, told apart; a number counts as a number."""
-    own = [f"h:{w}" for label in _TOKENS.findall(host) for w in segmenter.split(label)]
-    return own + [f"p:{'#' if t.isdigit() else w}" for t in _TOKENS.findall(path.lower()) for w in ((t,) if t.isdigit() else segmenter.split(t))]
+    labels, steps = names(host, path)
+    own = [f"h:{w}" for label in labels for w in segmenter.split(label)]
+    return own + [f"p:{'#' if t.isdigit() else w}" for t in steps for w in ((t,) if t.isdigit() else segmenter.split(t))]
 
 
 def bucket(token: str) -> int:
@@ -163,16 +179,17 @@ def bucket(token: str) -> int:
 @dataclass
 class Model:
     words: dict[str, int]
+    total: int  # of the counts of all words
     block: np.ndarray  # log-odds of blocking for a token of each bucket
     prior: float
 
 
 def train(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "html") -> Model:
     """Word counts over all pages, and token counts over all pages that a rule decides."""
-    words = frequent(word_counts(pages, html))
+    words, total = needed(pages, url, html)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, segmenter = Rules(rules), Segmenter(words)
+        own, segmenter = Rules(rules), Segmenter(words, total)
         seen = np.zeros((2, BUCKETS), np.int64)
         told = np.zeros(2, np.int64)
         for batch in batches:
@@ -196,7 +213,7 @@ def train(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "ht
             seen[r["kind"], r["bucket"]] = r["n"]
     used = max(1, int((seen.sum(axis=0) > 0).sum()))
     likely = np.log((seen + SMOOTHING) / (seen.sum(axis=1, keepdims=True) + SMOOTHING * used))
-    return Model(words, likely[1] - likely[0], math.log((told[1] + 1) / (told[0] + 1)))
+    return Model(words, total, likely[1] - likely[0], math.log((told[1] + 1) / (told[0] + 1)))
 
 
 JUDGED = "page_id long, host string, path string, rule string, verdict string, log_odds double"
@@ -212,7 +229,7 @@ def judge(pages: DataFrame, rules: list[Rule], model: Model, page_id: str = "pag
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, segmenter = Rules(rules), Segmenter(model.words)
+        own, segmenter = Rules(rules), Segmenter(model.words, model.total)
         for batch in batches:
             rows = []
             for value in batch.column(1):
@@ -220,9 +237,9 @@ def judge(pages: DataFrame, rules: list[Rule], model: Model, page_id: str = "pag
                 found = own.find(host, path)
                 odds = model.prior + sum(model.block[bucket(t)] for t in tokens(host, path, segmenter))
                 rows.append((host, path, found.text if found else None, found.verdict if found else "block" if odds > 0 else "allow", float(odds)))
-            names = [c.split()[0] for c in JUDGED.split(", ")][1:]
-            cells = list(zip(*rows)) if rows else [[]] * len(names)
+            wanted = [c.split()[0] for c in JUDGED.split(", ")][1:]
+            cells = list(zip(*rows)) if rows else [[]] * len(wanted)
             kinds = [pa.string()] * 4 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cells, kinds))], names=["page_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cells, kinds))], names=["page_id", *wanted])
 
     return pages.selectExpr(f"cast(`{page_id}` as long) page_id", f"`{url}` url").mapInArrow(work, JUDGED)
