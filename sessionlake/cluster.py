@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import shutil
 import tempfile
@@ -53,14 +54,36 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, in tests on one machine, it is a folder of our own; elsewhere that is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    folder = tempfile.mkdtemp(prefix="sessionlake-shared-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not getattr(context, "_sessionlake_shared", None):
+        context._sessionlake_shared = tempfile.mkdtemp(prefix="sessionlake-shared-")
+        atexit.register(shutil.rmtree, context._sessionlake_shared, ignore_errors=True)
+    return context._sessionlake_shared
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A name for what a file or folder holds now: its files with their lengths and times."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    found = []
+    while files.hasNext():
+        status = files.next()
+        found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()[:32]
+
+
+def _written(spark: SparkSession) -> list[str]:
+    """The paths that materialize() wrote in this context and nobody deleted, in order."""
+    context = spark.sparkContext
+    if not hasattr(context, "_sessionlake_written"):
+        context._sessionlake_written = []
+    return context._sessionlake_written
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -68,12 +91,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written(spark).append(path)
     written = spark.read.schema(df.schema).parquet(path)
     written._written_to = path
     return written
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _written(spark):
+        _written(spark).remove(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of materialize() that nothing reads any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._written_to)
+
+
+def mark(spark: SparkSession) -> int:
+    """A place for discard_since()."""
+    return len(_written(spark))
+
+
+def discard_since(spark: SparkSession, place: int, *keep: DataFrame) -> None:
+    """Delete the tables that materialize() wrote after mark(), but for some: when their reader's result is written."""
+    kept = {df._written_to for df in keep}
+    for path in _written(spark)[place:]:
+        if path not in kept:
+            _delete(spark, path)
