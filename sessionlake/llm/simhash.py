@@ -12,7 +12,7 @@ links, never its pairs.
 Only distinct fingerprints enter, so copies cost nothing. A bucket of more than
 HEAVY fingerprints is dealt anew by its remaining bits, cut into blocks in the
 same way; what then falls together differs in so few bits that a bucket cannot
-outgrow 2 to the power of those.
+outgrow 2 to the power of those. Components are those of operators.graphs.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake import cluster
-from sessionlake.llm import columns, components
+from sessionlake.llm import columns
+from sessionlake.operators import graphs
 
 BITS, SEED, WORDS, RADIUS = 64, 42, 3, 2
 #: Buckets of more fingerprints are split by their other bits.
@@ -76,9 +77,9 @@ def _bit_counts(hashes: np.ndarray, starts: list[int]) -> np.ndarray:
     return np.array([bits[a:b].sum(axis=0, dtype=np.uint32) for a, b in zip(starts, ends)], np.int64).reshape(-1, BITS)
 
 
-def fingerprint_texts(texts: list[str], words: int = WORDS, seed: int = SEED) -> np.ndarray:
-    """The fingerprints: a bit is set if over half of the shingles' hashes have it; without words, zero."""
-    counts, totals = np.zeros((len(texts), BITS), np.int64), np.zeros(len(texts), np.int64)
+def fingerprints_of(runs: Iterator[tuple[int, np.ndarray]], n: int) -> np.ndarray:
+    """The fingerprints of n texts from runs (text, hashes) of their shingles: a bit is set if over half of a text's hashes have it; without any, zero."""
+    counts, totals = np.zeros((n, BITS), np.int64), np.zeros(n, np.int64)
     held: list[np.ndarray] = []
     owners: list[int] = []
     size = 0
@@ -92,18 +93,22 @@ def fingerprint_texts(texts: list[str], words: int = WORDS, seed: int = SEED) ->
         held.clear(), owners.clear()
         size = 0
 
-    for k, text in enumerate(texts):
-        for hashes in shingle_hashes(text, words, seed):
-            for at in range(0, len(hashes), CHUNK_SHINGLES):
-                held.append(hashes[at : at + CHUNK_SHINGLES])
-                owners.append(k)
-                size += len(held[-1])
-                if size >= CHUNK_SHINGLES:
-                    flush()
+    for k, hashes in runs:
+        for at in range(0, len(hashes), CHUNK_SHINGLES):
+            held.append(hashes[at : at + CHUNK_SHINGLES])
+            owners.append(k)
+            size += len(held[-1])
+            if size >= CHUNK_SHINGLES:
+                flush()
     flush()
     return np.packbits(counts * 2 > totals[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
+def fingerprint_texts(texts: list[str], words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """The fingerprints of texts over their word shingles, repeats included."""
+    return fingerprints_of(((k, hashes) for k, text in enumerate(texts) for hashes in shingle_hashes(text, words, seed)), len(texts))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, fp) of every row, fp as a signed long with the fingerprint's bits. A null text is empty and has fingerprint zero."""
 
@@ -176,9 +181,11 @@ def _some(plane: np.ndarray, alive: np.ndarray, width: int) -> np.ndarray:
 
 
 def forest(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal keys, as (fingerprint, least fingerprint of its linked set in the run), the least ones left out."""
+    """Links (a, b) within runs of equal keys, each of two fingerprints that differ in at most radius bits; together they reach what all links of a run reach."""
     label = np.arange(len(fps))
     parent = label.tolist()
+    left: list[int] = []
+    right: list[int] = []
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -201,19 +208,15 @@ def forest(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.
                 same &= label[rows[:-lag]] != label[rows[lag:]]
                 near = near_lanes(own, same, lag, planes, radius) if same.any() else ()
                 if len(near):
-                    for a, b in zip(rows[near].tolist(), rows[near + lag].tolist()):
-                        a, b = root(a), root(b)
+                    for x, y in zip(rows[near].tolist(), rows[near + lag].tolist()):
+                        a, b = root(x), root(y)
                         if a != b:
                             parent[max(a, b)] = min(a, b)
+                            left.append(x), right.append(y)
                     label[rows] = [root(x) for x in rows.tolist()]
         least *= 4
-    label = np.array([root(x) for x in range(len(fps))], np.int64)
     signed = fps.view(np.int64)
-    lowest = np.full(len(fps), np.iinfo(np.int64).max)
-    np.minimum.at(lowest, label, signed)
-    target = lowest[label]
-    linked = target != signed
-    return signed[linked], target[linked]
+    return signed[np.array(left, np.int64)], signed[np.array(right, np.int64)]
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -282,7 +285,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = cluster.materialize(fingerprints(docs, doc_id, text, words), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = components.components(links(nodes, radius))
+    labels = graphs.components(links(nodes, radius))
     named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     lowest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     own = named.select("fp", "label").join(lowest, "label").select("fp", "component_id")
