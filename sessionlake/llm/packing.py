@@ -16,7 +16,8 @@ all pieces is ranked by many tasks.
 
 from __future__ import annotations
 
-import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake import cluster
-from sessionlake.llm import columns
+from sessionlake.llm import bpe, columns
 
 WINDOW = 2048
 #: Tokens of a length class, and classes that a combination holds at most.
@@ -38,20 +39,46 @@ UNIT, DEPTH = 8, 4
 SHARD = 50_000
 #: The id that ends every document.
 END_ID = 1
-# The special token of the vocabulary file, which the tokenizer reads as one id inside texts too.
-SPECIAL = {"<|endoftext|>": 50256}
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
-_ENCODERS: dict[str, tiktoken.Encoding] = {}
 
+class Encoder:
+    """The ids of a tokenizer file of byte-level BPE (vocabulary, merges, added tokens), added tokens inside texts included.
 
-def encoder(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a rank file, with the special token; its ids are those of the vocabulary's tokenizer."""
+    tiktoken encodes by the file's vocabulary as ranks. Its regular expression
+    gives up on very long white space and its merging is slow on very long
+    words, so texts with a run of RUN characters of either go through
+    bpe.Vocabulary, which scans arrays and follows the file's merges.
+    """
+
+    RUN = 2_000
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        self.path, self.added = path, added
+        tokens = bpe.vocabulary("merges", path).tokens
+        ranks = {data: i for i, data in tokens.items() if i not in added.values()}
+        self.fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        self.long = re.compile(rf"\s{{{self.RUN}}}|\S{{{self.RUN}}}")
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+    def __call__(self, text: str) -> np.ndarray:
+        if len(text) < self.RUN or not self.long.search(text):
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        slow = bpe.vocabulary("merges", self.path)
+        parts = [p for p in (self.split.split(text) if self.split else [text]) if p]
+        return np.concatenate([np.array([self.added[p]], "<u4") if p in self.added else np.frombuffer(slow.encode([p])[0], "<u4") for p in parts])
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """An encoder, made once in each Python process."""
     if path not in _ENCODERS:
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODERS[path] = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+        _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
@@ -59,17 +86,17 @@ def cut(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     """Each row's ids and END_ID, cut into windows and a remainder: one row per piece, with a checksum in place of its ids."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_to_numpy
+        encode = encoder(path)
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for start, texts in columns.slices(batch, "text"):
                 rows = []
                 for key, own in zip(keys[start:], texts):
-                    ids = np.append(encode(own, allowed_special="all"), END_ID).astype("<u4")
+                    ids = np.append(encode(own), END_ID).astype("<u4")
                     rows += [(key, at, min(window, len(ids) - at), zlib.crc32(ids[at : at + window].tobytes()), len(ids)) for at in range(0, len(ids), window)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[c.split()[0] for c in PIECES.split(", ")])
 
-    return docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text").mapInArrow(work, PIECES)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(work, PIECES)
 
 
 def _parts(total: int, size: int, least: int) -> np.ndarray:
@@ -265,5 +292,10 @@ def pack(pieces: DataFrame, window: int = WINDOW, unit: int = UNIT, depth: int =
 
 
 def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Cut and pack every row's whole text. A null text is empty and is one piece of END_ID alone. Other columns are left out."""
+    """Cut and pack every row's whole text by a tokenizer file (path).
+
+    A null text is empty and is one piece of END_ID alone. Rows that repeat, and
+    rows with a null id, are documents each for itself. Other columns are left
+    out; an empty table gives no rows.
+    """
     return pack(cluster.materialize(cut(docs, path, doc_id, text), "pieces"))

@@ -10,4 +10,5 @@ from sessionlake.llm import packing
 
 
 def op6_nnls_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    return packing.pack_documents(cluster.table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    """Every document, null texts as empty ones, in pieces of sequences of 2048; an empty table gives no rows."""
+    return packing.pack_documents(cluster.table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_50k.json"))
