@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from sessionlake import cluster
 from sessionlake.llm import columns, simhash
 
-#: Labelled rows that the model is fitted on at most, of each label, and terms that it keeps at most.
-SAMPLE_PER_LABEL, MOST_TERMS = 5_000, 600
+#: Labelled rows that the model is fitted on at most, of each label. They bound the terms too, which evidence alone chooses.
+SAMPLE_PER_LABEL = 5_000
 #: A term needs so many toxic texts, to be so many times as frequent in them as in others, and nats of evidence that this is not chance.
 LEAST_TEXTS, LEAST_RATIO, LEAST_EVIDENCE = 4, 20.0, 12.0
 STEM_LETTERS = (4, 5, 6, 7, 8)
@@ -282,8 +282,7 @@ def choose_terms(rows: list[tuple[str, int, int]], toxic: int, other: int) -> li
             continue
         if stem and longer.get(text, 0) >= 0.9 * a:
             continue  # a longer stem or one word says as much
-        if len(kept) < MOST_TERMS:
-            kept[term] = Term(text, stem, ratio)
+        kept[term] = Term(text, stem, ratio)
     highest = max((t.weight for t in kept.values()), default=1.0)
     for word in SEED_TERMS:
         kept.setdefault(word, Term(word, False, highest / 2))
@@ -309,8 +308,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from labelled rows that are not held out: SAMPLE_PER_LABEL rows of each label at most, those whose hashed ids are least.
 
-    Labels that are null, and texts without a label, teach nothing. Without any
-    labels the model is the prior over the seed terms.
+    Labels that are null, and texts without a label, teach nothing; a document
+    that has several labels teaches each. Of equal or nearly equal texts of one
+    label one teaches. Without any labels the model is the prior over the seed
+    terms.
     """
     usable = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     totals = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
@@ -367,7 +368,7 @@ def _scores(model: Model, texts: list[str], cache: _Cache) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score) of every row's whole text. A null text is empty; one without matches has the model's constant. Rows that repeat stay."""
+    """(doc_id, score) of every row's whole text. A null text is empty; one without matches has the model's constant. Rows that repeat and null ids stay; an empty table gives no rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Cache(LexiconAutomaton(model.terms))
