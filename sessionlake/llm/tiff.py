@@ -9,6 +9,7 @@ stores 8-bit samples in the same ways, for round trips.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -17,6 +18,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sessionlake.llm import columns
 
@@ -43,21 +46,26 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+_RUNS = re.compile(rb"(.)\1{1,127}", re.DOTALL)
+
+
 def pack_bits(data: bytes) -> bytes:
-    out, at, n = bytearray(), 0, len(data)
-    while at < n:
-        run = 1
-        while run < 128 and at + run < n and data[at + run] == data[at]:
-            run += 1
-        if run > 1:
-            out += bytes((257 - run, data[at]))
-            at += run
+    """Runs of two to 128 equal bytes as one, what is between them as it is."""
+    out, at = bytearray(), 0
+
+    def plain(end: int) -> None:
+        for k in range(at, end, 128):
+            part = data[k : min(end, k + 128)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for run in _RUNS.finditer(data):
+        if len(run[0]) == 2 and run.start() > at:  # two equal bytes among others cost less as they are
             continue
-        end = at + 1
-        while end < n and end - at < 128 and (end + 1 >= n or data[end] != data[end + 1]):
-            end += 1
-        out += bytes((end - at - 1,)) + data[at:end]
-        at = end
+        plain(run.start())
+        out.extend((257 - len(run[0]), run[0][0]))
+        at = run.end()
+    plain(len(data))
     return bytes(out)
 
 
@@ -256,21 +264,26 @@ def write(images: list[np.ndarray], compression: int = ADOBE_DEFLATE, predictor:
 
 
 PAGES = "file_id long, page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, error string"
+_KINDS = [pa.int64(), *[pa.int32()] * 7, pa.bool_(), pa.binary(), pa.string()]
 
 
-def read_pages(files: DataFrame, file_id: str = "file_id", data: str = "data") -> DataFrame:
-    """One row per page of each file, with its samples.
+def read_pages(files: DataFrame, file_id: str = "file_id", data: str = "data", keep: list[str] | None = None) -> DataFrame:
+    """PAGES: one row per page of each file, with its samples, and the columns to keep, repeated.
 
     A null or broken file gives one row whose page is null and whose error says
     why, after the pages that could be read. Rows that repeat give their pages
-    again. Other columns are left out. No shuffle: pages stay where files are.
+    again. Columns that are not kept are left out; kept ones may not be named as
+    those of PAGES. An empty table gives no rows. No shuffle: pages stay where
+    files are, in the order of the files.
     """
+    own = [F.col(file_id).cast("long").alias("file_id"), F.col(data).cast("binary").alias("data")]
+    source = files.select(*own, *[F.col(c) for c in keep or []])
+    names = [c.split()[0] for c in PAGES.split(", ")]
+    schema = StructType([*StructType.fromDDL(PAGES).fields, *source.schema.fields[2:]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in PAGES.split(", ")]
-        kinds = pa.schema(list(zip(names, [pa.int64(), *[pa.int32()] * 7, pa.bool_(), pa.binary(), pa.string()])))
         for batch in batches:
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for place, (key, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
                 rows = []
                 try:
                     for p in pages(value.as_py() or b""):
@@ -278,48 +291,98 @@ def read_pages(files: DataFrame, file_id: str = "file_id", data: str = "data") -
                 except (ValueError, IndexError, KeyError, struct.error, zlib.error) as why:
                     rows.append((key, *[None] * 9, f"{type(why).__name__}: {why}"))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), kinds)], schema=kinds)
+                    kept = [batch.column(2 + n).slice(place, 1).take(pa.array([0] * len(rows))) for n in range(batch.num_columns - 2)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)), *kept], names=[*names, *batch.schema.names[2:]])
 
-    return files.selectExpr(f"cast(`{file_id}` as long) file_id", f"cast(`{data}` as binary) data").mapInArrow(work, PAGES)
+    return source.mapInArrow(work, schema)
 
 
 #: A payload is stored in rows of so many samples, and in pages of at most so many rows.
 ROW, PAGE_ROWS, UNIT = 24, 2730, 576
+#: Rows of a strip, and rows and columns of a tile.
+STRIP, TILE = 1024, (256, 16)
+STORED = [PACKBITS, LZW, ADOBE_DEFLATE, DEFLATE]
 
 
 def store(text: bytes) -> tuple[bytes, int]:
-    """(file, payload's bytes): the text and bytes 255 up to a positive multiple of UNIT, as pages of 8-bit samples."""
+    """(file, payload's bytes): the text and bytes 255 up to a positive multiple of UNIT, as pages of 8-bit samples.
+
+    The payload's digest chooses the compression, the predictor, and strips or
+    tiles, so that all of them occur and equal texts are stored equally.
+    """
     size = max(1, -(-len(text) // UNIT)) * UNIT
     payload = np.full(size, 255, np.uint8)
     payload[: len(text)] = np.frombuffer(text, np.uint8)
+    pick = hashlib.sha256(payload.tobytes()).digest()
     grid = payload.reshape(-1, ROW, 1)
-    return write([grid[k : k + PAGE_ROWS] for k in range(0, len(grid), PAGE_ROWS)], block=1024), size
-
+    images = [grid[k : k + PAGE_ROWS] for k in range(0, len(grid), PAGE_ROWS)]
+    return write(images, STORED[pick[0] % len(STORED)], 1 + pick[1] % 2, TILE if pick[2] % 2 else STRIP, "<>"[pick[3] % 2]), size
 
-ROUND_TRIP = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages long"
 
+STORED_FILES = "file_no long, data binary, doc_id long, n_bytes long, media_bytes long, media_sha256 string"
 
-def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each text stored as a TIFF file and read back page by page: digests and a feature of what was read.
 
-    feature: mean, standard deviation and share of non-ASCII samples of the
-    samples read, to six digits. A null text is empty, which is one unit of
-    bytes 255. Rows that repeat stay; other columns are left out.
-    """
+def stored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """STORED_FILES: each row's whole text as a file, numbered within its partition. A null text is empty."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
         for batch in batches:
             for start, texts in columns.slices(batch, "text"):
                 rows = []
                 for own in texts:
                     data = own.encode("utf-8", "replace")
-                    media, size = store(data)
-                    read = [p.pixels for p in pages(media)]
-                    payload = b"".join(read)
-                    samples = np.frombuffer(payload, np.uint8)
-                    feature = f"{samples.mean():.6f},{samples.std():.6f},{(samples > 127).mean():.6f}"
-                    rows.append((len(data), size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(read)))
-                names = [c.split()[0] for c in ROUND_TRIP.split(", ")][1:]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(start, len(texts)), **{n: pa.array(list(c)) for n, c in zip(names, zip(*rows))}})
-
-    return docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text").mapInArrow(work, ROUND_TRIP)
+                    media, _ = store(data)
+                    rows.append((number, media, len(data), len(media), hashlib.sha256(media).hexdigest()))
+                    number += 1
+                no, media, n, size, digest = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(no, pa.int64()), pa.array(media, pa.binary()), batch.column(0).slice(start, len(texts)), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(digest)], names=[c.split()[0] for c in STORED_FILES.split(", ")])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(work, STORED_FILES)
+
+
+ROUND_TRIP = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages long, codec string"
+
+
+def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each text stored as a TIFF file, read back into a row per page, and the pages of each file told together: digests and a feature of what was read.
+
+    feature: mean, standard deviation and share of non-ASCII samples of the
+    samples read, to six digits. codec: compression, predictor, and strips or
+    tiles. A null text is empty, which is one unit of bytes 255. Rows that
+    repeat and null ids stay; other columns are left out; an empty table gives no
+    rows. Pages follow each other as they were read, so nothing is shuffled.
+    """
+    read = read_pages(stored(docs, doc_id, text), "file_no", "data", ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
+    names = [c.split()[0] for c in ROUND_TRIP.split(", ")]
+    part = read.select("file_id", "page", "compression", "predictor", "tiled", "pixels", "error", "doc_id", "n_bytes", "media_bytes", "media_sha256")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict = {}
+
+        def told() -> pa.RecordBatch:
+            counts = own["counts"]
+            total, values = counts.sum(), np.arange(256)
+            mean = float((counts * values).sum() / total)
+            spread = float(np.sqrt((counts * (values - mean) ** 2).sum() / total))
+            row = (own["doc_id"], own["n_bytes"], int(total), own["digest"].hexdigest(), zlib.crc32(own["tail"][-32:]), own["media_bytes"], own["media_sha256"], f"{mean:.6f},{spread:.6f},{counts[128:].sum() / total:.6f}", own["pages"], own["codec"])
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (*[pa.int64()] * 3, pa.string(), *[pa.int64()] * 2, *[pa.string()] * 2, pa.int64(), pa.string()))], names=names)
+
+        for batch in batches:
+            for k, (page, error) in enumerate(zip(batch.column(1).to_pylist(), batch.column(6).to_pylist())):
+                if error is not None:
+                    raise ValueError(f"a stored file that cannot be read: {error}")
+                if page == 0:
+                    if own:
+                        yield told()
+                    at = lambda c, k=k, batch=batch: batch.column(c)[k].as_py()
+                    own = {"doc_id": at(7), "n_bytes": at(8), "media_bytes": at(9), "media_sha256": at(10), "codec": f"{at(2)}/{at(3)}/{'tiles' if at(4) else 'strips'}", "counts": np.zeros(256, np.int64), "digest": hashlib.sha256(), "tail": b"", "pages": 0}
+                pixels = batch.column(5)[k].as_buffer().to_pybytes()
+                own["counts"] += np.bincount(np.frombuffer(pixels, np.uint8), minlength=256)
+                own["digest"].update(pixels)
+                own["tail"] = (own["tail"] + pixels)[-32:]
+                own["pages"] += 1
+        if own:
+            yield told()
+
+    return part.mapInArrow(fold, ROUND_TRIP)
