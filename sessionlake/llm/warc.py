@@ -32,7 +32,18 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
-def resolve(records: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
+def folded(headers: Column) -> Column:
+    """Headers by lower-cased name; of names that differ in case alone the last one's value counts. Null is none."""
+    entries = F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>")))
+    kept = F.filter(entries, lambda e, k: ~F.exists(F.slice(entries, k + 2, F.size(entries)), lambda later: F.lower(later["key"]) == F.lower(e["key"])))
+    return F.map_from_entries(F.transform(kept, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+
+
+#: Seconds of a bucket of time, and rows beyond which a URL's bucket is cut into finer ones.
+BUCKET_SECONDS, BUCKET_ROWS = 3_600, 50_000
+
+
+def resolve(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Every revisit with the response that it resolves to.
 
     records: record_id long, url string, ts long (seconds), kind string
@@ -44,10 +55,12 @@ def resolve(records: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
     orphan (no earlier response, or a null url or ts); headers are merged where
     it is resolved, else the revisit's own. A response at the revisit's second
     is not earlier; of responses at one second the greatest record_id counts.
-    Repeated revisits stay. Header names are compared in lower case. Other
-    columns are left out; an empty table gives no rows.
+    Repeated revisits stay. Header names are compared in lower case, see
+    folded(). Other columns are left out; an empty table gives no rows.
+
+    A URL's bucket of more than bucket_rows rows is cut into parts of equal time
+    whose number grows with its rows, down to single seconds.
     """
-    lower = lambda m: F.map_from_entries(F.array_distinct(F.transform(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
     rows = records.select(
         F.col("record_id").cast("long").alias("record_id"),
         canonical_url(F.col("url")).alias("url"),
@@ -55,10 +68,13 @@ def resolve(records: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
         F.col("kind").alias("kind"),
         F.col("status").alias("status"),
         F.struct(F.col("etag").alias("etag"), F.col("last_modified").alias("modified"), F.col("digest").alias("digest")).alias("mark"),
-        lower(F.col("headers")).alias("headers"),
+        folded(F.col("headers")).alias("headers"),
     ).filter("kind = 'revisit' or (kind = 'response' and status = 200 and url is not null and ts is not null)")
     full = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "mark", F.to_json("headers").alias("headers")))
-    dealt = rows.withColumn("bucket", F.floor(F.col("ts") / bucket_seconds)).withColumn("full", full)
+    timed = rows.withColumn("span", F.floor(F.col("ts") / bucket_seconds))
+    crowded = timed.groupBy("url", "span").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_rows).select("url", "span", F.least(F.ceil(F.col("n") / bucket_rows), F.lit(bucket_seconds)).alias("parts"))
+    part = F.floor((F.col("ts") - F.col("span") * bucket_seconds) * F.coalesce("parts", F.lit(1)) / bucket_seconds)
+    dealt = timed.join(crowded, ["url", "span"], "left").withColumn("bucket", F.col("span") * bucket_seconds + part).drop("span", "parts").withColumn("full", full)
     last = dealt.filter("kind = 'response'").groupBy("url", "bucket").agg(F.max("full").alias("last"))
     # rows for the buckets of revisits too, so that each finds what came before it
     asked = dealt.filter("kind = 'revisit'").select("url", "bucket").distinct().withColumn("last", F.lit(None).cast(last.schema["last"].dataType))
@@ -71,7 +87,8 @@ def resolve(records: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
     def agree(field: str) -> Column:
         return F.col(f"mark.{field}") == F.col(f"base.mark.{field}")
 
-    outcome = F.when(F.col("base").isNull(), "orphan").otherwise(F.when(F.coalesce(agree("etag"), agree("modified"), agree("digest")), "resolved").when(~F.coalesce(agree("etag"), agree("modified"), agree("digest")), "mismatch").otherwise("unvalidated"))
+    same = F.coalesce(agree("etag"), agree("modified"), agree("digest"))
+    outcome = F.when(F.col("base").isNull(), "orphan").otherwise(F.when(same, "resolved").when(~same, "mismatch").otherwise("unvalidated"))
     base_headers = F.coalesce(F.from_json("base.headers", "map<string,string>"), F.create_map().cast("map<string,string>"))
     fresh = F.map_filter("headers", lambda k, _: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter(base_headers, lambda k, _: ~F.map_contains_key(fresh, k)), fresh)
