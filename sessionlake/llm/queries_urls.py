@@ -11,5 +11,6 @@ RULES = [urls.rule("com/", "allow"), urls.rule("example.com/en/", "block"), urls
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = cluster.table(spark, sf_dir, "pages")
-    return urls.judge(pages, RULES, urls.train(pages, RULES))
+    """Every page; a null url has an empty host and path. Null and repeated ids stay, an empty table gives no rows."""
+    split = urls.split_pages(cluster.table(spark, sf_dir, "pages"), RULES)
+    return urls.judge(split, urls.train(split))

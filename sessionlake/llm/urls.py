@@ -5,8 +5,10 @@ words run together, are split by the most likely sequence of words (Viterbi over
 unigrams). Pages that a rule decides teach a multinomial naive Bayes model which
 tokens of hosts and paths go with which verdict; it decides the others.
 
-All words are counted. What is broadcast are the counts of those that stand in some
-host or path, which no split of another can use, the total, and 2 * BUCKETS counts.
+All words are counted, whatever their length, and none leaves the executors:
+each different name is split once, in a row that holds the counts of the words
+that stand in it, and splits are joined back to the pages. The driver holds and
+sends 2 * BUCKETS counts alone.
 """
 
 from __future__ import annotations
@@ -25,13 +27,13 @@ from pyspark.sql import functions as F
 
 from sessionlake import cluster
 
-#: Letters of the longest word.
-MOST_LETTERS = 24
 #: Tokens are counted in so many hashed buckets.
 BUCKETS = 1 << 16
 #: Words that a task counts before it sends its counts on.
 HELD_WORDS = 300_000
 SMOOTHING = 1.0
+#: Log-odds are added as whole numbers of this part of one, so that sums are the same in any order.
+GRAIN = 1e-9
 
 _TAGS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -86,25 +88,18 @@ class Segmenter:
         total = total or sum(counts.values()) or 1
         self.cost = {w: math.log(total / n) for w, n in counts.items()}
         self.unknown = math.log(total) + 8.0
-        self.longest = max(map(len, counts), default=1)
-        self.cache: dict[str, tuple[str, ...]] = {}
+        self.lengths = sorted({len(w) for w in counts}, reverse=True)
 
     def split(self, name: str) -> tuple[str, ...]:
-        found = self.cache.get(name)
-        if found is None:
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            found = self.cache[name] = self._split(name)
-        return found
-
-    def _split(self, name: str) -> tuple[str, ...]:
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
             at, least = end - 1, best[end - 1] + self.unknown
-            for start in range(max(0, end - self.longest), end):
-                cost = self.cost.get(name[start:end])
-                if cost is not None and best[start] + cost < least:
-                    at, least = start, best[start] + cost
+            for size in self.lengths:
+                if size > end:
+                    continue
+                cost = self.cost.get(name[end - size : end])
+                if cost is not None and best[end - size] + cost < least:
+                    at, least = end - size, best[end - size] + cost
             best.append(least)
             back.append(at)
         words, end = [], len(name)
@@ -127,7 +122,7 @@ def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
 
         for batch in batches:
             for value in batch.column(0):
-                held.update(w for w in _LETTERS.findall(_TAGS.sub(" ", value.as_py() or "").lower()) if 1 < len(w) <= MOST_LETTERS)
+                held.update(_LETTERS.findall(_TAGS.sub(" ", value.as_py() or "").lower()))
                 if len(held) > HELD_WORDS:
                     yield rows()
         yield rows()
@@ -140,106 +135,133 @@ def names(host: str, path: str) -> tuple[list[str], list[str]]:
     return _TOKENS.findall(host), _TOKENS.findall(path.lower())
 
 
-def substrings(pages: DataFrame, url: str = "url") -> DataFrame:
-    """(word): the different substrings of hosts' labels and paths' tokens that may be words."""
+def substrings(distinct: DataFrame, lengths: list[int]) -> DataFrame:
+    """(name, word): the substrings of names (name) that have the length of some word, once each, where letters stand together."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: set[str] = set()
         for batch in batches:
-            for value in batch.column(0):
-                for name in {n for part in names(*parts(value.as_py())) for n in part}:
-                    for run in _LETTERS.findall(name):
-                        held.update(run[k:end] for k in range(len(run) - 1) for end in range(k + 2, min(len(run), k + MOST_LETTERS) + 1))
-                if len(held) > HELD_WORDS:
-                    yield pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.string())})
-                    held.clear()
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.string())})
-
-    return pages.select(F.col(url).alias("url")).mapInArrow(cut, "word string").distinct()
-
-
-def needed(pages: DataFrame, url: str = "url", html: str = "html") -> tuple[dict[str, int], int]:
-    """The counts of the words that splits of the pages' hosts and paths can use, and the sum of the counts of all words."""
-    held = cluster.materialize(word_counts(pages, html), "words")
-    total = held.agg(F.sum("n")).first()[0] or 0
-    return {r["word"]: r["n"] for r in held.join(substrings(pages, url), "word").select("word", "n").collect()}, total
+            own: list[str] = []
+            found: list[str] = []
+            for name in batch.column(0).to_pylist():
+                parts = {run[k : k + size] for run in _LETTERS.findall(name) for size in lengths if size <= len(run) for k in range(len(run) - size + 1)}
+                own += [name] * len(parts)
+                found += parts
+                if len(own) > HELD_WORDS:
+                    yield pa.RecordBatch.from_pydict({"name": pa.array(own, pa.string()), "word": pa.array(found, pa.string())})
+                    own, found = [], []
+            yield pa.RecordBatch.from_pydict({"name": pa.array(own, pa.string()), "word": pa.array(found, pa.string())})
+
+    return distinct.mapInArrow(cut, "name string, word string")
+
+
+def splits(distinct: DataFrame, counted: DataFrame) -> DataFrame:
+    """(name, words): each name (name) split by the words and counts of word_counts(); a number, and a name without a word, are one word each or letters."""
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    lengths = [r["l"] for r in counted.select(F.char_length("word").alias("l")).distinct().collect()]  # at most as many as the longest word has letters
+    met = substrings(distinct, sorted(lengths)).join(counted, "word").groupBy("name").agg(F.collect_list("word").alias("own"), F.collect_list("n").alias("counts"))
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [Segmenter(dict(zip(own or (), counts or ())), total).split(name) for name, own, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(c) for c in cut], pa.list_(pa.string()))], names=["name", "words"])
 
-def tokens(host: str, path: str, segmenter: Segmenter) -> list[str]:
-    """Words of a host's labels and of a path, told apart; a number counts as a number."""
-    labels, steps = names(host, path)
-    own = [f"h:{w}" for label in labels for w in segmenter.split(label)]
-    return own + [f"p:{'#' if t.isdigit() else w}" for t in steps for w in ((t,) if t.isdigit() else segmenter.split(t))]
+    return distinct.join(met, "name", "left").select("name", "own", "counts").mapInArrow(work, "name string, words array<string>")
 
 
 def bucket(token: str) -> int:
     return xxhash.xxh64_intdigest(token) % BUCKETS
 
 
+PARSED = "row long, page_id long, host string, path string, rule string, verdict string"
+
+
 @dataclass
-class Model:
-    words: dict[str, int]
-    total: int  # of the counts of all words
-    block: np.ndarray  # log-odds of blocking for a token of each bucket
-    prior: float
+class Split:
+    """pages: PARSED of every page, numbered. tokens: (row, bucket) of each token of a page."""
 
+    pages: DataFrame
+    tokens: DataFrame
 
-def train(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "html") -> Model:
-    """Word counts over all pages, and token counts over all pages that a rule decides."""
-    words, total = needed(pages, url, html)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, segmenter = Rules(rules), Segmenter(words, total)
-        seen = np.zeros((2, BUCKETS), np.int64)
-        told = np.zeros(2, np.int64)
+def split_pages(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: str = "url", html: str = "html") -> Split:
+    """Every page's url taken apart, with the longest rule that fits, and the tokens of its host and path.
+
+    Words of a host's labels and of a path are told apart; a number of a path
+    counts as a number. Pages and splits are written to the shared folder, as
+    they are read again.
+    """
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Rules(rules)
         for batch in batches:
-            for value in batch.column(0):
+            rows = []
+            for value in batch.column(2):
                 host, path = parts(value.as_py())
                 found = own.find(host, path)
-                if found:
-                    kind = int(found.verdict == "block")
-                    told[kind] += 1
-                    for token in tokens(host, path, segmenter):
-                        seen[kind, bucket(token)] += 1
-        kind, at = np.nonzero(seen)
-        yield pa.RecordBatch.from_pydict({"kind": pa.array(np.append(kind, [0, 1])), "bucket": pa.array(np.append(at, [-1, -1])), "n": pa.array(np.append(seen[kind, at], told))})
-
-    counted = pages.select(F.col(url).alias("url")).mapInArrow(count, "kind long, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).collect()  # 2 * (BUCKETS + 1) rows at most
-    seen, told = np.zeros((2, BUCKETS)), [0, 0]
+                rows.append((host, path, found.text if found else None, found.verdict if found else None))
+            cells = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.string()) for c in cells)], names=[c.split()[0] for c in PARSED.split(", ")])
+
+    numbered = pages.select(F.monotonically_increasing_id().alias("row"), F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"))
+    parsed = cluster.materialize(numbered.mapInArrow(parse, PARSED), "urls")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(row, kind, name) for row, host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()) for kind, own in zip("hp", names(host, path)) for name in own]
+            cells = list(zip(*rows)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.string(), pa.string()))], names=["row", "kind", "name"])
+
+    every = parsed.select("row", "host", "path").mapInArrow(named, "row long, kind string, name string")
+    # a name that most pages hold is a row of each of them: how often each page has it travels, not each place
+    placed = cluster.materialize(every.groupBy("row", "kind", "name").agg(F.count("*").alias("times")), "url-names")
+    counted = cluster.materialize(word_counts(pages, html), "words")
+    split = cluster.materialize(splits(placed.select("name").distinct(), counted), "splits")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(kind, name, bucket(f"{kind}:{'#' if kind == 'p' and name.isdigit() else w}")) for kind, name, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()) for w in ([name] if kind == "p" and name.isdigit() else own)]
+            cells = list(zip(*rows)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.string(), pa.string(), pa.int64()))], names=["kind", "name", "bucket"])
+
+    of_name = placed.select("kind", "name").distinct().join(split, "name").select("kind", "name", "words").mapInArrow(hashed, "kind string, name string, bucket long")
+    listed = of_name.groupBy("kind", "name").agg(F.collect_list("bucket").alias("buckets"))
+    tokens = placed.join(listed, ["kind", "name"]).select("row", "times", F.explode("buckets").alias("bucket"))
+    return Split(parsed, cluster.materialize(tokens, "url-tokens"))
+
+
+@dataclass
+class Model:
+    block: np.ndarray  # log-odds of blocking for a token of each bucket
+    prior: float
+
+
+def train(split: Split) -> Model:
+    """Token counts over all pages that a rule decides."""
+    told = {r["verdict"]: r["count"] for r in split.pages.filter("verdict is not null").groupBy("verdict").count().collect()}
+    counted = split.tokens.join(split.pages.filter("verdict is not null").select("row", "verdict"), "row").groupBy("verdict", "bucket").agg(F.sum("times").alias("n")).collect()  # 2 * BUCKETS rows at most
+    seen = np.zeros((2, BUCKETS))
     for r in counted:
-        if r["bucket"] < 0:
-            told[r["kind"]] = r["n"]
-        else:
-            seen[r["kind"], r["bucket"]] = r["n"]
+        seen[int(r["verdict"] == "block"), r["bucket"]] = r["n"]
     used = max(1, int((seen.sum(axis=0) > 0).sum()))
     likely = np.log((seen + SMOOTHING) / (seen.sum(axis=1, keepdims=True) + SMOOTHING * used))
-    return Model(words, total, likely[1] - likely[0], math.log((told[1] + 1) / (told[0] + 1)))
-
-
-JUDGED = "page_id long, host string, path string, rule string, verdict string, log_odds double"
+    return Model(likely[1] - likely[0], math.log((told.get("block", 0) + 1) / (told.get("allow", 0) + 1)))
 
 
-def judge(pages: DataFrame, rules: list[Rule], model: Model, page_id: str = "page_id", url: str = "url") -> DataFrame:
+def judge(split: Split, model: Model) -> DataFrame:
     """(page_id, host, path, rule, verdict, log_odds) of every row.
 
     verdict is that of the longest rule that fits, else block if the model's
     log-odds of blocking are above zero, else allow. A null url, or one without
-    ://, has an empty host and path. Rows that repeat stay; other columns are
-    left out. Without pages that rules decide, the model allows.
+    ://, has an empty host and path. Rows that repeat and null ids stay; other
+    columns are left out; an empty table gives no rows. Without pages that rules
+    decide, the model allows.
     """
+    grains = np.round(model.block / GRAIN).astype(np.int64)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, segmenter = Rules(rules), Segmenter(model.words, model.total)
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for value in batch.column(1):
-                host, path = parts(value.as_py())
-                found = own.find(host, path)
-                odds = model.prior + sum(model.block[bucket(t)] for t in tokens(host, path, segmenter))
-                rows.append((host, path, found.text if found else None, found.verdict if found else "block" if odds > 0 else "allow", float(odds)))
-            wanted = [c.split()[0] for c in JUDGED.split(", ")][1:]
-            cells = list(zip(*rows)) if rows else [[]] * len(wanted)
-            kinds = [pa.string()] * 4 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cells, kinds))], names=["page_id", *wanted])
-
-    return pages.selectExpr(f"cast(`{page_id}` as long) page_id", f"`{url}` url").mapInArrow(work, JUDGED)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grains[batch.column(2).to_numpy()] * batch.column(1).to_numpy())], names=["row", "odds"])
+
+    odds = split.tokens.select("row", "times", "bucket").mapInArrow(weigh, "row long, odds long").groupBy("row").agg(F.sum("odds").alias("odds"))
+    total = F.coalesce("odds", F.lit(0)) + F.lit(int(round(model.prior / GRAIN)))
+    return split.pages.join(odds, "row", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(total > 0, "block").otherwise("allow")).alias("verdict"), (total * F.lit(GRAIN)).alias("log_odds"))
