@@ -20,6 +20,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": _shipped(queries_secrets.op1_secret_scan),
+    "secret_ledger": _shipped(queries_secrets.secret_ledger),
     "op2_byte_bpe": _shipped(queries_bpe.op2_byte_bpe),
     "op3_tiff_pages": _shipped(queries_tiff.op3_tiff_pages),
     "op4_warc_revisits": queries_warc.op4_warc_revisits,
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "secret_ledger": queries_secrets.LEDGER_SQL,
     "op4_warc_revisits": queries_warc.ORACLE,
     "op8_chat_formatting": queries_chat.ORACLE,
 }

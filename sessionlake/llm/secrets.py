@@ -132,20 +132,44 @@ def scan(docs: DataFrame, path: list[str], text: str = "text", ledger: DataFrame
     exclusive. An empty table gives no rows. The new ledger rows are written to
     the shared folder; append them to the ledger to make the next scan
     incremental.
+
+    With a ledger, texts are first named and the names that it lacks are found;
+    only the texts of those are read, sent and scanned. While they are few, the
+    join with their names is a broadcast, which Spark chooses by their size, and
+    no known text moves.
     """
-    blobs = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_pack, "blob binary, packed binary")
+    own = docs.select(F.col(text).cast("string").alias("text"))
     known = None
     if ledger is not None:
-        known = ledger.filter(F.col("rule_version") == RULE_VERSION)
-        blobs = blobs.join(known.select("blob"), "blob", "left_anti")
+        known = ledger.filter(F.col("rule_version") == RULE_VERSION).select("blob", "rule_version", "spans")
+        named = own.withColumn("_own", blob_name(F.col("text")))
+        unseen = cluster.materialize(named.select(F.col("_own").alias("blob")).distinct().join(known.select("blob"), "blob", "left_anti"), "unseen-blobs")
+        own = named.join(unseen, F.col("_own") == F.col("blob"), "left_semi").select("text")
+    blobs = own.mapInArrow(_pack, "blob binary, packed binary")
     added = cluster.materialize(blobs.repartition("blob").mapInArrow(_scan, LEDGER), "secret-ledger")
-    whole = added if known is None else known.select("blob", "rule_version", "spans").unionByName(added)
+    whole = added if known is None else known.unionByName(added)
     hits = whole.filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    named = docs.select(*[F.col(c) for c in path], blob_name(F.col(text)).alias("_own"))
-    joined = named.join(hits, F.col("_own") == F.col("_blob"), "left").select(*[F.col(c) for c in path], F.coalesce("_spans", F.array().cast(SPANS)).alias("spans"))
+    paths = docs.select(*[F.col(c) for c in path], blob_name(F.col(text).cast("string")).alias("_own"))
+    joined = paths.join(hits, F.col("_own") == F.col("_blob"), "left").select(*[F.col(c) for c in path], F.coalesce("_spans", F.array().cast(SPANS)).alias("spans"))
     return Scan(joined, added, whole)
 
 
+def history(versions: DataFrame, path: list[str], commit: str, commits: list[str], text: str = "text", ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(path columns, commit, spans of every version, the ledger after, the new ledger rows of each commit): commits scanned one after the other, in the given order.
+
+    A commit scans the blobs that neither the ledger nor an earlier commit has.
+    Versions of commits that are not in the list are left out.
+    """
+    held = empty_ledger(versions.sparkSession) if ledger is None else ledger
+    out, added = None, []
+    for name in commits:
+        one = scan(versions.filter(F.col(commit) == name), [*path, commit], text, held)
+        held = one.ledger
+        added.append(one.added)
+        out = one.paths if out is None else out.unionByName(one.paths)
+    return out, held, added
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end of spans, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
