@@ -10,4 +10,5 @@ from sessionlake.llm import bpe
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Every document, null texts as empty ones; null and repeated ids stay, an empty table gives no rows."""
     return bpe.digests(cluster.table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))

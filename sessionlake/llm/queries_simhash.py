@@ -10,5 +10,6 @@ from sessionlake.llm import simhash
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, null texts as empty ones; null and repeated ids stay, an empty table gives no rows."""
     found = simhash.near_duplicates(cluster.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -8,5 +8,5 @@ def ranks_path():
 
 
 @pytest.fixture(scope="session")
-def gpt_ranks_path():
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+def tokenizer_path():
+    return public_tokenizers.path("byte_bpe_50k.json")

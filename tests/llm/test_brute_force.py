@@ -76,6 +76,16 @@ def test_ledger_scans_only_unseen_blobs(spark):
     assert secrets.scan(first, ["path"], ledger=stale).added.count() == 2
 
 
+def test_commits_scan_what_earlier_ones_lack(spark):
+    rows = [("a", "c1", "token=abcdefgh1"), ("b", "c1", "plain"), ("a", "c2", "token=abcdefgh1"), ("b", "c2", "secret: 12345678"), (None, "c2", None), ("a", "c3", "plain"), ("z", "c4", "left out")]
+    versions = spark.createDataFrame(rows, "path string, revision string, text string")
+    found, ledger, added = secrets.history(versions, ["path"], "revision", ["c1", "c2", "c3"])
+    assert [a.count() for a in added] == [2, 2, 0] and ledger.count() == 4
+    assert {(r.path, r.revision): len(r.spans) for r in found.collect()} == {("a", "c1"): 1, ("b", "c1"): 0, ("a", "c2"): 1, ("b", "c2"): 1, (None, "c2"): 0, ("a", "c3"): 0}
+    again = secrets.history(versions, ["path"], "revision", ["c2"], ledger=ledger)[2]
+    assert again[0].count() == 0
+
+
 def test_redaction_joins_overlaps(spark):
     text = "x token=deadbeefdeadbeefdeadbeefdeadbeef y AKIAABCDEFGHIJKL"
     df = spark.createDataFrame([(text,), ("clean",)], "text string")
@@ -134,10 +144,25 @@ def test_long_pieces_and_merge_files():
 
 
 def test_op3(spark, texts):
+    codecs = set()
     for r in run(spark, "op3_tiff_pages"):
         data = texts[r.doc_id].encode()
         payload = data.ljust(max(1, -(-len(data) // 576)) * 576, b"\xff")
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        media, size = tiff.store(data)
+        samples = np.frombuffer(payload, np.uint8)
+        assert (r.media_bytes, r.media_sha256, size) == (len(media), hashlib.sha256(media).hexdigest(), len(payload))
+        assert np.allclose(list(map(float, r.feature.split(","))), [samples.mean(), samples.std(), (samples > 127).mean()], atol=2e-6)
+        assert r.n_pages == len(list(tiff.pages(media))) == -(-len(payload) // (tiff.ROW * tiff.PAGE_ROWS))
+        codecs.add(r.codec)
+    assert codecs == {f"{c}/{p}/{kind}" for c in tiff.STORED for p in (1, 2) for kind in ("strips", "tiles")}
+
+
+def test_kept_columns_are_on_each_page(spark):
+    image = np.arange(12, dtype=np.uint8).reshape(3, 4, 1)
+    df = spark.createDataFrame([(1, bytearray(tiff.write([image, image[:2]])), "a", None), (2, None, "b", [1, 2])], "file_id long, data binary, label string, list array<int>")
+    rows = tiff.read_pages(df, keep=["label", "list"]).collect()
+    assert [(r.file_id, r.page, r.label, r.list) for r in rows] == [(1, 0, "a", None), (1, 1, "a", None), (2, None, "b", [1, 2])]
 
 
 @pytest.mark.parametrize("compression", sorted(tiff.UNPACK))
@@ -189,6 +214,29 @@ def test_op5(spark):
     assert {r.verdict for r in rows if r.rule is None} == {"allow", "block"}
 
 
+def test_op5_verdicts_by_a_plain_model(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    counts = Counter(w for p in pages for w in re.findall(r"[^\W\d_]+", re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ", p.html or "").lower()))
+    segmenter = urls.Segmenter(counts)
+    rows = {r.page_id: r for r in run(spark, "op5_url_filter")}
+
+    def tokens(r):
+        own = [f"h:{w}" for label in re.findall(r"[^\W_]+", r.host) for w in segmenter.split(label)]
+        return own + [f"p:{'#' if t.isdigit() else w}" for t in re.findall(r"[^\W_]+", r.path.lower()) for w in ([t] if t.isdigit() else segmenter.split(t))]
+
+    seen, told = {"allow": Counter(), "block": Counter()}, Counter()
+    for r in rows.values():
+        if r.rule is not None:
+            told[r.verdict] += 1
+            seen[r.verdict].update(xxhash.xxh64_intdigest(t) % urls.BUCKETS for t in tokens(r))
+    used = len(set(seen["allow"]) | set(seen["block"]))
+    weight = lambda verdict, b: np.log((seen[verdict][b] + 1) / (sum(seen[verdict].values()) + used))
+    for r in rows.values():
+        own = [xxhash.xxh64_intdigest(t) % urls.BUCKETS for t in tokens(r)]
+        odds = np.log((told["block"] + 1) / (told["allow"] + 1)) + sum(weight("block", b) - weight("allow", b) for b in own)
+        assert abs(odds - r.log_odds) < 1e-6 and (r.rule is not None or r.verdict == ("block" if odds > 0 else "allow"))
+
+
 def test_segmentation_equals_all_splits():
     counts = {"cheap": 50, "pills": 40, "the": 900, "he": 100, "a": 300, "pill": 90, "s": 60}
     segmenter = urls.Segmenter(counts)
@@ -234,9 +282,21 @@ def test_op6(spark, texts):
     assert sum(r.length for r in rows) / (2048 * len(sequences)) > 0.98
 
 
-def test_special_token_in_a_text(gpt_ranks_path):
-    text = "a<|endoftext|>b <|endoftext|>"
-    assert packing.encoder(gpt_ranks_path).encode(text, allowed_special="all") == Tokenizer.from_file(path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+@pytest.mark.parametrize("text", ["a<|endoftext|>b <|endoftext|>", "a" + " " * 3_000 + "b", "\n\t " * 4_000, "x" * 20_000, "ab" * 5_000 + " <|endoftext|>" + "é" * 4_000, " " * 2_500 + "<|endoftext|>" + " " * 2_500 + "a", "　" * 3_000 + "end", "1" * 2_500 + "!" * 2_500])
+def test_ids_of_odd_texts_are_the_tokenizers(tokenizer_path, text):
+    assert packing.encoder(tokenizer_path)(text).tolist() == Tokenizer.from_file(tokenizer_path).encode(text, add_special_tokens=False).ids
+
+
+def test_every_token_by_itself_is_the_tokenizers(tokenizer_path):
+    tokenizer, own = Tokenizer.from_file(tokenizer_path), packing.encoder(tokenizer_path)
+    texts_ = [t for data in bpe.vocabulary("merges", tokenizer_path).tokens.values() if (t := data.decode("utf-8", "ignore"))]
+    assert [own(t).tolist() for t in texts_] == [e.ids for e in tokenizer.encode_batch(texts_, add_special_tokens=False)]
+
+
+def test_very_long_white_space_and_words_are_packed(spark, tokenizer_path):
+    docs = spark.createDataFrame([(1, " " * 1_000_000), (2, "a" * 400_000), (3, "x " * 300_000)], "doc_id long, text string")
+    rows = packing.pack_documents(docs, tokenizer_path).collect()
+    assert {r.doc_id for r in rows} == {1, 2, 3} and all(r.offset + r.length <= 2048 for r in rows)
 
 
 def test_combinations_and_least_squares():
@@ -351,9 +411,9 @@ def test_links_of_planted_fingerprints(spark, heavy):
         fps = fps ^ np.where(rng.random(900) < 0.5, np.uint64(1) << rng.integers(0, 64, 900).astype(np.uint64), np.uint64(0))
     fps = np.unique(fps)
     nodes = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
-    from sessionlake.llm import components
+    from sessionlake.operators import graphs
 
-    got = {r.node: r.label for r in components.components(simhash.links(nodes, heavy=heavy)).collect()}
+    got = {r.node: r.label for r in graphs.components(simhash.links(nodes, heavy=heavy)).collect()}
     signed = np.sort(fps.view(np.int64))
     want = plain_components(signed.tolist(), signed.view(np.uint64))
     assert [got.get(int(f), int(f)) for f in signed] == want
@@ -398,7 +458,10 @@ def test_op10_recall(spark):
     got = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.query_id, r.rank)):
         got[r.query_id].append(r.vec_id)
-    assert set(got) == set(want) and sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.98 * 5 * len(want)
+    recall = sum(len(set(got[q]) & set(want[q])) for q in want) / (5 * len(want))
+    compared = sum({r.query_id: r.verified for r in rows}.values()) / len(want) / len(ids)
+    print(f"recall {recall:.4f}, compared in full {compared:.4f} of the vectors")
+    assert set(got) == set(want) and recall >= 0.97 and compared < 0.1
 
 
 def test_shards_agree_with_one_and_ties_go_to_lesser_ids(spark):
@@ -408,8 +471,28 @@ def test_shards_agree_with_one_and_ties_go_to_lesser_ids(spark):
     df = spark.createDataFrame([(k, v) for k, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
     asked = df.filter("vec_id % 50 = 0")
     whole, parts = (sorted(map(tuple, neighbours.nearest(df, asked, shard=s).collect())) for s in (65_536, 100))
-    assert [v for q, _, v, _ in whole if q == 0] == [100, 101, 102, 103, 104] and [v for q, _, v, _ in parts if q == 0] == [100, 101, 102, 103, 104]
-    assert len(set(whole) & set(parts)) >= 0.9 * len(whole)
+    assert [v for q, _, v, *_ in whole if q == 0] == [100, 101, 102, 103, 104] and [v for q, _, v, *_ in parts if q == 0] == [100, 101, 102, 103, 104]
+    assert len({r[:4] for r in whole} & {r[:4] for r in parts}) >= 0.9 * len(whole)
+
+
+def test_scores_and_ranks_of_neighbours_are_exact(spark):
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(400, 16)).astype(np.float32)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(vectors.tolist())], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for q, rank, v, score, many in sorted(map(tuple, neighbours.nearest(df, df.filter("vec_id % 50 = 0"), shard=150).collect())):
+        x, y = vectors[q].astype(float), vectors[v].astype(float)
+        assert rank == len(got[q]) + 1 and abs(score - x @ y / np.linalg.norm(x) / np.linalg.norm(y)) < 1e-12 and 5 <= many <= 399
+        got[q].append((-score, v))
+    assert len(got) == 8 and all(len(own) == 5 and own == sorted(own) for own in got.values())
+
+
+def test_repeated_vectors_and_queries_count_once(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [1.0, 0.2]), (18, [1.0, 0.1]), (18, [1.0, 0.1]), (18, [0.0, 1.0]), (15, [1.0, 0.3]), (9, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for size in (65_536, 2):
+        got = sorted(map(tuple, neighbours.nearest(df, df.filter("vec_id = 0"), shard=size).collect()))
+        assert [(q, r, v) for q, r, v, *_ in got] == [(0, 1, 18), (0, 2, 15), (0, 3, 9)]
 
 
 # op8

@@ -10,7 +10,7 @@ from sessionlake.llm import registry
 def test_query_equals_its_sql(spark, name):
     sf_dir = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for table in ("pages", "conversations"):
+    for table in ("pages", "conversations", "documents"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
     cursor = con.execute(registry.ORACLES[name])
     names = [d[0] for d in cursor.description]
