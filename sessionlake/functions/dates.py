@@ -33,3 +33,10 @@ def seconds_between(first: Column, last: Column) -> Column:
 def since(text: str) -> Column:
     """An RFC 3339 time, or a day's first moment."""
     return F.coalesce(F.try_to_timestamp(F.lit(text)), F.try_to_timestamp(F.lit(text), F.lit("yyyy-MM-dd")))
+
+
+def day_bounds(ts: Column, zone: str) -> Column:
+    """(start, end) of the day of a zone that a time lies in, as times: 23 or 25 hours long where clocks change."""
+    day = F.to_date(F.from_utc_timestamp(ts, zone))
+    start = lambda d: F.to_utc_timestamp(d.cast("timestamp_ntz").cast("timestamp"), zone)
+    return F.struct(start(day).alias("start"), start(F.date_add(day, 1)).alias("end"))

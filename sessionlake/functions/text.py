@@ -95,3 +95,18 @@ def whole_surrogates(text: Column) -> Column:
     """JSON text whose unpaired surrogate escapes are replaced."""
     lone = r"(?i)(?<!\\)((?:\\\\)*)(?:\\u(d[89ab][0-9a-f]{2})(?!\\ud[c-f][0-9a-f]{2})|(?<!\\ud[89ab][0-9a-f]{2})\\u(d[c-f][0-9a-f]{2}))"
     return F.regexp_replace(text, lone, r"$1\\ufffd")
+
+
+def clean_path(path: Column) -> Column:
+    """A path without . and .. and doubled or trailing slashes; nothing above a root or a first folder."""
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda held, p: F.when(p == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.concat(held, F.array(p))))
+    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(kept, "/"))
+
+
+def is_uuid(value: Column) -> Column:
+    return value.rlike(r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
+
+
+def is_hex(value: Column, least: int = 1) -> Column:
+    return value.rlike(rf"^[0-9a-fA-F]{{{least},}}$")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sessionlake.functions import text
 
@@ -57,9 +58,10 @@ def templates(items: DataFrame) -> DataFrame:
     return long.groupBy("text_hash").agg(F.count_distinct("session_id").alias("s"), F.count_distinct("workspace").alias("w")).filter((F.col("s") > TEMPLATE_SPREAD) & (F.col("w") > TEMPLATE_SPREAD)).select("text_hash")
 
 
-def message_provenance(items: DataFrame, relations: DataFrame, classes: DataFrame) -> DataFrame:
-    """Items of the conversation with their authors. relations: session_id, relationship. classes: session_id, session_class."""
-    marked = items.filter("tier = 'conversation'").join(templates(items).withColumn("_t", F.lit(True)), "text_hash", "left").join(relations.select("session_id", "relationship"), "session_id", "left").join(classes.select("session_id", "session_class"), "session_id", "left")
+def message_provenance(items: DataFrame, relations: DataFrame, classes: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """Items of the conversation with their authors. relations: session_id, relationship. classes: session_id, session_class. repeated: templates() of all items, if items are not all."""
+    known = templates(items) if repeated is None else repeated
+    marked = items.filter("tier = 'conversation'").join(known.withColumn("_t", F.lit(True)), "text_hash", "left").join(relations.select("session_id", "relationship"), "session_id", "left").join(classes.select("session_id", "session_class"), "session_id", "left")
     rule = provenance(F.col("text"), F.col("kind"), F.coalesce("_t", F.lit(False)), F.coalesce("relationship", F.lit("none")), F.coalesce("session_class", F.lit("unknown")))
     return marked.withColumn("_p", rule).select("item_id", "session_id", "source_kind", "occurred_at", "_p.*")
 
@@ -157,46 +159,71 @@ def human_text(content: Column, rule: Column) -> Column:
 
 
 SEGMENTS = "event_id string, kind string, text string, policy string, skipped string"
-_TOOLISH = ("tool", "function_call", "thinking", "reasoning", "compact", "bash", "stdout")
+# What the type, or without one the name, of a part holds that nobody said; the one that must be all of it; and keys of such parts.
+TOOLISH_KINDS = ["tool", "function_call", "thinking", "reasoning", "compact"]
+TOOLISH_NAMES = ["bash"]
+TOOLISH_KEYS = ["tool_use_id", "toolUseResult", "stdout", "stderr"]
 
 
-def _said(node: object) -> list[str]:
-    """The texts of content, objects of tools and thinking left out."""
+def toolish(node: object) -> bool:
+    """Whether an object is a tool's call or output, thinking, or a summary."""
+    if not isinstance(node, dict):
+        return False
+    kind = node["type"] if "type" in node else node.get("name")
+    kind = kind.lower() if isinstance(kind, str) else ""
+    return kind in TOOLISH_NAMES or any(part in kind for part in TOOLISH_KINDS) or any(key in node for key in TOOLISH_KEYS)
+
+
+def said(node: object) -> list[str]:
+    """The texts that nested content holds, in order, each in one line; what toolish objects hold is left out."""
     if isinstance(node, str):
-        return [node]
+        return [" ".join(node.split())] if node.strip() else []
     if isinstance(node, list):
-        return [t for x in node for t in _said(x)]
-    if isinstance(node, dict):
-        name = f"{node.get('type') or ''} {node.get('name') or ''}".lower()
-        if any(word in name for word in _TOOLISH):
-            return []
-        return [t for key in ("text", "content", "message", "payload", "parts") if key in node for t in _said(node[key])]
+        return [t for part in node for t in said(part)]
+    if isinstance(node, dict) and not toolish(node):
+        own = node.get("text")
+        return [*(said(own) if isinstance(own, str) else ()), *said(node.get("content"))]
     return []
 
 
+def _told(root: dict, *path: str) -> str | None:
+    node: object = root
+    for key in path:
+        node = node.get(key) if isinstance(node, dict) else None
+    return node if isinstance(node, str) else None
+
+
 def segment(line: str) -> tuple[str | None, str | None, str, str | None]:
-    """(kind, text, policy, why it is skipped) of one event's JSON."""
+    """(kind, text, policy, why it is skipped) of one event's JSON.
+
+    An event with messages is a conversation of what its users and assistants
+    say. Else its role, or its type if that is user or assistant, decides:
+    what those two say is searched for, all others are skipped.
+    """
     try:
         root = json.loads(line)
     except ValueError:
         return None, None, "never", "no JSON"
     if not isinstance(root, dict):
-        return None, None, "never", "no object"
-    inner = next((root[k] for k in ("message", "payload") if isinstance(root.get(k), dict)), {})
-    role = root.get("role") or inner.get("role") or root.get("type")
+        return None, None, "never", "non-message event"
+    role = _told(root, "role") or _told(root, "message", "role") or _told(root, "payload", "role")
+    event_type = _told(root, "type") or _told(root, "payload", "type") or role or "event"
+    role = role.lower() if role else event_type if event_type in ("user", "assistant") else None
     if isinstance(root.get("messages"), list):
-        texts = [t for m in root["messages"] if isinstance(m, dict) and m.get("role") in ("user", "assistant") for t in _said(m.get("content"))]
-        kind = "conversation"
+        texts = [t for m in root["messages"] if isinstance(m, dict) and (_told(m, "role") or "").lower() in ("user", "assistant") for t in said(m)]
+        kind, empty = "conversation", "no conversation text in messages"
     elif role in ("user", "assistant"):
-        texts, kind = _said({k: v for k, v in root.items() if k in ("content", "text", "message", "payload", "parts")}), role
+        texts = [t for part in (root.get("message"), root.get("payload"), root) for t in said(part)]
+        kind, empty = role, "no conversation text"
     else:
-        return None, None, "never", f"role {role}"
-    text_ = "\n".join(t for t in texts if t.strip())
-    return (kind, text_, "required", None) if text_ else (None, None, "never", "no text")
+        lower = event_type.lower()
+        tool = role == "tool" or (role not in ("system", "developer") and (any(w in lower for w in ("tool", "function_call", "exec")) or toolish(root)))
+        return None, None, "never", "tool event" if tool else "instruction event" if role in ("system", "developer") else "non-message event"
+    return (kind, "\n".join(texts), "required", None) if texts else (None, None, "never", empty)
 
 
 def segments(events: DataFrame) -> DataFrame:
-    """SEGMENTS of events (event_id, line): what of each is searched for, or why nothing is."""
+    """SEGMENTS of events (event_id, line): what of each is searched for, or why nothing is. A null line is no JSON."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -206,6 +233,25 @@ def segments(events: DataFrame) -> DataFrame:
     return events.select("event_id", "line").mapInPandas(work, SEGMENTS)
 
 
+def stored_content(line: str) -> str:
+    """What an event keeps as its content: what was said, unless tools were at work in it; else its JSON without spaces; of no JSON a note."""
+    from sessionlake.operators import tools
+
+    _, text_, _, skipped = segment(line)
+    if text_ is not None and not tools.signals(line):
+        return text_
+    try:
+        return json.dumps(json.loads(line), ensure_ascii=False, separators=(",", ":"))
+    except ValueError:
+        return f"[event omitted from projection: {skipped}; raw payload unavailable]"
+
+
+@F.pandas_udf(StringType())
+def contents(lines: pd.Series) -> pd.Series:
+    """stored_content() of lines; null for null."""
+    return lines.map(lambda line: None if line is None else stored_content(line))
+
+
 def walk(events: DataFrame, key: str) -> DataFrame:
     """(event_id, value): the strings under a key at any depth of events (event_id, line)."""
 
@@ -233,9 +279,44 @@ def walk(events: DataFrame, key: str) -> DataFrame:
 
 
 def usage_backfill(items: DataFrame, usage: DataFrame) -> DataFrame:
-    """Items whose metadata takes over usage (JSON) by message and part; usage that is there stays."""
+    """Items whose metadata (JSON) takes over usage (JSON) by message and part, as a merge patch; items without usage stay as they are."""
     from sessionlake.operators import maintenance
 
     new = usage.select("message_id", "part_id", F.col("usage").alias("_u"))
     joined = items.join(new, ["message_id", "part_id"], "left")
-    return joined.withColumn("metadata_json", F.when(F.col("_u").isNull(), F.col("metadata_json")).otherwise(maintenance.merged_json(F.col("_u"), F.col("metadata_json")))).select(*items.columns)
+    return joined.withColumn("metadata_json", F.when(F.col("_u").isNull(), F.col("metadata_json")).otherwise(maintenance.merged_json("metadata_json", "_u"))).select(*items.columns)
+
+
+def long_user_hashes(items: DataFrame, scope: DataFrame, key: str = "session_id") -> DataFrame:
+    """(text_hash) of the user texts in scope (a column `key`) that are long enough for a template."""
+    long = items.filter((F.col("tier") == "conversation") & (F.col("kind") == "user") & (F.char_length("text") > TEMPLATE_CHARS))
+    return long.join(scope.select(key).distinct(), key, "left_semi").select("text_hash").distinct()
+
+
+def scoped_templates(items: DataFrame, scope: DataFrame, prior: DataFrame) -> DataFrame:
+    """templates() among the hashes that a change can have made or unmade: those of the sessions in scope now, and those that touched events had before (prior: text_hash). The spread is that of all items."""
+    candidates = long_user_hashes(items, scope).union(prior.select("text_hash")).distinct()
+    return templates(items.filter("tier = 'conversation'").join(candidates, "text_hash", "left_semi"))
+
+
+def rebuilt_provenance(items: DataFrame, relations: DataFrame, classes: DataFrame, held: DataFrame, touched: DataFrame, prior: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(message provenance after a change, session_id of the sessions that were derived anew).
+
+    items are those after the change; held is the table before it. touched
+    sessions are widened by lineage, either way, and by the sessions with a text
+    that became a template or is none any more (known: text_hash of the
+    templates before; prior: of the long texts that touched events had). All
+    others keep their rows.
+    """
+    from sessionlake.operators import lineage
+    from sessionlake.streaming import incremental
+
+    edges = relations.filter("parent_session_id is not null").select(F.col("session_id").alias("a"), F.col("parent_session_id").alias("b"))
+    now = scoped_templates(items, touched, prior)
+    candidates = long_user_hashes(items, touched).union(prior.select("text_hash")).distinct()
+    before = known.select("text_hash").distinct().join(candidates, "text_hash", "left_semi")
+    turned = now.join(before, "text_hash", "left_anti").union(before.join(now, "text_hash", "left_anti"))
+    bearers = items.filter("kind = 'user'").join(turned, "text_hash", "left_semi").select("session_id")
+    scope = lineage.affected(touched, edges).union(bearers).distinct()
+    every = known.select("text_hash").distinct().join(candidates, "text_hash", "left_anti").union(now)
+    return incremental.scoped(lambda own: message_provenance(own, relations, classes, every), items, held, scope), scope

@@ -111,3 +111,18 @@ def prunable(sessions: DataFrame, session_ids: list[str] | None = None, source_k
     if before is not None:
         wanted &= F.col("latest") < F.lit(before).cast("timestamp")
     return sessions.filter(wanted)
+
+
+def glob(column: Column, pattern: str) -> Column:
+    """A whole match, case told apart: * is any run, ? any character, [..] one of a set, [^..] none of it."""
+    out, k = "", 0
+    while k < len(pattern):
+        c, k = pattern[k], k + 1
+        end = pattern.find("]", k + 1 + (pattern[k : k + 1] == "^")) if c == "[" else -1
+        if end > 0:
+            body = pattern[k:end]
+            out += "[" + ("^" if body.startswith("^") else "") + re.sub(r"([\\\[\]&~])", r"\\\1", body.lstrip("^")) + "]"
+            k = end + 1
+        else:
+            out += ".*" if c == "*" else "." if c == "?" else re.sub(r"([\\.^$|()\[\]{}*+?])", r"\\\1", c)
+    return column.rlike(f"(?s)^{out}$")

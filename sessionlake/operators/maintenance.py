@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sessionlake.functions import ids
 
@@ -41,12 +46,48 @@ def upsert_sessions(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.select("session_id", F.coalesce(F.when(F.trim("new.title") != "", F.col("new.title")), "title", "new.title").alias("title"), F.greatest("updated_at", "new.updated_at").alias("updated_at"), F.when(news, F.col("new.metadata_json")).otherwise(F.coalesce("metadata_json", "new.metadata_json")).alias("metadata_json"))
 
 
-def merged_json(document: Column, patch: Column) -> Column:
-    """Top-level keys of a patch over those of a document; null values take a key away."""
-    kind = "map<string,string>"
-    raw = lambda c: F.coalesce(F.from_json(c, kind), F.create_map().cast(kind))
-    old, new = raw(document), raw(patch)
-    return F.to_json(F.map_filter(F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new), lambda _, v: v.isNotNull()))
+def _patched(document: object, patch: object) -> object:
+    if not isinstance(patch, dict):
+        return patch
+    out = dict(document) if isinstance(document, dict) else {}
+    for key, value in patch.items():
+        if value is None:
+            out.pop(key, None)
+        else:
+            out[key] = _patched(out.get(key), value)
+    return out
+
+
+@F.pandas_udf(StringType())
+def merged_json(document: pd.Series, patch: pd.Series) -> pd.Series:
+    """A JSON merge patch (RFC 7396) on a document: objects merge at any depth, a null takes a key away, anything else replaces.
+
+    Numbers, lists and booleans stay what they are. A null document is an empty
+    object; a null patch, or a side that is no JSON, leaves the document alone.
+    """
+
+    def one(old: str | None, new: str | None) -> str | None:
+        if new is None:
+            return old
+        try:
+            return json.dumps(_patched(json.loads(old) if old is not None else {}, json.loads(new)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return old
+
+    return pd.Series([one(o, n) for o, n in zip(document, patch)], dtype=object)
+
+
+def refreshed(events: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events with patched metadata, event_id of those that changed).
+
+    patches: event_id, hash, metadata_json, one of each event; a patch counts
+    only for an event of the same hash, and only if it changes something.
+    """
+    wanted = patches.select("event_id", F.col("hash").alias("_h"), F.col("metadata_json").alias("_p"))
+    joined = events.join(wanted, "event_id", "left").withColumn("_new", F.when(F.col("_h") == F.col("hash"), merged_json("metadata_json", "_p")))
+    changed = F.coalesce(F.col("_new") != F.col("metadata_json"), F.col("_new").isNotNull() & F.col("metadata_json").isNull())
+    marked = joined.withColumn("_c", changed)
+    return marked.withColumn("metadata_json", F.when(F.col("_c"), F.col("_new")).otherwise(F.col("metadata_json"))).select(*events.columns), marked.filter("_c").select("event_id")
 
 
 def activity(events: DataFrame, before: DataFrame | None = None) -> DataFrame:
@@ -98,10 +139,11 @@ def missing_blobs(referenced: DataFrame, stored: DataFrame) -> DataFrame:
     return referenced.select("hash").distinct().join(stored.select("hash"), "hash", "left_anti")
 
 
-def prune_plan(chosen: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, rows): what a removal of sessions takes with it, by table."""
+def prune_plan(chosen: DataFrame, tables: dict[str, DataFrame], content: dict[str, str] | None = None) -> DataFrame:
+    """(table, rows, bytes): what a removal of sessions takes with it, by table; bytes are those of the table's column of content, if it is told."""
     wanted = chosen.select("session_id").distinct()
-    parts = [rows.join(wanted, "session_id", "left_semi").agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows") for name, rows in tables.items()]
+    size = lambda name: F.coalesce(F.sum(F.octet_length(content[name])), F.lit(0)) if content and name in content else F.lit(0)
+    parts = [rows.join(wanted, "session_id", "left_semi").agg(F.count("*").alias("rows"), size(name).cast("long").alias("bytes")).select(F.lit(name).alias("table"), "rows", "bytes") for name, rows in tables.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -151,11 +193,22 @@ def event_bytes(events: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 
 def short_refs(rows: DataFrame, key: str = "id", least: int = 4, most: int = 16) -> DataFrame:
-    """(key, ref): the shortest beginning of the key's hash, of least to most digits, that no other key has."""
-    hashed = rows.select(key).distinct().withColumn("_h", F.sha2(F.col(key).cast("string"), 256))
-    spread = hashed.select(key, F.explode(F.transform(F.sequence(F.lit(least), F.lit(most)), lambda n: F.substring("_h", F.lit(1), n))).alias("ref"))
-    alone = spread.withColumn("_n", F.count("*").over(Window.partitionBy("ref"))).filter("_n = 1")
-    return alone.groupBy(key).agg(F.min_by("ref", F.char_length("ref")).alias("ref"))
+    """(key, ref): the shortest beginning of the key's hash, of least to most digits, that no other key has; none if all are shared.
+
+    Sorted hashes share the longest beginning with a neighbour, and those that
+    differ within the first `least` digits never matter to each other: one
+    shuffle of one row per key.
+    """
+    hashed = rows.select(key).distinct().withColumn("_h", F.sha2(F.col(key).cast("string"), 256)).withColumn("_head", F.substring("_h", 1, least))
+    order = Window.partitionBy("_head").orderBy("_h")
+
+    def shared(other: Column) -> Column:
+        digits = F.sequence(F.lit(least), F.lit(most))
+        return F.coalesce(F.array_max(F.filter(digits, lambda n: F.substring("_h", F.lit(1), n) == F.substring(other, F.lit(1), n))), F.lit(0))
+
+    both = hashed.withColumn("_before", F.lag("_h").over(order)).withColumn("_after", F.lead("_h").over(order))
+    size = F.greatest(shared(F.col("_before")), shared(F.col("_after")), F.lit(least - 1)) + 1
+    return both.withColumn("_n", size).filter(F.col("_n") <= most).select(key, F.expr("substring(_h, 1, _n)").alias("ref"))
 
 
 def reassign_machine(rows: DataFrame, sources: DataFrame, machine_id: str) -> DataFrame:
@@ -221,3 +274,94 @@ def in_roots(rows: DataFrame, roots: DataFrame, path: str = "cwd") -> DataFrame:
 def archive_cleanup(events: DataFrame, raw_tables: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Events without references to raw artifacts, and the raw tables empty."""
     return events.withColumn("raw_artifact_hash", F.lit(None).cast("string")), {name: rows.limit(0) for name, rows in raw_tables.items()}
+
+
+def blob_path(hash_: Column) -> Column:
+    """Where a blob of a hash lies in a store: two levels of folders by its first digits."""
+    digits = F.regexp_replace(hash_, "^[^:]*:", "")
+    return F.concat_ws("/", F.substring(digits, 1, 2), F.substring(digits, 3, 2), digits)
+
+
+def store_blobs(blobs: DataFrame, store: str) -> DataFrame:
+    """(hash, size) of the blobs (hash, content) that were written: a content-addressed store keeps each hash once, whatever is written again.
+
+    The store is a table by the first two digits of the hash, so a look-up reads
+    one folder. A content that does not have its hash stops the job. Rows that
+    are there already are found by an anti-join over the folders that the new
+    blobs belong to, by name alone.
+    """
+    spark = blobs.sparkSession
+    sound = F.when(ids.content_hash(F.col("content")) == F.col("hash"), F.col("content")).otherwise(F.raise_error(F.concat(F.lit("a blob that is not "), F.coalesce("hash", F.lit("null")))))
+    own = blobs.select("hash", sound.alias("content")).dropDuplicates(["hash"]).withColumn("shard", F.substring(F.regexp_replace("hash", "^[^:]*:", ""), 1, 2))
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        own = own.join(spark.read.schema("hash string, content binary, shard string").parquet(store).select("shard", "hash"), ["shard", "hash"], "left_anti")
+    from sessionlake import cluster
+
+    fresh = cluster.materialize(own.select("hash", "content", "shard"), "blobs")
+    fresh.repartition("shard").write.mode("append").partitionBy("shard").parquet(store)
+    return fresh.select("hash", F.octet_length("content").cast("long").alias("size"))
+
+
+def work_queue(items: DataFrame, embeddings: DataFrame, model_id: str, size: int, after: dict | None = None) -> DataFrame:
+    """The next `size` conversation items that need a vector, in keyset order; after: the last row of the page before, as a dictionary.
+
+    For jobs that go on where they stopped; a bulk job takes all of
+    search.missing_embeddings() at once.
+    """
+    from sessionlake.operators import search
+
+    order = ["occurred_at_key", "session_id", "ordinal", "subordinal", "item_id"]
+    wanted = items.filter("tier = 'conversation' and semantic_policy = 'required'")
+    rows = search.missing_embeddings(wanted, embeddings, model_id).withColumn("occurred_at_key", F.coalesce(F.col("occurred_at").cast("string"), F.lit("")))
+    if after is not None:
+        rows = rows.filter(F.struct(*order) > F.struct(*[F.lit(after[c]).cast(rows.schema[c].dataType) for c in order]))
+    return rows.orderBy(*order).limit(size)
+
+
+def enrichment_run(runs: DataFrame, kind: str, version: str, about: dict, created_at: str) -> DataFrame:
+    """The run to append to runs (kind, version, provider, model, destination, data_scope, max_excerpt_chars, schema_description, created_at): one row, or none if it is there.
+
+    A version belongs to one provider, model, destination, scope, excerpt and
+    schema for good; other ones raise an error. Kind and version are not blank.
+    """
+    if not kind.strip() or not version.strip():
+        raise ValueError("kind and version of an enrichment are not blank")
+    names = ["provider", "model", "destination", "data_scope", "max_excerpt_chars", "schema_description"]
+    stored = runs.filter((F.col("kind") == kind) & (F.col("version") == version)).first()
+    if stored is not None and any(stored[n] != about[n] for n in names):
+        raise ValueError(f"version {version} belongs to other metadata; choose a new one")
+    row = runs.sparkSession.createDataFrame([(kind, version, *[about[n] for n in names], created_at)], "kind string, version string, provider string, model string, destination string, data_scope string, max_excerpt_chars long, schema_description string, created_at string")
+    return row if stored is None else row.limit(0)
+
+
+def compacted(spark: SparkSession, path: str, to: str, bytes_per_file: int = 512 << 20, order: list[str] | None = None) -> int:
+    """A table's files rewritten to another folder in files of about so many bytes, optionally sorted within each; the number of files. The old folder stays."""
+    table = spark.read.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    files = max(1, -(-size // bytes_per_file))
+    dealt = table.repartitionByRange(files, *order).sortWithinPartitions(*order) if order else table.repartition(files)
+    dealt.write.parquet(to)
+    return files
+
+
+def size_preview(tables: dict[str, DataFrame], content: dict[str, str]) -> DataFrame:
+    """(table, rows, bytes): how much each table's column of content holds."""
+    out = None
+    for name, rows in tables.items():
+        one = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(content[name])), F.lit(0)).cast("long").alias("bytes")).select(F.lit(name).alias("table"), "rows", "bytes")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: The order in which an import is finished; a step reads what those before it wrote.
+FINAL_STEPS = ["skills", "commits", "items", "vectors", "machines"]
+
+
+def finalise(steps: dict[str, Callable[[], object]]) -> dict[str, object]:
+    """Runs the given steps of FINAL_STEPS in their order, whatever the dictionary's; a name that is not among them is an error, and a step that fails ends the rest."""
+    unknown = set(steps) - set(FINAL_STEPS)
+    if unknown:
+        raise ValueError(f"unknown steps {sorted(unknown)}")
+    return {name: steps[name]() for name in FINAL_STEPS if name in steps}
