@@ -207,13 +207,17 @@ def fetch_size(limit: int) -> int:
     return max(limit * FETCH_TIMES, FETCH_LEAST)
 
 
-def hybrid(index: DataFrame, vectors: DataFrame | None, query: str, vector: list[float] | None, limit: int = 25, sort: str = "relevance", recency_bias: float = 0.0, as_of: str | None = None, stemmed: bool = True) -> tuple[DataFrame, str | None]:
+def hybrid(items: DataFrame, vectors: DataFrame | None, query: str, vector: list[float] | None, limit: int = 25, sort: str = "relevance", recency_bias: float = 0.0, as_of: str | None = None, stemmed: bool = True, index=None) -> tuple[DataFrame, str | None]:
     """(results, why vectors were left out or None): both searches, fused, biased, sorted, collapsed, cut, in this order.
 
-    index: item_id, text, toks, len, kind, occurred_at. vectors: item_id, embedding.
+    items: item_id, text, kind, occurred_at. vectors: item_id, embedding. index:
+    a postings.Index of the items; without one, which is for small tables, the
+    items are indexed() and scanned. Only fetch_size() hits of each search, whose
+    number does not grow with the items, meet their texts.
     """
     size = fetch_size(limit)
-    hits = lexical(index, query, limit=size, stemmed=stemmed).select(F.col("item_id").alias("key"), "rank", "kind", snippet(F.col("text"), query).alias("content"), "occurred_at")
+    ranked = index.lexical(query, limit=size) if index is not None else lexical(indexed(items, stemmed), query, limit=size, stemmed=stemmed)
+    hits = items.join(F.broadcast(ranked.select("item_id", "rank")), "item_id").select(F.col("item_id").alias("key"), "rank", "kind", snippet(F.col("text"), query).alias("content"), "occurred_at")
     reason = None
     if vectors is None or vector is None:
         reason = "no embedder"
@@ -223,7 +227,7 @@ def hybrid(index: DataFrame, vectors: DataFrame | None, query: str, vector: list
         near = hits.limit(0)
     else:
         rows = nearest(vectors, vector, min(size, SEMANTIC_MOST), vec_id="item_id").select("item_id", "distance")
-        near = index.join(F.broadcast(rows), "item_id").filter(semantic_text(F.col("text")) & passes_concepts(F.col("text"), query)).withColumn("rank", F.row_number().over(Window.orderBy("distance", "item_id"))).select(F.col("item_id").alias("key"), "rank", "kind", text.preview(F.col("text"), SEMANTIC_PREVIEW).alias("content"), "occurred_at")
+        near = items.join(F.broadcast(rows), "item_id").filter(semantic_text(F.col("text")) & passes_concepts(F.col("text"), query)).withColumn("rank", F.row_number().over(Window.orderBy("distance", "item_id"))).select(F.col("item_id").alias("key"), "rank", "kind", text.preview(F.col("text"), SEMANTIC_PREVIEW).alias("content"), "occurred_at")
     fused = fuse(hits, near)
     if as_of and recency_bias:
         fused = fused.withColumn("score", recency(F.col("score"), F.col("occurred_at"), as_of, recency_bias))
@@ -264,12 +268,75 @@ def missing_embeddings(items: DataFrame, embeddings: DataFrame, model_id: str) -
     return items.filter((F.char_length(F.trim("text")) >= 80) & (F.col("semantic_policy") != "never")).join(have, ["item_id", "text_hash"], "left_anti")
 
 
-def embed(items: DataFrame, embedder, model_id: str, dims: int, most_chars: int = 8192) -> DataFrame:
-    """Vectors of items by a function from a list of texts to a list of vectors, called for each batch on the executors."""
+class Batch:
+    """How many texts go to an embedder at once: halved while memory is low, doubled again after a run of calm batches, and none when it is critical at the least size.
+
+    Free memory is in MiB; None is unknown and calm.
+    """
+
+    # Batch sizes, free memory, and calm batches before a step up.
+    LEAST, MOST, CRITICAL, LOW, CALM = 1, 64, 768, 1536, 6
+
+    def __init__(self) -> None:
+        self.size, self.calm, self.reductions = self.MOST, 0, 0
+
+    def next(self, free: int | None) -> int:
+        """The size of the next batch; 0 defers the work."""
+        if free is not None and free < self.CRITICAL and self.size == self.LEAST:
+            return 0
+        if free is not None and free < self.LOW:
+            if self.size > self.LEAST:
+                self.size, self.reductions = max(self.LEAST, self.size // 2), self.reductions + 1
+            self.calm = 0
+        else:
+            self.calm += 1
+            if self.calm >= self.CALM and self.size < self.MOST:
+                self.size, self.calm = min(self.MOST, self.size * 2), 0
+        return self.size
+
+
+def free_memory() -> int | None:
+    """Free memory of this machine in MiB, or None where it is not told."""
+    try:
+        with open("/proc/meminfo") as lines:
+            return next((int(line.split()[1]) // 1024 for line in lines if line.startswith("MemAvailable")), None)
+    except OSError:
+        return None
+
+
+EMBEDDED = "unit_id string, text_hash string, model_id string, dims int, vector array<float>"
+
+
+def embed(items: DataFrame, embedder, model_id: str, dims: int, most_chars: int = 8192, memory=free_memory) -> DataFrame:
+    """EMBEDDED of items by a function from a list of texts to a list of vectors, called on the executors in batches that follow their free memory.
+
+    Texts that memory leaves no room for are left out; missing_embeddings() has
+    them again the next time. A vector of other dimensions stops the task.
+    """
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batch = Batch()
         for frame in frames:
-            frame["vector"] = list(embedder([t[:most_chars] for t in frame.pop("text")]))
-            yield frame.assign(model_id=model_id, dims=dims)[["unit_id", "text_hash", "model_id", "dims", "vector"]]
+            at = 0
+            while at < len(frame) and (size := batch.next(memory())):
+                part = frame.iloc[at : at + size]
+                vectors = [list(map(float, v)) for v in embedder([(t or "")[:most_chars] for t in part["text"]])]
+                if len(vectors) != len(part) or any(len(v) != dims for v in vectors):
+                    raise ValueError(f"an embedder of {dims} dimensions gave others")
+                yield pd.DataFrame({"unit_id": part["unit_id"].to_numpy(), "text_hash": part["text_hash"].to_numpy(), "model_id": model_id, "dims": dims, "vector": vectors})
+                at += size
+
+    return items.select(F.col("item_id").alias("unit_id"), "text_hash", "text").mapInPandas(work, EMBEDDED)
+
+
+def projected_vectors(embeddings: DataFrame, items: DataFrame, model_id: str, dims: int) -> DataFrame:
+    """(item_id, text_hash, embedding): what a vector search looks through, the vectors of the model and dimensions that belong to an item's present text and may be searched for."""
+    own = embeddings.filter((F.col("model_id") == model_id) & (F.col("dims") == dims) & (F.size("vector") == dims)).select(F.col("unit_id").alias("item_id"), "text_hash", F.col("vector").alias("embedding")).dropDuplicates(["item_id", "text_hash"])
+    return own.join(items.filter("semantic_policy <> 'never'").select("item_id", "text_hash"), ["item_id", "text_hash"], "left_semi")
+
 
-    return items.select(F.col("item_id").alias("unit_id"), "text_hash", "text").mapInPandas(work, "unit_id string, text_hash string, model_id string, dims int, vector array<float>")
+def refreshed_vectors(held: DataFrame, embeddings: DataFrame, items: DataFrame, model_id: str, dims: int) -> tuple[DataFrame, DataFrame]:
+    """(vectors to add, item_id of vectors to take away) that bring a projection up to its items: texts that changed or went, and vectors that came."""
+    key = ["item_id", "text_hash"]
+    wanted = items.filter("semantic_policy <> 'never'").select(*key)
+    return projected_vectors(embeddings, items, model_id, dims).join(held.select(*key), key, "left_anti"), held.select(*key).join(wanted, key, "left_anti").select("item_id")
