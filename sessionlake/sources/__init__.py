@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Readers of logs, databases, services and archives."""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from sessionlake.sources import transcripts
+
 
 class SqliteSource(DataSource):
     """spark.read.format("sqlite"): options path, query and schema; with column, lower, upper and partitions it is read in ranges of that whole-number column.
@@ -76,6 +77,31 @@ def opencode_events(spark: SparkSession, path: str) -> DataFrame:
     return said.select("external_id", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), "message_id", F.get_json_object("message", "$.role").alias("role"), F.get_json_object("part", "$.text").alias("content"), F.timestamp_millis(F.coalesce("part_ms", "message_ms")).alias("occurred_at"))
 
 
+OPENCODE_SESSIONS = "external_id string, project_id string, parent_id string, slug string, directory string, title string, version string, created_ms long, updated_ms long, archived_ms long"
+
+
+def opencode_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """(session_id, external_id, title, status, started_at, updated_at, workspace, metadata) of the database's sessions; an archived one says so, a blank title is none."""
+    from sessionlake.functions import ids
+    from sessionlake.functions import text as texts
+
+    rows = read_sqlite(spark, path, "SELECT id, project_id, parent_id, slug, directory, title, version, time_created, time_updated, time_archived FROM session", OPENCODE_SESSIONS)
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    workspace = F.when(F.col("directory").rlike(r"^\s*/"), texts.clean_path(F.trim("directory")))
+    meta = F.to_json(F.struct(F.lit(path).alias("path"), workspace.alias("workspace_path"), F.col("project_id").alias("opencode_project_id"), blank(F.col("parent_id")).alias("opencode_parent_id"), F.col("slug").alias("opencode_slug"), F.col("version").alias("opencode_version")))
+    return rows.select(ids.stable_id(F.lit("session"), F.lit("opencode"), F.lit(path), F.col("external_id")).alias("session_id"), "external_id", blank(F.col("title")).alias("title"), F.when(F.col("archived_ms").isNotNull(), "archived").otherwise("open").alias("status"), F.timestamp_millis("created_ms").alias("started_at"), F.timestamp_millis("updated_ms").alias("updated_at"), workspace.alias("workspace"), meta.alias("metadata"))
+
+
+@transcripts.register("opencode")
+def opencode_reader(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Events of opencode databases, each with its path."""
+    out = None
+    for path in paths:
+        own = opencode_events(spark, path).withColumn("path", F.lit(path))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def paged(fetch: Callable[[int], list[dict]], most_pages: int = 1000, most_threads: int | None = None) -> list[dict]:
     """Threads of a paged answer until an empty page or a limit, each id once. fetch gives the threads of a page."""
     seen: dict[str, dict] = {}
@@ -90,11 +116,24 @@ def paged(fetch: Callable[[int], list[dict]], most_pages: int = 1000, most_threa
     return list(seen.values())
 
 
-THREAD_EVENTS = "thread_id string, ordinal long, answer_id string, part int, role string, content string, indexable boolean, occurred_at timestamp"
+#: What of an answer is taken: its text; also the title and address of what it links to; also that page's text.
+SCOPES = {"text_only": 1, "url_metadata": 2, "full_text": 3}
+
+
+def content_parts(answer: dict, scope: str = "text_only") -> list[tuple[str, str]]:
+    """(origin, text) of an answer's parts within a scope; parts that are not there are left out."""
+    depth = SCOPES[scope]
+    link = answer.get("url") if isinstance(answer.get("url"), dict) else {}
+    said = answer.get("display_content") if answer.get("display_content") is not None else answer.get("content")
+    parts = [("text", said), ("url_metadata", "\n".join(x for x in (link.get("title"), link.get("address")) if x)), ("url_full_text", link.get("text"))]
+    return [(origin, content) for origin, content in parts[:depth] if isinstance(content, str) and content.strip()]
+
 
+THREAD_EVENTS = "thread_id string, ordinal long, answer_id string, origin string, part int, role string, content string, indexable boolean, occurred_at timestamp"
 
-def thread_events(spark: SparkSession, thread_ids: list[str], fetch: Callable[[str], dict], partitions: int = 8, chunk: int = 24_000) -> DataFrame:
-    """Events of threads, one fetched in each task after another: the parent first, answers once by id, texts in chunks; what the system says is not indexed."""
+
+def thread_events(spark: SparkSession, thread_ids: list[str], fetch: Callable[[str], dict], partitions: int = 8, chunk: int = 24_000, scope: str = "text_only") -> DataFrame:
+    """THREAD_EVENTS, one thread fetched in each task after another: the parent first, answers once by id, the parts that the scope takes, texts in chunks; what the system says is not indexed."""
     from sessionlake.functions import text
 
     def load(batches):
@@ -107,14 +146,19 @@ def thread_events(spark: SparkSession, thread_ids: list[str], fetch: Callable[[s
                 for answer in [thread, *thread.get("answers", ())]:
                     if answer["id"] not in seen:
                         seen.add(answer["id"])
-                        rows.append((thread_id, str(answer["id"]), len(rows), answer.get("role", "user"), json.dumps(answer.get("content", "")), answer.get("created_at")))
-                yield pd.DataFrame(rows, columns=["thread_id", "answer_id", "place", "role", "content", "created_at"])
+                        rows += [(thread_id, str(answer["id"]), len(seen), n, origin, answer.get("role", "user"), content, answer.get("created_at")) for n, (origin, content) in enumerate(content_parts(answer, scope))]
+                yield pd.DataFrame(rows, columns=["thread_id", "answer_id", "place", "piece", "origin", "role", "content", "created_at"])
 
     names = spark.createDataFrame([(i,) for i in thread_ids], "thread_id string").repartition(min(partitions, max(1, len(thread_ids))))
-    raw = names.mapInPandas(load, "thread_id string, answer_id string, place int, role string, content string, created_at string")
-    cleaned = raw.withColumn("content", text.html_text(F.get_json_object(F.concat(F.lit('{"c":'), "content", F.lit("}")), "$.c")))
-    spread = cleaned.select("thread_id", "answer_id", "place", "role", "created_at", F.posexplode(text.chunks(F.col("content"), chunk)).alias("part", "content"))
+    raw = names.mapInPandas(load, "thread_id string, answer_id string, place int, piece int, origin string, role string, content string, created_at string")
+    cleaned = raw.withColumn("content", text.html_text(F.col("content")))
+    spread = cleaned.select("thread_id", "answer_id", "place", "piece", "origin", "role", "created_at", F.posexplode(text.chunks(F.col("content"), chunk)).alias("part", "content"))
     from pyspark.sql import Window
 
-    order = Window.partitionBy("thread_id").orderBy("place", "part")
-    return spread.select("thread_id", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), "answer_id", "part", "role", "content", (F.col("role") != "system").alias("indexable"), F.try_to_timestamp("created_at").alias("occurred_at"))
+    order = Window.partitionBy("thread_id").orderBy("place", "piece", "part")
+    return spread.select("thread_id", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), "answer_id", "origin", "part", "role", "content", (F.col("role") != "system").alias("indexable"), F.try_to_timestamp("created_at").alias("occurred_at"))
+
+
+def thread_sessions(found: DataFrame) -> DataFrame:
+    """(thread_id, started_at, updated_at, event_count) of thread_events(): the first and last time of a thread."""
+    return found.groupBy("thread_id").agg(F.min("occurred_at").alias("started_at"), F.max("occurred_at").alias("updated_at"), F.count("*").alias("event_count"))

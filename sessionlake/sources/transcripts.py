@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.functions import ids, text
+from sessionlake.operators import derive
 
 # Kinds of local logs with their folders under a home.
 ROOTS = {
@@ -31,7 +32,6 @@ ROLE = ["$.role", "$.message.role", "$.payload.role"]
 TYPE = ["$.type", "$.payload.type"]
 TIME = ["$.timestamp", "$.created_at", "$.message.created_at"]
 SESSION = ["$.sessionId", "$.session_id", "$.payload.id"]
-CONTENT = ["$.content", "$.text", "$.message.content", "$.payload.content", "$.payload.text"]
 WORKSPACE = ["$.cwd", "$.current_working_directory", "$.workspace", "$.workspace_path", "$.project_path", "$.repo_path", "$.payload.cwd", "$.payload.current_working_directory", "$.payload.workspace", "$.payload.workspace_path", "$.payload.project_path", "$.payload.repo_path", "$.payload.git.root", "$.turn_context.payload.cwd", "$.git.root"]
 BRANCH = ["$.gitBranch", "$.git_branch", "$.branch", "$.payload.gitBranch", "$.payload.git_branch", "$.payload.branch", "$.payload.git.branch", "$.git.branch"]
 REPOSITORY = ["$.git_repo", "$.git_remote", "$.repository_url", "$.repo_url", "$.payload.git_repo", "$.payload.git_remote", "$.payload.repository_url", "$.payload.repo_url", "$.payload.git.remote", "$.payload.git.repository_url", "$.git.remote", "$.git.repository_url"]
@@ -117,11 +117,12 @@ def _first(line: Column, paths: list[str]) -> Column:
 
 
 def looks_like_path(value: Column) -> Column:
-    return F.when(value.rlike(r"^(/|~|[A-Za-z]:[\\/])"), value)
+    """A value that begins as an absolute path or one under a home, else null."""
+    return F.when(value.rlike(r"^\s*(/|~/)"), value)
 
 
 def events(found: DataFrame, source_kind: str, strict: bool = True) -> DataFrame:
-    """Events of lines: ids by content, role, type, time (RFC 3339 only), text of the content, workspace.
+    """Events of lines: ids by content, role, type, time (RFC 3339 only), content (derive.stored_content), workspace.
 
     strict: a line that is no JSON stops the job; else it is left out. The
     session is the one that any line of the file names first, else the file.
@@ -142,7 +143,7 @@ def events(found: DataFrame, source_kind: str, strict: bool = True) -> DataFrame
         F.coalesce(_first(F.col("line"), TYPE), role, F.lit("event")).alias("event_type"),
         F.coalesce(*[F.try_to_timestamp(F.when(F.get_json_object("line", p).rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d"), F.get_json_object("line", p))) for p in TIME]).alias("occurred_at"),
         _first(F.col("line"), SESSION).alias("named"),
-        content_text(F.col("line")).alias("content"),
+        derive.contents("line").alias("content"),
         F.coalesce(*[looks_like_path(F.get_json_object("line", p)) for p in WORKSPACE]).alias("workspace"),
         _first(F.col("line"), BRANCH).alias("git_branch"),
         _first(F.col("line"), REPOSITORY).alias("git_repository"),
@@ -154,22 +155,57 @@ def events(found: DataFrame, source_kind: str, strict: bool = True) -> DataFrame
     return with_session.withColumn("source_kind", F.lit(source_kind)).withColumn("session_id", session).withColumn("event_id", ids.stable_id(F.lit("event"), F.lit(source_kind), F.col("session_id"), F.col("ordinal"), F.col("hash"))).drop("named")
 
 
-def content_text(line: Column) -> Column:
-    """The text of an event's content: a string, or the text parts of an array joined by new lines; null if there is none."""
-    raw = _first(line, CONTENT)
-    parts = F.from_json(raw, "array<struct<type:string,text:string>>")
-    said = F.array_join(F.transform(F.filter(parts, lambda p: p["text"].isNotNull() & F.coalesce(~p["type"].rlike("(?i)tool|function_call|thinking|reasoning|compact|bash|stdout"), F.lit(True))), lambda p: p["text"]), "\n")
-    return F.when(F.ltrim(raw).startswith("["), said).otherwise(raw)
-
-
 def sessions(found: DataFrame) -> DataFrame:
     """Sessions of events: started by the first time in line order, updated by the last, workspace by the first that looks like one."""
     timed = F.when(F.col("occurred_at").isNotNull(), F.col("ordinal"))
     return found.groupBy("session_id", "source_kind", "external_id", "path").agg(F.min_by("occurred_at", timed).alias("started_at"), F.max_by("occurred_at", timed).alias("updated_at"), F.min_by("workspace", F.when(F.col("workspace").isNotNull(), F.col("ordinal"))).alias("workspace"), F.max("ordinal").alias("max_ordinal"), F.count("*").alias("event_count"))
 
 
+def project_folder(path: Column) -> Column:
+    """The workspace that the name of a log's folder spells, slashes written as -: a guess, as names may hold - themselves; else null."""
+    name = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    return F.when(name.rlike("^-."), F.concat(F.lit("/"), F.replace(F.substring(name, 2, 100_000), F.lit("-"), F.lit("/"))))
+
+
+def workspaces(found: DataFrame, home: str | None = None, git_roots: DataFrame | None = None) -> DataFrame:
+    """(session_id, workspace_path, workspace_root, cwd, git_repo, git_branch, confidence) of sessions that tell where they worked.
+
+    The first event that names a path decides, with its branch and repository;
+    ~/ is the given home. The root is the deepest of git_roots (root: folders
+    that hold a .git, as the caller's file system knows) at or above the path,
+    else the path. A claude_code log whose events name none takes the name of
+    its folder, which is inferred.
+    """
+    expand = lambda c: F.when(c.startswith("~/") & F.lit(home is not None), F.concat(F.lit((home or "").rstrip("/")), F.substring(c, 2, 100_000))).otherwise(c)
+    named = F.when(F.col("workspace").isNotNull(), F.col("ordinal"))
+    first = found.groupBy("session_id", "source_kind", "path").agg(F.min_by(F.struct("workspace", "git_branch", "git_repository"), named).alias("w"))
+    said = text.clean_path(expand(F.trim("w.workspace")))
+    guess = F.when(F.col("source_kind") == "claude_code", text.clean_path(project_folder(F.col("path"))))
+    told = first.select("session_id", F.coalesce(said, guess).alias("workspace_path"), said.alias("cwd"), F.when(said.isNotNull(), F.col("w.git_repository")).alias("git_repo"), F.when(said.isNotNull(), F.col("w.git_branch")).alias("git_branch"), F.when(said.isNotNull(), "observed").otherwise("inferred").alias("confidence")).filter("workspace_path is not null")
+    if git_roots is None:
+        return told.withColumn("workspace_root", F.col("workspace_path"))
+    depth = F.size(F.split("cwd", "/"))
+    above = told.filter("cwd is not null").select("session_id", F.explode(F.transform(F.sequence(F.lit(1), depth), lambda n: F.array_join(F.slice(F.split("cwd", "/"), F.lit(1), n), "/"))).alias("root")).withColumn("root", F.when(F.col("root") == "", "/").otherwise(F.col("root")))
+    deepest = above.join(git_roots.select("root").distinct(), "root").groupBy("session_id").agg(F.max_by("root", F.char_length("root")).alias("_root"))
+    return told.join(deepest, "session_id", "left").withColumn("workspace_root", F.coalesce("_root", "workspace_path")).drop("_root")
+
+
+def paired_cursor(listing: DataFrame, database: str) -> DataFrame:
+    """(path, cursor) of a database that is written through a log beside it: either file's size or time changes the cursor; a missing log is told as none."""
+    own = fingerprint(listing.filter(F.col("path").endswith(database) | F.col("path").endswith(f"{database}-wal")))
+    part = lambda wal: F.max(F.when(F.col("path").endswith("-wal") == F.lit(wal), F.col("cursor")))
+    both = own.groupBy(F.regexp_replace("path", "-wal$", "").alias("path")).agg(part(False).alias("_db"), part(True).alias("_wal"))
+    return both.filter("_db is not null").select("path", F.concat_ws("|", "_db", F.coalesce("_wal", F.lit("none"))).alias("cursor"))
+
+
+def update_path(spark: SparkSession, path: str, source_kind: str, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events to append, event_id of all events of the file) of one changed file: lines that are there already are found by their ids."""
+    found = events(lines(spark, [path], "*"), source_kind)
+    return found.join(held.select("event_id"), "event_id", "left_anti"), found.select("event_id")
+
+
 for _kind in ROOTS:
-    if _kind != "opencode":
+    if _kind != "opencode":  # its reader is in sources.databases
         register(_kind)(lines)
 
 
