@@ -33,5 +33,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-for _module in ("relational", "reporting", "searching", "deriving", "keeping"):
+for _module in ("relational", "reporting", "searching", "deriving", "keeping", "upkeep"):
     importlib.import_module(f"sessionlake.plans.{_module}")

@@ -71,16 +71,18 @@ def parent_resolution(spark, sf_dir):
     return lineage.parents(rows, rows)
 
 
+# all sessions begin alike; those of five neighbours go on alike for a while
 @query("fork_prefix_candidates", """
-WITH e AS (SELECT conv_id, n, CASE WHEN n <= 9 + conv_id % 4 THEN 'shared-' || (conv_id % 2) || '-' || n ELSE 'own-' || conv_id || '-' || n END AS hash FROM facts, range(1, 16) r(n) WHERE conv_id < 8),
-p AS (SELECT b.conv_id AS child, a.conv_id AS parent, 9 + least(a.conv_id % 4, b.conv_id % 4) AS common FROM facts a, facts b WHERE a.conv_id < b.conv_id AND b.conv_id < 8 AND a.conv_id % 2 = b.conv_id % 2),
+WITH p AS (SELECT b.conv_id AS child, a.conv_id AS parent, CASE WHEN a.conv_id // 5 = b.conv_id // 5 THEN 9 + least(a.conv_id % 5, b.conv_id % 5) ELSE 8 END AS common FROM facts a JOIN facts b ON a.conv_id < b.conv_id),
 r AS (SELECT *, rank() OVER (PARTITION BY child ORDER BY common DESC) AS r FROM p), s AS (SELECT *, count(*) OVER (PARTITION BY child) AS n FROM r WHERE r = 1)
 SELECT 's' || child AS session_id, 's' || parent AS parent_session_id, common FROM s WHERE n = 1
 """)
 def fork_prefix_candidates(spark, sf_dir):
     c, n = F.col("conv_id"), F.col("n")
-    facts = model.facts(spark, sf_dir).filter("conv_id < 8")
-    events = facts.select("session_id", "conv_id", F.explode(F.sequence(F.lit(1), F.lit(15))).alias("n")).select("session_id", n.alias("ordinal"), F.when(n <= 9 + c % 4, F.concat_ws("-", F.lit("shared"), c % 2, n)).otherwise(F.concat_ws("-", F.lit("own"), c, n)).alias("hash"))
+    facts = model.facts(spark, sf_dir)
+    group = F.floor(c / 5).cast("long")
+    name = F.when(n <= 8, F.concat_ws("-", F.lit("all"), n)).when(n <= 9 + c % 5, F.concat_ws("-", F.lit("group"), group, n)).otherwise(F.concat_ws("-", F.lit("own"), c, n))
+    events = facts.select("session_id", "conv_id", F.explode(F.sequence(F.lit(1), F.lit(15))).alias("n")).select("session_id", n.alias("ordinal"), name.alias("hash"))
     return lineage.forks(events, facts.select("session_id", F.lit("m").alias("machine_id"), F.col("session_id").alias("external_id"), F.col("first_event_at").alias("started_at")))
 
 
@@ -159,17 +161,27 @@ def blame_strength_rank(spark, sf_dir):
     return found.join(commits, "sha").filter("event_id = item_id").select(F.col("item_id").alias("line_item"), "strength")
 
 
-@query("blame_sessions")
+@query("blame_sessions", """
+WITH l AS (SELECT 's' || left(md5(conv_id::VARCHAR), 1) AS session_id, conv_id * 10 + turn AS line FROM conversations),
+r AS (SELECT session_id, line, line - row_number() OVER (PARTITION BY session_id ORDER BY line) AS run FROM (SELECT DISTINCT * FROM l)),
+i AS (SELECT session_id, min(line) AS first, max(line) AS last FROM r GROUP BY session_id, run)
+SELECT session_id, 'exact_sha' AS strength, (SELECT count(DISTINCT line) FROM l WHERE l.session_id = i.session_id) AS lines, string_agg(first || '-' || last, ',' ORDER BY first) AS ranges FROM i GROUP BY 1
+""")
 def blame_sessions(spark, sf_dir):
     lines = cluster.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 10 + F.col("turn")).alias("line"), F.md5(F.col("conv_id").cast("string")).alias("sha"))
     found = lines.select("sha").distinct().withColumn("session_id", F.concat(F.lit("s"), F.substring("sha", 1, 1))).withColumn("rank", F.lit(1))
-    return blame.by_session(blame.classify(lines, found))
+    return blame.by_session(blame.classify(lines, found)).select("session_id", "strength", "lines", F.array_join(F.transform("ranges", lambda r: F.concat_ws("-", r["first"], r["last"])), ",").alias("ranges"))
 
 
-@query("skill_usage_rollup")
+@query("skill_usage_rollup", """
+WITH o AS (SELECT 'k' || (conv_id % 5) AS k, * FROM items),
+e AS (SELECT k, item_id, row_number() OVER (PARTITION BY k ORDER BY occurred_at DESC, item_id DESC) AS n FROM o)
+SELECT 'local:skills/' || k || '/SKILL.md' AS locator, count(DISTINCT session_id) AS sessions, count(*) AS loads, min(occurred_at) AS first_at, max(occurred_at) AS last_at, count(DISTINCT text_hash) AS versions, count(*) AS complete, k AS names,
+  (SELECT string_agg(item_id, ',' ORDER BY n) FROM e WHERE e.k = o.k AND n <= 5) AS evidence FROM o GROUP BY k
+""")
 def skill_usage_rollup(spark, sf_dir):
     rows = model.items(spark, sf_dir).select("session_id", F.col("item_id").alias("event_id"), F.concat(F.lit("local:skills/k"), F.col("conv_id") % 5, F.lit("/SKILL.md")).alias("locator"), F.concat(F.lit("k"), F.col("conv_id") % 5).alias("skill_name"), F.col("occurred_at").alias("observed_at"), F.col("text_hash").alias("content_hash"), F.lit("complete").alias("coverage"))
-    return tools.skill_usage(rows)
+    return tools.skill_usage(rows).withColumn("names", F.array_join("names", ",")).withColumn("evidence", F.array_join("evidence", ","))
 
 
 @query("status_count_deltas", "SELECT source_kind, count(*) AS sessions FROM facts WHERE conv_id % 10 <> 0 GROUP BY 1")
@@ -187,7 +199,7 @@ def first_class_signal(spark, sf_dir):
     return sequences.first_signal(rows, "session_id", "ordinal", "kind", "signal", "system", "interactive")
 
 
-@query("search_segments", "SELECT item_id AS event_id, CASE WHEN kind IN ('user', 'assistant') THEN kind END AS kind, CASE WHEN kind IN ('user', 'assistant') THEN text END AS text FROM items WHERE trim(text) <> ''")
+@query("search_segments", "SELECT item_id AS event_id, CASE WHEN kind IN ('user', 'assistant') THEN kind END AS kind, CASE WHEN kind IN ('user', 'assistant') THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS text FROM items WHERE trim(text) <> ''")
 def search_segments(spark, sf_dir):
     rows = model.items(spark, sf_dir).filter("trim(text) <> ''")
     part = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("text"))

@@ -57,11 +57,11 @@ def prune_selection(spark, sf_dir):
 _PRUNED = "(SELECT session_id FROM facts WHERE workspace = '/ws/p1')"
 
 
-@query("prune_plan_counts", f'SELECT \'sessions\' AS "table", count(*) AS rows FROM facts WHERE session_id IN {_PRUNED} UNION ALL SELECT \'items\', count(*) FROM items WHERE session_id IN {_PRUNED} UNION ALL SELECT \'provenance\', count(*) FROM provenance WHERE session_id IN {_PRUNED}')
+@query("prune_plan_counts", f'SELECT \'sessions\' AS "table", count(*) AS rows, 0::BIGINT AS bytes FROM facts WHERE session_id IN {_PRUNED} UNION ALL SELECT \'items\', count(*), coalesce(sum(strlen(text)), 0)::BIGINT FROM items WHERE session_id IN {_PRUNED} UNION ALL SELECT \'provenance\', count(*), 0 FROM provenance WHERE session_id IN {_PRUNED}')
 def prune_plan_counts(spark, sf_dir):
     facts, items = model.facts(spark, sf_dir), model.items(spark, sf_dir)
     chosen = filters.prunable(facts, scope="/ws/p1")
-    return maintenance.prune_plan(chosen, {"sessions": facts, "items": items, "provenance": model.provenance(spark, sf_dir)})
+    return maintenance.prune_plan(chosen, {"sessions": facts, "items": items, "provenance": model.provenance(spark, sf_dir)}, {"items": "text"})
 
 
 @query("pruned_items", f"SELECT item_id FROM items WHERE session_id NOT IN {_PRUNED}")
@@ -155,12 +155,18 @@ def repository_prefix_join(spark, sf_dir):
     return maintenance.in_roots(model.facts(spark, sf_dir), spark.createDataFrame([("/ws/p2/",), ("/elsewhere",)], "root string"), "workspace").select("session_id")
 
 
-@query("report_snapshot")
+@query("report_snapshot", """
+SELECT 'models' AS part, coalesce(primary_model, 'unknown') AS name, sum(coalesce(input_tokens, 0) + coalesce(cached_input_tokens, 0) + coalesce(output_tokens, 0))::BIGINT AS value FROM facts GROUP BY 2 HAVING value > 0
+UNION ALL SELECT 'mix', strftime(first_event_at, '%Y-%m') || ' ' || source_kind, count(*) FROM facts GROUP BY 2
+""")
 def report_snapshot(spark, sf_dir):
     from sessionlake.operators import report
 
     facts = model.facts(spark, sf_dir)
-    return report.snapshot({"models": report.tokens_by_model(facts), "mix": report.mix_by_month(facts, "source_kind")}, "2024-02-01")
+    row = report.snapshot({"models": report.tokens_by_model(facts), "mix": report.mix_by_month(facts, "source_kind")}, "2024-02-01")
+    read = row.select(F.from_json("report_json", "struct<models: array<struct<model: string, tokens: bigint>>, mix: array<struct<month: string, name: string, sessions: bigint>>>").alias("r"))
+    models = read.select(F.explode("r.models").alias("x")).select(F.lit("models").alias("part"), F.col("x.model").alias("name"), F.col("x.tokens").alias("value"))
+    return models.union(read.select(F.explode("r.mix").alias("x")).select(F.lit("mix"), F.concat_ws(" ", "x.month", "x.name"), F.col("x.sessions")))
 
 
 @query("history_health", "SELECT count(*) = 0 AS ready, count(*) AS missing FROM items WHERE kind IN ('user', 'assistant') AND trim(text) <> '' AND tier <> 'conversation'")

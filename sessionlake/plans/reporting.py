@@ -172,12 +172,15 @@ a AS (SELECT c.*, toks FROM c JOIN (SELECT item_id, toks FROM toks) t USING (ite
 _TERMS = ["the", "was", "from"]
 
 
-@query("frustration_by_month_model", f"""
+_FRUSTRATION = f"""
 WITH {_ATTRIBUTED},
 b AS (SELECT session_id, strftime(occurred_at, '%Y-%m') AS month, model, count(*) AS n, count(*) FILTER (list_has_any(toks, {_TERMS})) AS matches FROM a GROUP BY 1, 2, 3),
 d AS (SELECT b.*, f.duration_secs * n / sum(n) OVER (PARTITION BY session_id) AS secs FROM b LEFT JOIN facts f USING (session_id))
 SELECT month, model, sum(matches)::BIGINT AS matches, sum(n)::BIGINT AS messages, round(sum(secs))::BIGINT AS duration_secs FROM d GROUP BY 1, 2
-""")
+"""
+
+
+@query("frustration_by_month_model", _FRUSTRATION)
 def frustration_by_month_model(spark, sf_dir):
     return report.frustration(_attributed(spark, sf_dir), model.facts(spark, sf_dir), _TERMS)
 
@@ -193,9 +196,13 @@ def frustration_merge_months(spark, sf_dir):
     return report.merged_months(rows.filter(F.array_contains("toks", "from")).groupBy("month", "model").agg(F.count("*").alias("matches")), rows.groupBy("month", "model").agg(F.count("*").alias("messages")))
 
 
-@query("frustration_summary")
+@query("frustration_summary", f"""
+WITH p AS ({_FRUSTRATION}), m AS (SELECT model, sum(matches)::BIGINT AS matches, sum(messages)::BIGINT AS messages, sum(duration_secs)::BIGINT AS duration_secs FROM p GROUP BY 1),
+r AS (SELECT *, CASE WHEN duration_secs > 0 THEN matches * 3600.0::DOUBLE / duration_secs END AS per_hour, (sum(matches) OVER ()) * 3600.0::DOUBLE / nullif(sum(duration_secs) OVER (), 0) AS whole FROM m)
+SELECT model, matches, messages, duration_secs, round(per_hour, 6) AS per_hour, round(CASE WHEN abs(per_hour - whole) < 0.005 THEN 0 ELSE per_hour - whole END, 6) AS delta FROM r
+""")
 def frustration_summary(spark, sf_dir):
-    return report.frustration_summary(report.frustration(_attributed(spark, sf_dir), model.facts(spark, sf_dir), _TERMS), full=True)
+    return _rounded(report.frustration_summary(report.frustration(_attributed(spark, sf_dir), model.facts(spark, sf_dir), _TERMS), full=True), "per_hour", "delta")
 
 
 @query("duration_allocation", f"""

@@ -2,44 +2,50 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionlake import cluster
 from sessionlake.functions import text
-from sessionlake.operators import search
+from sessionlake.operators import postings, search
 from sessionlake.plans import model
 from sessionlake.plans.catalog import query
 
 _TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 
 
-# Indexes and vectors are tables that an import writes; here they are written when a session first asks for them.
-_WRITTEN: dict[tuple, DataFrame] = {}
+# Indexes and vectors are tables that an import writes. Here they are written when they are first asked for, and again if the files
+# of the conversations are others: the key names those files with their lengths and times.
+_WRITTEN: dict[tuple, object] = {}
 
 
-def _written(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def _written(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], object]) -> object:
+    key = (spark.sparkContext.applicationId, cluster.fingerprint(spark, f"{sf_dir}/conversations.parquet"), name)
     if key not in _WRITTEN:
-        _WRITTEN[key] = cluster.materialize(make(), name)
+        _WRITTEN[key] = make(f"{cluster.shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     return _WRITTEN[key]
 
 
-def _index(spark, sf_dir, stemmed=False):
-    return _written(spark, sf_dir, f"index-{stemmed}", lambda: search.indexed(model.items(spark, sf_dir).filter("tier = 'conversation'"), stemmed))
+def _items(spark, sf_dir):
+    return model.items(spark, sf_dir).filter("tier = 'conversation'")
+
+
+def _index(spark, sf_dir, stemmed=False) -> postings.Index:
+    return _written(spark, sf_dir, f"index-{stemmed}", lambda path: postings.opened(spark, path, _items(spark, sf_dir), stemmed))
 
 
 def _hashed(spark, sf_dir):
-    return _written(spark, sf_dir, "vectors", lambda: _index(spark, sf_dir, True).select("item_id", search.hash_embedding(F.col("text"), 64).alias("embedding")))
+    return _written(spark, sf_dir, "vectors", lambda path: cluster.materialize(_items(spark, sf_dir).select("item_id", search.hash_embedding(F.col("text"), 64).alias("embedding")), "vectors"))
 
 
 @query("search_index", "SELECT item_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))::BIGINT AS words FROM items WHERE tier = 'conversation'")
 def search_index(spark, sf_dir):
     _hashed(spark, sf_dir)
     _index(spark, sf_dir)
-    return _index(spark, sf_dir, True).select("item_id", F.col("len").cast("long").alias("words"))
+    return _index(spark, sf_dir, True).units().select("item_id", F.col("len").cast("long").alias("words"))
 
 
 _X = f"x AS (SELECT item_id, session_id, kind, occurred_at, text, {_TOKENS} AS toks FROM items WHERE tier = 'conversation')"
@@ -58,43 +64,36 @@ def _bm25(terms: list[tuple[str, bool]], any_term: bool) -> str:
     return f"{_X}, t AS (SELECT *, len(toks) AS dl, {tf} FROM x), g AS (SELECT count(*) AS n, avg(dl) AS avg, {df} FROM t), b AS (SELECT t.*, round({score}, 9) AS score FROM t, g WHERE {wanted})"
 
 
-def _hits(df):
-    return df.select("item_id", "session_id", F.round("score", 9).alias("score"))
-
-
-@query("search_terms_and", f"WITH {_bm25([('the', False), ('thing', True)], False)} SELECT item_id, session_id, score FROM b")
+@query("search_terms_and", f"WITH {_bm25([('the', False), ('thing', True)], False)} SELECT item_id, score FROM b")
 def search_terms_and(spark, sf_dir):
-    return _hits(search.matches(_index(spark, sf_dir), "the thing", stemmed=False))
+    return _index(spark, sf_dir).matches("the thing").withColumn("score", F.round("score", 9))
 
 
-@query("search_terms_or", f"WITH {_bm25([('was', False), ('thing', True), ('with', True)], True)} SELECT item_id, session_id, score FROM b")
+@query("search_terms_or", f"WITH {_bm25([('was', False), ('thing', True), ('with', True)], True)} SELECT item_id, score FROM b")
 def search_terms_or(spark, sf_dir):
-    return _hits(search.matches(_index(spark, sf_dir), "was thing with", any_term=True, stemmed=False))
+    return _index(spark, sf_dir).matches("was thing with", any_term=True).withColumn("score", F.round("score", 9))
 
 
 @query("search_prefix", f"WITH {_X} SELECT item_id, {_tf('ther', True)} AS hits FROM x WHERE hits > 0")
 def search_prefix(spark, sf_dir):
-    return _index(spark, sf_dir).withColumn("hits", F.size(F.filter("toks", lambda t: t.startswith("ther")))).filter("hits > 0").select("item_id", "hits")
+    return _index(spark, sf_dir).found("ther")[0].select("item_id", F.col("tf0").alias("hits"))
 
 
 @query("search_phrase", f"WITH {_X} SELECT item_id FROM x WHERE len(list_filter(range(1, len(toks)), lambda k : toks[k] = 'of' AND toks[k + 1] = 'the')) > 0")
 def search_phrase(spark, sf_dir):
-    return search.matches(_index(spark, sf_dir), "of-the", stemmed=False).select("item_id")
+    return _index(spark, sf_dir).matches("of-the").select("item_id")
 
 
 @query("bm25_topk", f"WITH {_bm25([('the', False), ('and', False)], True)}, r AS (SELECT item_id, score, row_number() OVER (ORDER BY score DESC, item_id) AS rank FROM b) SELECT * FROM r WHERE rank <= 20")
 def bm25_topk(spark, sf_dir):
-    index = _index(spark, sf_dir)
-    found = search.matches(index, "the and", any_term=True, stemmed=False).withColumn("score", F.round("score", 9))
-    from pyspark.sql import Window
-
+    found = _index(spark, sf_dir).matches("the and", any_term=True).withColumn("score", F.round("score", 9))
     order = [F.desc("score"), F.col("item_id")]
     return found.orderBy(*order).limit(20).withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("item_id", "score", "rank")
 
 
 @query("bm25_stemmed")
 def bm25_stemmed(spark, sf_dir):
-    return search.lexical(_index(spark, sf_dir, True), "things andi", any_term=True, limit=50).select("item_id", "score", "rank")
+    return _index(spark, sf_dir, True).lexical("things andi", any_term=True, limit=50).select("item_id", "score", "rank")
 
 
 @query("snippet_240", "SELECT item_id, CASE WHEN length(t) > 240 THEN left(t, 240) || '...' ELSE t END AS preview FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM items)")
@@ -102,9 +101,14 @@ def snippet_240(spark, sf_dir):
     return model.items(spark, sf_dir).select("item_id", text.preview(F.col("text"), 240).alias("preview"))
 
 
-@query("lexical_snippet")
+@query("lexical_snippet", f"""
+WITH {_X}, w AS (SELECT item_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS ws FROM x WHERE {_tf('thing', True)} > 0),
+a AS (SELECT *, coalesce(list_position(list_transform(ws, lambda v : starts_with(lower(regexp_replace(v, '^[^\\p{{L}}\\p{{N}}]+', '')), 'thing')), true), 1) AS place FROM w),
+f AS (SELECT *, greatest(1, least(place - 4, len(ws) - 23)) AS first FROM a)
+SELECT item_id, CASE WHEN first > 1 THEN '...' ELSE '' END || array_to_string(ws[first:first + 23], ' ') || CASE WHEN first + 23 < len(ws) THEN '...' ELSE '' END AS content FROM f
+""")
 def lexical_snippet(spark, sf_dir):
-    return search.matches(_index(spark, sf_dir), "thing", stemmed=False).select("item_id", search.snippet(F.col("text"), "thing").alias("content"))
+    return _items(spark, sf_dir).join(_index(spark, sf_dir).matches("thing"), "item_id").select("item_id", search.snippet(F.col("text"), "thing").alias("content"))
 
 
 _QUERY = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
@@ -134,8 +138,6 @@ def knn_filter_first(spark, sf_dir):
 
 def _lists(spark, sf_dir):
     """Two ranked lists over items: by time, and by hash."""
-    from pyspark.sql import Window
-
     rows = model.items(spark, sf_dir).filter("tier = 'conversation'").select(F.col("item_id").alias("key"), "kind", text.preview(F.col("text"), 40).alias("content"), "occurred_at", "text_hash")
     left = rows.orderBy("occurred_at", "key").limit(60).withColumn("rank", F.row_number().over(Window.orderBy("occurred_at", "key")))
     right = rows.orderBy(F.desc("occurred_at"), "key").limit(80).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("occurred_at"), "key")))
@@ -175,8 +177,6 @@ def dedupe_by_snippet(spark, sf_dir):
 
 @query("results_newest", f"WITH {_FUSED} SELECT key, row_number() OVER (ORDER BY occurred_at DESC NULLS LAST, score DESC, key) AS place FROM f QUALIFY place <= 30")
 def results_newest(spark, sf_dir):
-    from pyspark.sql import Window
-
     fused = search.fuse(*_lists(spark, sf_dir))
     order = search.result_order("newest")
     return fused.orderBy(*order).limit(30).withColumn("place", F.row_number().over(Window.orderBy(*order))).select("key", "place")
@@ -197,10 +197,8 @@ def concept_gate(spark, sf_dir):
 
 @query("hybrid_search")
 def hybrid_search(spark, sf_dir):
-    index = _index(spark, sf_dir, True)
-    vectors = _hashed(spark, sf_dir)
     wanted = search.hash_vector("the thing and the other", 64)
-    return search.hybrid(index, vectors, "the thing", wanted, 25, recency_bias=0.2, as_of="2024-06-01")[0].select("key", "match_type", "lexical_rank", "semantic_rank", "score", "place")
+    return search.hybrid(_items(spark, sf_dir), _hashed(spark, sf_dir), "the thing", wanted, 25, recency_bias=0.2, as_of="2024-06-01", index=_index(spark, sf_dir, True))[0].select("key", "match_type", "lexical_rank", "semantic_rank", "score", "place")
 
 
 @query("hash_embed_256")

@@ -80,9 +80,69 @@ def test_parents_by_suffix_only_when_alone(spark):
 
 
 def test_sidechains_share_their_top(spark):
-    events = spark.createDataFrame([("s", "e1", "u1", None, False), ("s", "e2", "u2", "u1", True), ("s", "e3", "u3", "u2", True), ("s", "e4", "u4", "u1", True)], "session_id string, event_id string, uuid string, parent_uuid string, sidechain boolean")
-    got = {r.event_id: r.child_id for r in lineage.sidechains(events).collect()}
-    assert set(got) == {"e2", "e3", "e4"} and got["e2"] == got["e3"] != got["e4"]
+    schema = "session_id string, event_id string, uuid string, parent_uuid string, sidechain boolean, task_tool_use boolean"
+    rows = [("s", "e0", "u0", None, False, True), ("s", "e1", "u1", "u0", False, False), ("s", "e2", "u2", "u1", True, False), ("s", "e3", "u3", "u2", True, True), ("s", "e4", "u4", "gone", True, False), ("s", "e5", None, "u2", True, None), ("t", "f1", "u0", None, False, False), ("t", "f2", "u2", "u0", True, False)]
+    overrides, relations = lineage.sidechains(spark.createDataFrame(rows, schema))
+    got = dict(map(tuple, overrides.collect()))
+    assert set(got) == {"e2", "e3", "e4", "e5", "f2"} and got["e2"] == got["e3"] == got["e5"] != got["e4"] and len(set(got.values())) == 3
+    told = {r.session_id: (r.parent_session_id, r.relationship, r.rule) for r in relations.collect()}
+    assert told == {got["e2"]: ("s", "subagent", "claude.inline_sidechain"), got["e4"]: (None, "none", "claude.inline_orphan"), got["f2"]: (None, "none", "claude.inline_orphan")}
+    with pytest.raises(ValueError):
+        lineage.sidechains(spark.createDataFrame([("s", "e1", "a", "b", True, False), ("s", "e2", "b", "a", True, False)], schema))
+
+
+def test_effective_sessions_and_scopes(spark):
+    items = spark.createDataFrame([("i1", "e1", "c", "user", "h"), ("i2", "e2", "c", "user", "x"), ("i3", "e3", "p", "user", "h"), ("i4", "e4", "c", "user", "h")], "item_id string, event_id string, session_id string, kind string, text_hash string")
+    relations = spark.createDataFrame([("c", "p", "subagent"), ("z", None, "subagent"), ("d", "q", "subagent")], "session_id string, parent_session_id string, relationship string")
+    scoped = lineage.scoped_inherited(items, relations, spark.createDataFrame([("p",)], "session_id string"))
+    assert {tuple(r) for r in scoped.collect()} == {("i1", True), ("i2", False), ("i4", True)}
+    moved = spark.createDataFrame([("e4", "z")], "event_id string, session_id string")
+    got = {r.item_id: (r.effective_session_id, r.relationship) for r in lineage.effective(items, moved, relations, scoped).collect()}
+    assert got == {"i1": ("c", "none"), "i2": ("c", "subagent"), "i3": ("p", "none"), "i4": ("z", "subagent")}
+
+
+def test_omp_names_follow_folders(spark):
+    logs = spark.createDataFrame([("/r/a/top.jsonl", None), ("/r/a/top/one.jsonl", "x"), ("/r/a/top/one/two.jsonl", None), ("/r/a/other/lone.jsonl", " /q/par.jsonl "), ("/r/b.jsonl", "bare")], "path string, parent_session string")
+    got = {r.path: (r.external_id, r.parent_external_id, r.relationship) for r in lineage.omp_identity(logs).collect()}
+    assert got == {"/r/a/top.jsonl": ("top", None, "none"), "/r/a/top/one.jsonl": ("top/one", "top", "subagent"), "/r/a/top/one/two.jsonl": ("top/one/two", "top/one", "subagent"), "/r/a/other/lone.jsonl": ("lone", "par", "fork"), "/r/b.jsonl": ("b", "bare", "fork")}
+
+
+def test_hints_of_metadata(spark):
+    name = "0a1b2c3d-0000-1111-2222-333344445555"
+    rows = [("claude_code", json.dumps({"path": f"/x/{name}/subagents/agent-1.jsonl"})), ("claude_code", "{}"), ("opencode", '{"opencode_parent_id": " p "}'), ("opencode", '{"opencode_parent_id": " "}'), ("omp", '{"omp_parent_external_id": "t", "omp_relationship": "fork"}'), ("omp", "{}"), ("pi_agent", "{}"), ("codex", None)]
+    got = [tuple(r.h) for r in spark.createDataFrame(rows, "k string, m string").select(lineage.hint(F.col("k"), F.col("m")).alias("h")).collect()]
+    assert got == [(name, "subagent", "claude.subagent_path"), (None, "none", "default.none"), ("p", "subagent", "opencode.parent_id"), (None, "none", "default.none"), ("t", "fork", "omp.parent_session"), (None, "none", "omp.root"), (None, "none", "pi_agent.capture_gap"), (None, "none", "default.none")]
+
+
+def test_forks_against_all_pairs(spark):
+    import itertools
+    import random
+
+    rng, events, sessions = random.Random(5), [], []
+    for s in range(40):
+        base = [f"c{n}" for n in range(rng.choice([8, 9, 12]))] + [f"b{rng.randrange(3)}-{n}" for n in range(rng.choice([0, 2, 4]))]
+        own = base + [f"s{s}-{n}" for n in range(rng.choice([0, 0, 3]))]
+        events += [(f"s{s:02}", n, h) for n, h in enumerate(own)]
+        sessions.append((f"s{s:02}", f"m{s % 2}", f"x{rng.randrange(25)}", 1_700_000_000 + rng.randrange(20), own))
+    want = {}
+    for c, m, x, t, own in sessions:
+        met = []
+        for p, pm, px, pt, other in sessions:
+            common = sum(1 for _ in itertools.takewhile(lambda ab: ab[0] == ab[1], zip(own, other)))
+            if pm == m and px != x and (pt, p) < (t, c) and common >= 8 and common < min(len(own), len(other)):
+                met.append((common, p))
+        best = [p for common, p in met if common == max(met)[0]]
+        if len(best) == 1:
+            want[c] = (best[0], max(met)[0])
+    rows = spark.createDataFrame([s[:4] for s in sessions], "session_id string, machine_id string, external_id string, t long").withColumn("started_at", F.timestamp_seconds("t"))
+    found = lineage.forks(spark.createDataFrame(events, "session_id string, ordinal long, hash string"), rows)
+    assert want and {r.session_id: (r.parent_session_id, r.common) for r in found.collect()} == want
+
+
+def test_affected_goes_along_long_chains(spark):
+    edges = spark.range(300).select(F.concat(F.lit("s"), "id").alias("a"), F.concat(F.lit("s"), F.col("id") + 1).alias("b"))
+    lone = spark.createDataFrame([("s7",), ("alone",)], "session_id string")
+    assert lineage.affected(lone, edges.union(spark.createDataFrame([("x", "y")], "a string, b string"))).count() == 302
 
 
 def test_notifications_collide(spark):
@@ -254,7 +314,91 @@ def test_annotations(spark):
 
 
 def test_merged_json(spark):
-    assert json.loads(one(spark, maintenance.merged_json(F.col("c0"), F.col("c1")), '{"a": "1", "b": "2"}', '{"b": null, "c": "3"}')) == {"a": "1", "c": "3"}
+    # the examples of RFC 7396, and sides that are no objects
+    cases = [("{\"a\":\"b\"}", "{\"a\":\"c\"}"), ('{"a":"b"}', '{"b":"c"}'), ('{"a":"b"}', '{"a":null}'), ('{"a":"b","b":"c"}', '{"a":null}'), ('{"a":["b"]}', '{"a":"c"}'), ('{"a":{"b":"c"}}', '{"a":{"b":"d","c":null}}'), ('{"a":[{"b":"c"}]}', '{"a":[1]}'), ('["a","b"]', '["c","d"]'), ('{"e":null}', '{"a":1}'), ("[1,2]", '{"a":"b","c":null}'), ("{}", '{"a":{"bb":{"ccc":null}}}'), ('{"a":1,"b":{"c":2}}', '{"d":3}'), (None, '{"a":true}'), ('{"a":1.5}', None), ("bad", "{}")]
+    df = spark.createDataFrame(cases, "d string, p string")
+    got = [r[0] for r in df.select(maintenance.merged_json("d", "p")).collect()]
+    assert got == ['{"a":"c"}', '{"a":"b","b":"c"}', "{}", '{"b":"c"}', '{"a":"c"}', '{"a":{"b":"d"}}', '{"a":[1]}', '["c","d"]', '{"e":null,"a":1}', '{"a":"b"}', '{"a":{"bb":{}}}', '{"a":1,"b":{"c":2},"d":3}', '{"a":true}', '{"a":1.5}', "bad"]
+
+
+def test_days_of_a_zone_where_clocks_change(spark):
+    df = spark.createDataFrame([("2024-03-31 12:00:00",), ("2024-10-27 00:30:00",), ("2024-06-01 22:30:00",)], "t string").select(F.col("t").cast("timestamp").alias("t"))
+    got = [(str(r.d.start), str(r.d.end)) for r in df.select(dates.day_bounds(F.col("t"), "Europe/Berlin").alias("d")).collect()]
+    assert got == [("2024-03-30 23:00:00", "2024-03-31 22:00:00"), ("2024-10-26 22:00:00", "2024-10-27 23:00:00"), ("2024-06-01 22:00:00", "2024-06-02 22:00:00")]
+
+
+def test_globs(spark):
+    df = spark.createDataFrame([("history_items_v3",), ("history_items",), ("a.b",), ("axb",), ("[x]",), ("A.b",)], "n string")
+    found = lambda p: {r.n for r in df.filter(filters.glob(F.col("n"), p)).collect()}
+    assert found("history_items_v*") == {"history_items_v3"} and found("a.b") == {"a.b"} and found("a?b") == {"a.b", "axb"} and found("[aA].b") == {"a.b", "A.b"} and found("[^a]*") == {"history_items_v3", "history_items", "[x]", "A.b"}
+
+
+def test_batches_follow_memory():
+    batch = search.Batch()
+    assert [batch.next(m) for m in (None, 9_000, 1_000, 1_000)] == [64, 64, 32, 16]
+    assert [batch.next(9_000) for _ in range(6)][-1] == 32 and batch.reductions == 2
+    for _ in range(10):
+        batch.next(500)
+    assert batch.size == 1 and batch.next(500) == 0 and batch.next(1_000) == 1
+
+
+def test_embedding_leaves_out_what_memory_has_no_room_for(spark):
+    items = spark.createDataFrame([(f"i{k}", f"h{k}", "text " * 40) for k in range(200)], "item_id string, text_hash string, text string").coalesce(1)
+    assert search.embed(items, lambda texts: [[1.0, 2.0]] * len(texts), "m", 2).count() == 200
+    assert search.embed(items, lambda texts: [[1.0, 2.0]] * len(texts), "m", 2, memory=lambda: 100).count() == 32 + 16 + 8 + 4 + 2 + 1
+    with pytest.raises(PySparkException):
+        search.embed(items, lambda texts: [[1.0]] * len(texts), "m", 2).collect()
+
+
+def test_an_index_is_appended_to(spark, tmp_path):
+    from sessionlake.operators import postings
+
+    rows = spark.createDataFrame([("a", "The cats sat on the mat"), ("b", "cat-like reflexes of cats"), ("c", None)], "item_id string, text string")
+    index = postings.Index(spark, str(tmp_path / "i"))
+    assert index.matches("cat").count() == 0 and index.append(rows) == 3 and index.append(rows) == 0
+    more = spark.createDataFrame([("d", "a cat, like any"), ("a", "another text of a known item")], "item_id string, text string")
+    assert postings.lacking(index, more).count() == 1 and index.append(more) == 1 and index.units().count() == 4
+    whole = search.indexed(rows.union(more.filter("item_id = 'd'")).fillna(""))
+    for asked, some in (("cat", False), ("cat mat", True), ("cat-like", False), ("refl", False), ("none", False), ("", False)):
+        want = sorted((r.item_id, round(r.score, 9)) for r in search.matches(whole, asked, some).collect())
+        assert sorted((r.item_id, round(r.score, 9)) for r in index.matches(asked, some).collect()) == want, asked
+
+
+def test_profiles_name_shapes(spark):
+    from sessionlake.operators import profile
+
+    one_, two, other = (profile.profile(spark.range(1000).filter(f"id > {n}").groupBy((F.col("id") % n).alias("k")).count()) for n in (3, 7, 5))
+    assert one_.kinds["aggregates"] >= 2 and one_.kinds["exchanges"] == 1 and one_.kinds["joins"] == 0
+    assert profile.profile(spark.range(10), run=True).rows == 10 and other.name != profile.profile(spark.range(3)).name
+
+
+def test_runs_of_enrichment_stay_as_they_are(spark):
+    about = {"provider": "p", "model": "m", "destination": "d", "data_scope": "s", "max_excerpt_chars": 5, "schema_description": "x"}
+    none = maintenance.enrichment_run(spark.createDataFrame([], "kind string, version string, provider string, model string, destination string, data_scope string, max_excerpt_chars long, schema_description string, created_at string"), "topics", "v1", about, "now")
+    assert none.count() == 1 and maintenance.enrichment_run(none, "topics", "v1", about, "later").count() == 0
+    with pytest.raises(ValueError):
+        maintenance.enrichment_run(none, "topics", "v1", about | {"model": "n"}, "later")
+    with pytest.raises(ValueError):
+        maintenance.enrichment_run(none, " ", "v1", about, "later")
+
+
+def test_imports_are_finished_in_one_order():
+    seen = []
+    maintenance.finalise({n: (lambda n=n: seen.append(n)) for n in ("vectors", "skills", "items")})
+    assert seen == ["skills", "items", "vectors"]
+    with pytest.raises(ValueError):
+        maintenance.finalise({"other": print})
+
+
+def test_clusters_are_taken_over(spark):
+    points = spark.createDataFrame([(k, [float(k % 2) * 9 + k / 100, 1.0]) for k in range(40)], "item_id long, embedding array<double>")
+    fresh = topics.cluster(points, 2, 3, 1)
+    settings = (2, 3, 1, 7)
+    runs = spark.createDataFrame([("v1", "completed", topics.ALGORITHM, "m", topics.input_hash(points, *settings), "2024", fresh.k, fresh.silhouette)], "version string, status string, algorithm string, model_id string, input_hash string, completed_at string, k int, silhouette double")
+    held = fresh.assignments.withColumn("version", F.lit("v1"))
+    again = topics.cluster(points.orderBy(F.desc("item_id")), 2, 3, 1, runs=runs, held=held, model_id="m")
+    assert fresh.k == 2 and again.reused == "v1" and again.assignments.count() == 40
+    assert topics.cluster(points.limit(39), 2, 3, 1, runs=runs, held=held, model_id="m").reused is None
 
 
 def test_topics_need_quality(spark):
@@ -294,7 +438,7 @@ def test_service_answers(spark):
 
     items = spark.sql("SELECT concat('i', id) item_id, 's' session_id, id ordinal, 'user' kind, concat('thread title ', id) text, 'conversation' tier, timestamp'2024-01-01' occurred_at FROM range(12)")
     sessions = spark.sql("SELECT 's' session_id, timestamp'2024-01-01' last_event_at")
-    service = Service(sessions, items, search.indexed(items))
+    service = Service(sessions, items)
     assert json.loads(service.health())["data"]["items"] == 12 and len(json.loads(service.heads())["data"]) == 1
     found = json.loads(service.search("title", limit=3))
     assert found["ok"] and len(found["data"]["results"]) == 3 and found["data"]["semantic_unavailable"] == "no embedder"
@@ -307,7 +451,14 @@ def test_event_segments():
     assert derive.segment('{"role": "user", "content": "a"}')[:2] == ("user", "a")
     assert derive.segment('{"message": {"role": "assistant", "content": [{"type": "thinking", "text": "no"}, {"type": "text", "text": "b"}]}}')[:2] == ("assistant", "b")
     assert derive.segment('{"messages": [{"role": "user", "content": "a"}, {"role": "tool", "content": "no"}, {"role": "assistant", "content": "b"}]}')[:2] == ("conversation", "a\nb")
-    assert derive.segment('{"role": "system", "content": "a"}')[3] == "role system" and derive.segment("x")[3] == "no JSON" and derive.segment('{"role": "user"}')[3] == "no text"
+    assert derive.segment('{"role": "system", "content": "a"}')[3] == "instruction event" and derive.segment("x")[3] == "no JSON" and derive.segment('{"role": "user"}')[3] == "no conversation text"
+    assert derive.segment('{"type": "exec_end"}')[3] == "tool event" and derive.segment('{"type": "note"}')[3] == "non-message event" and derive.segment('{"role": "tool"}')[3] == "tool event"
+    assert derive.segment('{"type": "user", "message": {"content": " a  b "}}')[:2] == ("user", "a b")
+    for leak in ('{"text": "no", "stdout": "x"}', '{"tool_use_id": 1, "text": "no"}', '{"toolUseResult": {}, "content": "no"}', '{"stderr": "", "content": [{"text": "no"}]}', '{"name": "Bash", "text": "no"}', '{"type": "compaction", "text": "no"}'):
+        assert derive.segment('{"role": "user", "content": [%s, {"type": "text", "text": "yes"}]}' % leak)[1] == "yes"
+    assert derive.segment('{"role": "user", "content": [{"name": "bashful", "text": "kept"}, {"type": 5, "name": "tool", "text": "too"}]}')[1] == "kept\ntoo"
+    assert derive.stored_content('{"role": "user", "content": "a"}') == "a" and derive.stored_content('{"a": [1, 2.50]}') == '{"a":[1,2.5]}'
+    assert json.loads(derive.stored_content('{"role": "assistant", "content": [{"type": "tool_use", "id": "1", "name": "x", "input": {}}, {"type": "text", "text": "b"}]}'))["role"] == "assistant"
 
 
 def test_places_in_a_global_order(spark):

@@ -27,7 +27,7 @@ def test_events_and_sessions_of_mixed_lines(spark, tmp_path):
     found = transcripts.events(transcripts.lines(spark, [str(tmp_path)]), "codex")
     rows = found.orderBy("ordinal").collect()
     assert [r.event_type for r in rows] == ["session_meta", "user", "assistant"]
-    assert rows[2].content == "a\nb" and rows[2].occurred_at is None
+    assert rows[1].content == "hello" and json.loads(rows[2].content)["message"]["role"] == "assistant" and rows[2].occurred_at is None
     assert len({r.session_id for r in rows}) == 1 and rows[0].external_id == "x1"
     session = transcripts.sessions(found).collect()[0]
     assert str(session.started_at) == "2024-01-01 00:00:00" and str(session.updated_at) == "2024-01-01 00:01:00" and session.workspace == "/w/a"
@@ -127,10 +127,46 @@ def test_publication_swaps_whole_versions(spark, tmp_path):
     with pytest.raises(PySparkException):
         table.publish(spark.range(3).select(F.raise_error(F.lit("stop"))), "w2")
     assert table.read().count() == 3
+    assert table.log().orderBy("updated_at").collect()[-1].state == "failed"
     table.publish(spark.range(5), "w2")
     assert table.read().count() == 5
 
 
+def test_of_two_publishers_one_wins(spark, tmp_path):
+    table = incremental.Published(spark, str(tmp_path / "t"))
+    base = table.number()
+    table.publish(spark.range(1), "w1", expected=base)
+    with pytest.raises(incremental.Conflict):
+        table.publish(spark.range(2), "w2", expected=base)
+    assert table.read().count() == 1 and table.number() == 1
+    failed = incremental.Published(spark, str(tmp_path / "f"))
+    with pytest.raises(PySparkException):
+        failed.publish(spark.range(3).select(F.raise_error(F.lit("stop"))), "w")
+    assert failed.freshness("w") == "failed"
+
+
+def test_projections_follow_touched_keys(spark, tmp_path):
+    source = spark.createDataFrame([(f"s{k % 4}", k) for k in range(20)], "session_id string, x long")
+    derive = lambda rows: rows.groupBy("session_id").agg(F.sum("x").alias("x"))
+    dirty, held = incremental.Dirty(spark, str(tmp_path / "d")), incremental.Published(spark, str(tmp_path / "p"))
+    dirty.touch(source)
+    assert incremental.maintain(held, dirty, source, derive) == ("rebuild", 1) and incremental.maintain(held, dirty, source, derive) == ("unchanged", 1)
+    assert incremental.compatible(held.last(), 1, "1") == "ready" and incremental.compatible(held.last(), 2, "1") == "stale" and incremental.compatible(held.last(), 1, "2") == "missing"
+    more = source.union(spark.createDataFrame([("s1", 100), ("s9", 1)], source.schema))
+    dirty.touch(spark.createDataFrame([("s1",), ("s9",)], "session_id string"))
+    assert incremental.maintain(held, dirty, more, derive) == ("incremental", 2)
+    assert sorted(map(tuple, held.read().collect())) == sorted(map(tuple, derive(more).collect()))
+    dirty.touch(spark.createDataFrame([("s2",)], "session_id string"))
+
+    def meanwhile(rows):
+        dirty.touch(spark.createDataFrame([("s3",)], "session_id string"))
+        return derive(rows)
+
+    with pytest.raises(incremental.Conflict):
+        incremental.maintain(held, dirty, more, meanwhile)
+    assert incremental.maintain(held, dirty, more, derive, version="2")[0] == "rebuild"
+
+
 def test_scoped_refresh_equals_full(spark):
     source = spark.createDataFrame([(k % 5, k) for k in range(50)], "session_id long, x long")
     derive = lambda rows: rows.groupBy("session_id").agg(F.sum("x").alias("x"))
@@ -146,3 +182,41 @@ def test_event_time_windows(spark, tmp_path):
     query = incremental.activity_windows(stream).writeStream.format("memory").queryName("windows").outputMode("update").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {r["events"] for r in spark.table("windows").collect()} == {24, 2}
+
+
+def test_opencode_sessions(spark, tmp_path):
+    path = str(tmp_path / "o.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE session (id TEXT, project_id TEXT, parent_id TEXT, slug TEXT, directory TEXT, title TEXT, version TEXT, time_created INTEGER, time_updated INTEGER, time_archived INTEGER)")
+        db.execute("INSERT INTO session VALUES ('a', 'p', NULL, 's', '/w/./x/', ' ', '1', 1000, 2000, NULL), ('b', 'p', 'a', 's', 'rel', 'T', '1', 3000, 4000, 5000)")
+    rows = {r.external_id: r for r in databases.opencode_sessions(spark, path).collect()}
+    assert (rows["a"].title, rows["a"].status, rows["a"].workspace, rows["a"].started_at.timestamp()) == (None, "open", "/w/x", 1.0)
+    assert (rows["b"].title, rows["b"].status, rows["b"].workspace, json.loads(rows["b"].metadata)["opencode_parent_id"]) == ("T", "archived", None, "a")
+    assert "opencode" in transcripts.READERS
+
+
+def test_scopes_of_answers(spark):
+    answer = {"id": "q", "content": "<b>said</b>", "url": {"title": "Title", "address": "http://a", "text": "page"}}
+    assert [databases.content_parts(answer, s) for s in databases.SCOPES] == [[("text", "<b>said</b>")], [("text", "<b>said</b>"), ("url_metadata", "Title\nhttp://a")], [("text", "<b>said</b>"), ("url_metadata", "Title\nhttp://a"), ("url_full_text", "page")]]
+    rows = databases.thread_events(spark, ["t"], lambda t: answer | {"created_at": "2024-01-01T00:00:00Z"}, scope="full_text")
+    assert [(r.ordinal, r.origin, r.content) for r in rows.orderBy("ordinal").collect()] == [(0, "text", "said"), (1, "url_metadata", "Title http://a"), (2, "url_full_text", "page")]
+    assert databases.thread_sessions(rows).first().event_count == 3
+
+
+def test_database_and_its_log_share_a_cursor(spark, tmp_path):
+    (tmp_path / "o.db").write_text("x")
+    listing = lambda: transcripts.files(spark, [str(tmp_path)], "o.db*")
+    alone = transcripts.paired_cursor(listing(), "o.db").first().cursor
+    (tmp_path / "o.db-wal").write_text("yy")
+    both = transcripts.paired_cursor(listing(), "o.db").collect()
+    assert alone.endswith("|none") and len(both) == 1 and both[0].cursor != alone
+
+
+def test_a_changed_file_gives_its_new_events(spark, tmp_path):
+    write(tmp_path / "s.jsonl", ['{"role": "user", "content": "a"}'])
+    first, every = transcripts.update_path(spark, str(tmp_path / "s.jsonl"), "codex", spark.createDataFrame([], "event_id string"))
+    assert first.count() == 1
+    held = spark.createDataFrame(every.collect(), "event_id string")
+    write(tmp_path / "s.jsonl", ['{"role": "user", "content": "a"}', '{"role": "assistant", "content": "b"}'])
+    fresh, touched = transcripts.update_path(spark, str(tmp_path / "s.jsonl"), "codex", held)
+    assert [r.content for r in fresh.collect()] == ["b"] and touched.count() == 2
