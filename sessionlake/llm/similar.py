@@ -39,9 +39,9 @@ from sessionlake.operators import graphs
 
 #: Bits that fingerprints of first candidates differ in at most.
 RADIUS = 3
-#: Which shingles are common is told by a sample: about so many texts, one of MOST_SHARE at least. It and the number of common ones
-#: bear on the order of shingles alone, and any order gives the same groups.
-SAMPLE, MOST_SHARE, COMMON, COMMON_LEAST = 20_000, 16, 200_000, 3
+#: Which shingles are common is told by a sample of about so many different texts. It and the number of common ones bear on the order
+#: of shingles alone, and any order gives the same groups.
+SAMPLE, COMMON, COMMON_LEAST = 30_000, 500_000, 3
 #: Places further on in an order of a bucket up to which a node looks for the nearest other at first.
 REACH = 16
 #: Parities of a set's hashes.
@@ -202,15 +202,17 @@ DEALT = "bucket long, node long, size int, rest int"
 MET = "s1 long, s2 long, left long, bucket long, node long, size int, rest int"
 
 
-def _dealt(rows: DataFrame, words: int, similarity: float, share: int) -> DataFrame:
-    """DEALT: the buckets of two nodes or more, of those with the same nodes one. share: one text of so many tells which shingles are common."""
+def _dealt(rows: DataFrame, drawn: DataFrame, words: int, similarity: float) -> DataFrame:
+    """DEALT: the buckets of two nodes or more, of those with the same nodes one. A sample of the nodes, each by one of its texts, tells which shingles are common."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in columns.slices(batch, "text"):
                 yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.concatenate([shingle_set(t, words) for t in texts]).view(np.int64))})
 
-    counted = rows.filter(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).mapInArrow(sample, "shingle long").groupBy("shingle").count().filter(F.col("count") >= COMMON_LEAST)
+    share = max(1, drawn.select("node").distinct().count() // SAMPLE)
+    drawn_keys = cluster.materialize(drawn.filter(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).groupBy("node").agg(F.min("key").alias("key")).select("key"), "sampled-keys")
+    counted = rows.join(drawn_keys, "key", "left_semi").select("text").mapInArrow(sample, "shingle long").groupBy("shingle").count().filter(F.col("count") >= COMMON_LEAST)
     held = counted.orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
     common = held.column("shingle").to_numpy().view(np.uint64)
     place = np.arange(len(common), 0, -1)
@@ -285,7 +287,7 @@ def _labelled(rows: DataFrame, words: int, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), batch.column(1).slice(start, len(texts)), pa.array([_node(t, s) for t, s in zip(texts, sets)], pa.int64()), pa.array(fps, pa.int64(), mask=bare), pa.array([parities(s) if len(s) else None for s in sets], pa.binary())], names=["key", "doc_id", "node", "fp", "bits"])
 
     drawn = cluster.materialize(rows.mapInArrow(draw, DRAWN), "nodes")
-    buckets = cluster.materialize(_dealt(rows, words, similarity, min(MOST_SHARE, max(1, drawn.count() // SAMPLE))), "buckets")
+    buckets = cluster.materialize(_dealt(rows, drawn, words, similarity), "buckets")
     in_buckets = buckets.select("node").distinct()
     sketches = cluster.materialize(drawn.filter("fp is not null").join(in_buckets, "node", "left_semi").groupBy("node").agg(F.min("fp").alias("fp"), F.min("bits").alias("bits")), "sketches")
 
@@ -355,11 +357,13 @@ def _labelled(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     def sound(pairs: DataFrame) -> DataFrame:
         """The pairs that are alike."""
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        bearers = drawn.select("node", "key").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key")
+        # written first, so that Spark knows its size: while it is small, texts are filtered where they are
+        bearers = cluster.materialize(drawn.select("node", "key").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key"), "bearers")
         sets = cluster.materialize(rows.join(bearers, "key", "left_semi").select("text").mapInArrow(shingles, "node long, own binary").dropDuplicates(["node"]), "shingle-sets")
         left, right = sets.select(F.col("node").alias("a"), F.col("own").alias("x")), sets.select(F.col("node").alias("b"), F.col("own").alias("y"))
         found = cluster.materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
         cluster.discard(sets)
+        cluster.discard(bearers)
         return found
 
     first = cluster.materialize(by_fingerprint().union(met(None)).distinct(), "candidates")
