@@ -37,8 +37,8 @@ STEM_LETTERS = (4, 5, 6, 7, 8)
 WINDOW = 8
 #: A text is read in pieces of so many characters, cut at white space.
 PIECE_CHARS = 1_000_000
-#: Words whose result a worker remembers.
-CACHE_WORDS = 400_000
+#: Words whose result a worker remembers, and states that its automaton keeps; beyond them it forgets and makes them anew.
+CACHE_WORDS, MOST_STATES = 200_000, 50_000
 
 # Terms known beforehand, and cues around a match.
 SEED_TERMS = ["idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown"]
@@ -152,7 +152,7 @@ class LexiconAutomaton:
 
     def match(self, word: str) -> tuple[float, int, bool] | None:
         """(weight, edits, by a stem) of the best term that a lower-case word is near, or None."""
-        if len(self.states) > 200_000:
+        if len(self.states) > MOST_STATES:
             self.reset()
         state, steps, letters = self.start, self.steps, self.letters
         for letter in word:
