@@ -175,6 +175,13 @@ def pieces(text: str) -> list[str]:
     return [joined[a:b] for a, b in zip(starts, starts[1:])]
 
 
+def token_bytes(vocab: dict[str, int]) -> dict[int, bytes]:
+    """The bytes of each id of a vocabulary whose strings write bytes as printable characters."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    sign = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+    return {i: bytes(sign[c] for c in t) for t, i in vocab.items()}
+
+
 class Vocabulary:
     """Ids of byte strings and the pairs that merge. whole: a piece that is a token itself is never merged from bytes."""
 
@@ -219,10 +226,8 @@ class Vocabulary:
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         ids = model["vocab"]
-        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-        sign = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
         pairs = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(model["merges"])}
-        return cls({i: bytes(sign[c] for c in t) for t, i in ids.items()}, pairs, whole=False)
+        return cls(token_bytes(ids), pairs, whole=False)
 
     def _find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The place of each pair among the keys, or -1."""

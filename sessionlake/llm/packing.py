@@ -52,16 +52,16 @@ class Encoder:
     bpe.Vocabulary, which scans arrays and follows the file's merges.
     """
 
-    RUN = 2_000
+    RUN = 5_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+            whole = json.load(file)
+        added = {t["content"]: t["id"] for t in whole["added_tokens"]}
         self.path, self.added = path, added
-        tokens = bpe.vocabulary("merges", path).tokens
-        ranks = {data: i for i, data in tokens.items() if i not in added.values()}
+        ranks = {data: i for i, data in bpe.token_bytes(whole["model"]["vocab"]).items() if i not in added.values()}
         self.fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
-        self.long = re.compile(rf"\s{{{self.RUN}}}|\S{{{self.RUN}}}")
+        self.long = re.compile(rf"(?<!\s)\s{{{self.RUN}}}|(?<!\S)\S{{{self.RUN}}}")
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
     def __call__(self, text: str) -> np.ndarray:
