@@ -224,7 +224,8 @@ def split_pages(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", u
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.string(), pa.string(), pa.int64()))], names=["kind", "name", "bucket"])
 
     of_name = placed.select("kind", "name").distinct().join(split, "name").select("kind", "name", "words").mapInArrow(hashed, "kind string, name string, bucket long")
-    listed = of_name.groupBy("kind", "name").agg(F.collect_list("bucket").alias("buckets"))
+    # written, so that Spark knows its size and a name that most pages hold can be split
+    listed = cluster.materialize(of_name.groupBy("kind", "name").agg(F.collect_list("bucket").alias("buckets")), "name-buckets")
     tokens = placed.join(listed, ["kind", "name"]).select("row", "times", F.explode("buckets").alias("bucket"))
     return Split(parsed, cluster.materialize(tokens, "url-tokens"))
 
