@@ -291,6 +291,9 @@ def _labelled(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     in_buckets = buckets.select("node").distinct()
     sketches = cluster.materialize(drawn.filter("fp is not null").join(in_buckets, "node", "left_semi").groupBy("node").agg(F.min("fp").alias("fp"), F.min("bits").alias("bits")), "sketches")
 
+    # written, so that Spark knows that they are few and moves no bucket to find them
+    large = cluster.materialize(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large-buckets")
+
     def met(labels: DataFrame | None) -> DataFrame:
         """(a, b): pairs of nodes that may be alike. Without labels those nearest to each other, else all of different labels."""
 
@@ -320,7 +323,6 @@ def _labelled(rows: DataFrame, words: int, similarity: float) -> DataFrame:
 
         sketched = buckets.join(sketches, "node")
         marked = sketched.withColumn("label", F.col("node")) if labels is None else sketched.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        large = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
         block = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")
         split = marked.join(large, "bucket", "left").withColumn("block", block)
         if labels is None:  # neighbours of one block are enough at first
@@ -374,7 +376,7 @@ def _labelled(rows: DataFrame, words: int, similarity: float) -> DataFrame:
         more = sound(crossing)
         labels = graphs.components(links.union(more))
         cluster.discard(more)
-    for past in (first, crossing, links, buckets, sketches):
+    for past in (first, crossing, links, buckets, sketches, large):
         cluster.discard(past)
     return drawn.select("key", "doc_id", "node").join(labels, "node", "left").select("key", "doc_id", F.coalesce("label", "node").alias("label"))
 
