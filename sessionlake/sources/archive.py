@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -61,3 +61,37 @@ def vectors(embeddings: DataFrame) -> DataFrame:
             yield frame.map(lambda b: None if b is None else np.frombuffer(b, "<f4").tolist())
 
     return embeddings.withColumn("embedding", F.pandas_udf(decode, "array<float>")(F.unbase64("vector")))
+
+
+def spill(spark: SparkSession, stream: Iterable[bytes], folder: str, file_bytes: int = 64 << 20) -> int:
+    """Writes the lines of a stream, such as standard input, to files of a folder; how many lines there were.
+
+    One file's lines are held at most. A file takes its name when it is whole,
+    so a reader of the folder, read() or a stream of its lines, never sees a part
+    of one, and whoever reads may be slower than whoever writes.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop(folder))
+    number = lines = size = 0
+    held: list[bytes] = []
+
+    def write() -> None:
+        nonlocal number, size
+        part = hadoop(f"{folder}/_part-{number:06d}")
+        out = fs.create(part, True)
+        out.write(bytearray(b"".join(held)))
+        out.close()
+        fs.rename(part, hadoop(f"{folder}/part-{number:06d}.jsonl"))
+        held.clear()
+        number, size = number + 1, 0
+
+    for line in stream:
+        line = line if line.endswith(b"\n") else line + b"\n"
+        held.append(line)
+        lines, size = lines + 1, size + len(line)
+        if size >= file_bytes:
+            write()
+    if held:
+        write()
+    return lines

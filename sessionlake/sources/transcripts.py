@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +62,38 @@ def chosen(names: str) -> list[str]:
     return found
 
 
+@dataclass
+class Adapter:
+    """What an import asks of a kind of source: where its files are, which of them are as they were read, and their events."""
+
+    kind: str
+    home: str
+    pattern: str = "*.jsonl"
+    concurrency: int = 1  # files that are read at once where a service limits it; local files have no limit
+
+    def discover(self, spark: SparkSession, most: int | None = None) -> DataFrame:
+        """(path, length, modificationTime, cursor) of the files under the kind's folders; no folders, no rows."""
+        roots = local_roots(self.home, self.kind)
+        if not roots:
+            return spark.createDataFrame([], "path string, length long, modificationTime timestamp, cursor string")
+        return fingerprint(files(spark, roots, self.pattern, most))
+
+    def is_current(self, found: DataFrame, checkpoints: DataFrame) -> DataFrame:
+        """found with current: whether a file was read as it is now. checkpoints: path, cursor."""
+        read = checkpoints.select("path", F.col("cursor").alias("_c"))
+        return found.join(read, "path", "left").withColumn("current", F.coalesce(F.col("_c") == F.col("cursor"), F.lit(False))).drop("_c")
+
+    def prepare(self, spark: SparkSession, paths: list[str], strict: bool = True) -> DataFrame:
+        """Events of files, through the kind's registered reader."""
+        found = READERS[self.kind](spark, paths)
+        return events(found, self.kind, strict) if "line" in found.columns else found
+
+
+def adapters(home: str, names: str = "agent_logs") -> dict[str, Adapter]:
+    """Adapters of the chosen kinds under a home."""
+    return {kind: Adapter(kind, home, "*.db" if kind == "opencode" else "*.jsonl") for kind in chosen(names) if kind in ROOTS}
+
+
 def local_roots(home: str, kind: str) -> list[str]:
     folders = ROOTS[kind]
     return [p for p in (os.path.join(home, f) for f in folders) if os.path.exists(p)]

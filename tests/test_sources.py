@@ -220,3 +220,22 @@ def test_a_changed_file_gives_its_new_events(spark, tmp_path):
     write(tmp_path / "s.jsonl", ['{"role": "user", "content": "a"}', '{"role": "assistant", "content": "b"}'])
     fresh, touched = transcripts.update_path(spark, str(tmp_path / "s.jsonl"), "codex", held)
     assert [r.content for r in fresh.collect()] == ["b"] and touched.count() == 2
+
+
+def test_a_stream_is_spilt_to_whole_files(spark, tmp_path):
+    lines = [json.dumps({"n": k}).encode() for k in range(1000)]
+    assert archive.spill(spark, iter(lines), str(tmp_path / "in"), file_bytes=2_000) == 1000
+    names = sorted(p.name for p in (tmp_path / "in").iterdir() if not p.name.startswith("."))
+    assert len(names) > 3 and all(n.startswith("part-") for n in names)
+    assert spark.read.text(str(tmp_path / "in")).count() == 1000 and archive.spill(spark, iter([]), str(tmp_path / "none")) == 0
+
+
+def test_adapters_tell_what_is_current(spark, tmp_path):
+    write(tmp_path / ".codex/sessions/a.jsonl", ['{"role": "user", "content": "a"}'])
+    write(tmp_path / ".codex/sessions/b.jsonl", ['{"role": "user", "content": "b"}'])
+    own = transcripts.adapters(str(tmp_path), "codex,omp")
+    assert own["omp"].discover(spark).count() == 0
+    found = own["codex"].discover(spark)
+    told = own["codex"].is_current(found, found.filter("path like '%a.jsonl'").select("path", "cursor"))
+    assert {r.path.rsplit("/", 1)[1]: r.current for r in told.collect()} == {"a.jsonl": True, "b.jsonl": False}
+    assert sorted(r.content for r in own["codex"].prepare(spark, transcripts.local_roots(str(tmp_path), "codex")).collect()) == ["a", "b"]
