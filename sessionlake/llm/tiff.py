@@ -71,72 +71,74 @@ def pack_bits(data: bytes) -> bytes:
 
 def unpack_lzw(data: bytes) -> bytes:
     """LZW with codes from the high bit down; the width of a code grows one entry before the table is full."""
-    out, held, bits, width = bytearray(), 0, 0, 9
-    entries: list[bytes] = [bytes([b]) for b in range(256)] + [b"", b""]
-    last = b""
-    for byte in data:
-        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
-        if bits < width:
+    padded = np.zeros(len(data) + 2, np.uint32)
+    padded[: len(data)] = np.frombuffer(data, np.uint8)
+    window = (padded[:-2] << 16 | padded[1:-1] << 8 | padded[2:]).tolist()  # the 24 bits from each byte on
+    out: list[bytes] = []
+    put = out.append
+    single = [bytes([b]) for b in range(256)] + [b"", b""]
+    entries, size, last = single.copy(), FIRST_CODE, b""
+    add = entries.append
+    at, width, full, mask, end = 0, 9, 511, 511, 8 * len(data)
+    while at + width <= end:
+        code = window[at >> 3] >> 24 - width - (at & 7) & mask
+        at += width
+        if code < size and code != CLEAR and code != END_OF_DATA:
+            entry = entries[code]
+        elif code == CLEAR:
+            entries, size, last = single.copy(), FIRST_CODE, b""
+            add = entries.append
+            width, full, mask = 9, 511, 511
             continue
-        bits -= width
-        code = held >> bits & ((1 << width) - 1)
-        if code == END_OF_DATA:
+        elif code == END_OF_DATA:
             break
-        if code == CLEAR:
-            del entries[FIRST_CODE:]
-            width, last = 9, b""
-            continue
-        if code < len(entries):
-            entry = entries[code]
-        elif last and code == len(entries):
+        elif last and code == size:
             entry = last + last[:1]
         else:
             raise ValueError("a code that the table does not have")
-        out += entry
-        if last and len(entries) < MOST_CODES:
-            entries.append(last + entry[:1])
+        put(entry)
+        if last and size < MOST_CODES:
+            add(last + entry[:1])
+            size += 1
+            if size == full and width < 12:
+                width, full = width + 1, 2 * full + 1
+                mask = full
         last = entry
-        width = 9 if len(entries) < 511 else 10 if len(entries) < 1023 else 11 if len(entries) < 2047 else 12
-    return bytes(out)
+    return b"".join(out)
 
 
 def pack_lzw(data: bytes) -> bytes:
-    out, held, bits, width = bytearray(), 0, 0, 9
-    table = {bytes([b]): b for b in range(256)}
-    following = FIRST_CODE
-
-    def put(code: int) -> None:
-        nonlocal held, bits
-        held, bits = held << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-        held &= (1 << bits) - 1
-
-    put(CLEAR)
-    prefix = b""
-    for byte in data:
-        longer = prefix + bytes((byte,))
-        if longer in table:
-            prefix = longer
-            continue
-        put(table[prefix])
-        table[longer] = following
-        following += 1
-        width = 9 if following < 512 else 10 if following < 1024 else 11 if following < 2048 else 12
-        if following == MOST_CODES - 1:
-            put(CLEAR)
-            table = {bytes([b]): b for b in range(256)}
-            following, width = FIRST_CODE, 9
-        prefix = bytes((byte,))
-    if prefix:
-        put(table[prefix])
-        following += 1
-        width = 9 if following < 512 else 10 if following < 1024 else 11 if following < 2048 else 12
+    codes, widths = [CLEAR], [(0, 9)]  # the codes, and from which of them on they have how many bits
+    put = codes.append
+    if data:
+        table: dict[int, int] = {}  # a code and the byte that follows it: the code of both
+        following, full = FIRST_CODE, 512
+        prefix = data[0]
+        for byte in data[1:]:
+            key = prefix << 8 | byte
+            code = table.get(key)
+            if code is not None:
+                prefix = code
+                continue
+            put(prefix)
+            table[key] = following
+            following += 1
+            if following == full:
+                widths.append((len(codes), widths[-1][1] + 1))
+                full *= 2
+            elif following == MOST_CODES - 1:
+                put(CLEAR)
+                table, following, full = {}, FIRST_CODE, 512
+                widths.append((len(codes), 9))
+            prefix = byte
+        put(prefix)
+        if following + 1 == full and widths[-1][1] < 12:
+            widths.append((len(codes), widths[-1][1] + 1))
     put(END_OF_DATA)
-    if bits:
-        out.append(held << 8 - bits & 255)
-    return bytes(out)
+    starts = np.array([w[0] for w in widths])
+    size = np.repeat([w[1] for w in widths], np.diff(np.append(starts, len(codes))))
+    bits = np.unpackbits(np.array(codes, ">u2").view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) >= 16 - size[:, None]]).tobytes()
 
 
 UNPACK = {NONE: bytes, PACKBITS: unpack_bits, LZW: unpack_lzw, ADOBE_DEFLATE: zlib.decompress, DEFLATE: zlib.decompress}
