@@ -45,7 +45,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "etag",
         "last_modified",
         "digest",
-        F.create_map(F.lit("etag"), F.lit("old"), F.lit("ETag"), "etag", F.lit("Date"), ts.cast("string"), F.lit("Server"), F.when(new, "cache").otherwise("origin")).alias("headers"),
+        F.create_map(F.lit("ETAG"), F.lit("old"), F.lit("ETag"), "etag", F.lit("Date"), ts.cast("string"), F.lit("Server"), F.when(new, "cache").otherwise("origin")).alias("headers"),
     )
 
 

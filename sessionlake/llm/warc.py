@@ -33,9 +33,9 @@ def canonical_url(url: Column) -> Column:
 
 
 def folded(headers: Column) -> Column:
-    """Headers by lower-cased name; of names that differ in case alone the last one's value counts. Null is none."""
+    """Headers by lower-cased name; of names that differ in case alone the value of the greatest counts, that with the first small letter. Null is none."""
     entries = F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>")))
-    kept = F.filter(entries, lambda e, k: ~F.exists(F.slice(entries, k + 2, F.size(entries)), lambda later: F.lower(later["key"]) == F.lower(e["key"])))
+    kept = F.filter(entries, lambda e: ~F.exists(entries, lambda other: (F.lower(other["key"]) == F.lower(e["key"])) & (other["key"] > e["key"])))
     return F.map_from_entries(F.transform(kept, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
 
 
