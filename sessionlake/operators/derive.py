@@ -70,7 +70,7 @@ def audit(rows: DataFrame, seed: int, most: int = 200) -> DataFrame:
     """A random sample of at most `most` rows of each author, the same for one seed."""
     from sessionlake.operators import sequences
 
-    return sequences.top_per_group(rows, ["authored_by"], [F.xxhash64("item_id", F.lit(seed)), F.col("item_id")], most)
+    return sequences.top_per_group(rows, ["authored_by"], [F.md5(F.concat("item_id", F.lit(str(seed)))), F.col("item_id")], most)
 
 
 def tiers(events: DataFrame) -> DataFrame:

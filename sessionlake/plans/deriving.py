@@ -36,7 +36,7 @@ def provenance_rules(spark, sf_dir):
     return derive.message_provenance(_texts(spark, sf_dir).withColumn("text_hash", F.md5("item_id")), _relations(spark, sf_dir), classes).select("item_id", "rule")
 
 
-@query("provenance_audit")
+@query("provenance_audit", "SELECT authored_by, item_id, row_number() OVER (PARTITION BY authored_by ORDER BY md5(item_id || '7'), item_id) AS place FROM provenance QUALIFY place <= 20")
 def provenance_audit(spark, sf_dir):
     return derive.audit(model.provenance(spark, sf_dir), 7, 20).select("authored_by", "item_id", "place")
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
 
 from sessionlake import cluster
 from sessionlake.functions import dates, ids, text
-from sessionlake.operators import annotate, blame, derive, filters, lineage, lookups, maintenance, search, sequences, tools, topics
+from sessionlake.operators import annotate, blame, derive, filters, lineage, lookups, maintenance, search, sequences, tools, topics, transcript
 from sessionlake.plans import model
 from sessionlake.plans.catalog import query
 from sessionlake.sources import archive, transcripts
@@ -391,6 +392,25 @@ def annotations_without_version(spark, sf_dir):
     return annotate.without_version(rows, "v0").select("item_id")
 
 
+@query("annotations_made", "SELECT item_id, axis, (least(length(text), 2000) % 5 + 1)::INT AS score FROM items, (VALUES ('calm'), ('warm')) a(axis)")
+def annotations_made(spark, sf_dir):
+    def ask(pairs):
+        return json.dumps({item: {axis: len(excerpt) % 5 + 1 for axis in ("calm", "warm")} for item, excerpt in pairs})
+
+    return annotate.annotate(model.items(spark, sf_dir), ask, "rule", "v1", ["calm", "warm"], 7).select("item_id", "axis", "score")
+
+
+@query("vectors_made", "SELECT item_id AS unit_id, least(length(text), 8192)::FLOAT AS x, text_hash FROM items")
+def vectors_made(spark, sf_dir):
+    made = search.embed(model.items(spark, sf_dir), lambda texts: [[float(len(t)), 1.0] for t in texts], "lengths", 2, memory=lambda: None)
+    return made.select("unit_id", F.get("vector", F.lit(0)).alias("x"), "text_hash")
+
+
+@query("transcript_rendered", "SELECT '# Session s1' || chr(10) || chr(10) || string_agg('## ' || kind || ' — ' || strftime(occurred_at, '%Y-%m-%d %H:%M') || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY ordinal, item_id) AS markdown FROM items WHERE session_id = 's1' AND tier = 'conversation'")
+def transcript_rendered(spark, sf_dir):
+    return spark.createDataFrame([(transcript.render(model.items(spark, sf_dir), "s1"),)], "markdown string")
+
+
 # classes, skills, blame
 
 
