@@ -12,6 +12,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent
 
@@ -97,6 +98,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return written
 
 
+def few(df: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """A written table for a join: marked for a broadcast if it has at most so many rows, which should be narrow; else as it is, and the join shuffles."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
