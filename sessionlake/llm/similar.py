@@ -203,7 +203,7 @@ MET = "s1 long, s2 long, left long, bucket long, node long, size int, rest int"
 
 
 def _dealt(rows: DataFrame, drawn: DataFrame, words: int, similarity: float) -> DataFrame:
-    """DEALT: the buckets of two nodes or more, of those with the same nodes one. A sample of the nodes, each by one of its texts, tells which shingles are common."""
+    """DEALT: the buckets of two nodes or more, of those with the same nodes one. A sample of different texts, by their hashes, tells which shingles are common."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,8 +211,8 @@ def _dealt(rows: DataFrame, drawn: DataFrame, words: int, similarity: float) ->
                 yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.concatenate([shingle_set(t, words) for t in texts]).view(np.int64))})
 
     share = max(1, drawn.select("node").distinct().count() // SAMPLE)
-    drawn_keys = cluster.materialize(drawn.filter(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).groupBy("node").agg(F.min("key").alias("key")).select("key"), "sampled-keys")
-    counted = rows.join(drawn_keys, "key", "left_semi").select("text").mapInArrow(sample, "shingle long").groupBy("shingle").count().filter(F.col("count") >= COMMON_LEAST)
+    drawn_texts = rows.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").distinct()
+    counted = drawn_texts.mapInArrow(sample, "shingle long").groupBy("shingle").count().filter(F.col("count") >= COMMON_LEAST)
     held = counted.orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
     common = held.column("shingle").to_numpy().view(np.uint64)
     place = np.arange(len(common), 0, -1)
@@ -346,10 +346,16 @@ def _labelled(rows: DataFrame, words: int, similarity: float) -> DataFrame:
         return same.union(far)
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sets of texts, each once in a task, however often a document repeats."""
+        sent: set[int] = set()
         for batch in batches:
             for _, texts in columns.slices(batch, "text"):
-                own_sets = [shingle_set(t, words) for t in texts]
-                yield pa.RecordBatch.from_pydict({"node": pa.array([_node(t, s) for t, s in zip(texts, own_sets)], pa.int64()), "own": pa.array([s.tobytes() for s in own_sets], pa.binary())})
+                named = {_node(t, s): s for t, s in ((t, shingle_set(t, words)) for t in texts)}
+                fresh = [n for n in named if n not in sent]
+                if len(sent) >= REMEMBERED:
+                    sent.clear()
+                sent.update(fresh)
+                yield pa.RecordBatch.from_pydict({"node": pa.array(fresh, pa.int64()), "own": pa.array([named[n].tobytes() for n in fresh], pa.binary())})
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,9 +365,9 @@ def _labelled(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     def sound(pairs: DataFrame) -> DataFrame:
         """The pairs that are alike."""
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        # written first, so that Spark knows its size: while it is small, texts are filtered where they are
+        # a row of 16 bytes for each text to verify; while they are few, texts are filtered where they are
         bearers = cluster.materialize(drawn.select("node", "key").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key"), "bearers")
-        sets = cluster.materialize(rows.join(bearers, "key", "left_semi").select("text").mapInArrow(shingles, "node long, own binary").dropDuplicates(["node"]), "shingle-sets")
+        sets = cluster.materialize(rows.join(cluster.few(bearers), "key", "left_semi").select("text").mapInArrow(shingles, "node long, own binary"), "shingle-sets")
         left, right = sets.select(F.col("node").alias("a"), F.col("own").alias("x")), sets.select(F.col("node").alias("b"), F.col("own").alias("y"))
         found = cluster.materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
         cluster.discard(sets)
@@ -420,8 +426,9 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: s
     by_key = named.groupBy("key", "label").agg(F.count("*").alias("rows"), F.min("doc_id").alias("doc_id"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "key"))
     kept = by_key.groupBy("label").agg(first.alias("least")).select("label", F.col("least.key").alias("kept"))
+    # a row of 16 bytes for each document that goes; while they are few, texts stay where they are
     judged = cluster.materialize(by_key.join(kept, "label").select(F.col("key").alias(own), (F.col("key") == F.col("kept")).alias("stays"), "rows").filter("not stays or rows > 1"), "judged")
-    single = keyed.join(judged.select(own), own, "left_anti").select(*names)
-    repeated = keyed.join(judged.filter("stays").select(own), own, "left_semi")
+    single = keyed.join(cluster.few(judged.select(own)), own, "left_anti").select(*names)
+    repeated = keyed.join(cluster.few(judged.filter("stays").select(own)), own, "left_semi")
     once = repeated.groupBy(own).agg(F.min(F.struct(*names)).alias("r")).select("r.*")
     return single.unionByName(once)
