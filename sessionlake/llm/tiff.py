@@ -266,6 +266,8 @@ def write(images: list[np.ndarray], compression: int = ADOBE_DEFLATE, predictor:
 
 
 PAGES = "file_id long, page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, error string"
+#: Bytes of samples that are held before they are sent on, unless one file has more.
+HELD_BYTES = 4 << 20
 _KINDS = [pa.int64(), *[pa.int32()] * 7, pa.bool_(), pa.binary(), pa.string()]
 
 
@@ -285,16 +287,25 @@ def read_pages(files: DataFrame, file_id: str = "file_id", data: str = "data", k
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, places, size = [], [], 0
+
+            def told() -> pa.RecordBatch:
+                kept = [batch.column(2 + n).take(pa.array(places, pa.int64())) for n in range(batch.num_columns - 2)]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)), *kept], names=[*names, *batch.schema.names[2:]])  # noqa: B023
+
             for place, (key, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
-                rows = []
                 try:
                     for p in pages(value.as_py() or b""):
                         rows.append((key, p.index, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.pixels, None))
+                        size += len(p.pixels)
                 except (ValueError, IndexError, KeyError, struct.error, zlib.error) as why:
                     rows.append((key, *[None] * 9, f"{type(why).__name__}: {why}"))
-                if rows:
-                    kept = [batch.column(2 + n).slice(place, 1).take(pa.array([0] * len(rows))) for n in range(batch.num_columns - 2)]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)), *kept], names=[*names, *batch.schema.names[2:]])
+                places += [place] * (len(rows) - len(places))
+                if size >= HELD_BYTES:
+                    yield told()
+                    rows, places, size = [], [], 0
+            if rows:
+                yield told()
 
     return source.mapInArrow(work, schema)
 
@@ -361,22 +372,31 @@ def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict = {}
+        rows: list[tuple] = []
+        values = np.arange(256)
 
-        def told() -> pa.RecordBatch:
+        def end() -> None:
             counts = own["counts"]
-            total, values = counts.sum(), np.arange(256)
+            total = counts.sum()
             mean = float((counts * values).sum() / total)
             spread = float(np.sqrt((counts * (values - mean) ** 2).sum() / total))
-            row = (own["doc_id"], own["n_bytes"], int(total), own["digest"].hexdigest(), zlib.crc32(own["tail"][-32:]), own["media_bytes"], own["media_sha256"], f"{mean:.6f},{spread:.6f},{counts[128:].sum() / total:.6f}", own["pages"], own["codec"])
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (*[pa.int64()] * 3, pa.string(), *[pa.int64()] * 2, *[pa.string()] * 2, pa.int64(), pa.string()))], names=names)
+            rows.append((own["doc_id"], own["n_bytes"], int(total), own["digest"].hexdigest(), zlib.crc32(own["tail"][-32:]), own["media_bytes"], own["media_sha256"], f"{mean:.6f},{spread:.6f},{counts[128:].sum() / total:.6f}", own["pages"], own["codec"]))
+
+        def told() -> pa.RecordBatch:
+            kinds = (*[pa.int64()] * 3, pa.string(), *[pa.int64()] * 2, *[pa.string()] * 2, pa.int64(), pa.string())
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+            rows.clear()
+            return out
 
         for batch in batches:
+            if rows:
+                yield told()
             for k, (page, error) in enumerate(zip(batch.column(1).to_pylist(), batch.column(6).to_pylist())):
                 if error is not None:
                     raise ValueError(f"a stored file that cannot be read: {error}")
                 if page == 0:
                     if own:
-                        yield told()
+                        end()
                     at = lambda c, k=k, batch=batch: batch.column(c)[k].as_py()
                     own = {"doc_id": at(7), "n_bytes": at(8), "media_bytes": at(9), "media_sha256": at(10), "codec": f"{at(2)}/{at(3)}/{'tiles' if at(4) else 'strips'}", "counts": np.zeros(256, np.int64), "digest": hashlib.sha256(), "tail": b"", "pages": 0}
                 pixels = batch.column(5)[k].as_buffer().to_pybytes()
@@ -385,6 +405,8 @@ def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 own["tail"] = (own["tail"] + pixels)[-32:]
                 own["pages"] += 1
         if own:
+            end()
+        if rows:
             yield told()
 
     return part.mapInArrow(fold, ROUND_TRIP)
